@@ -20,6 +20,7 @@ class SalesConfig:
     fill_distance_missing: str = "median"  # median, max or zero
     months_since_competition: bool = True
     distance_bins: tuple[int, ...] = ()
+    distance_interaction: bool = False
     promotion: bool = True
     months_since_promo2: bool = True
     promo_month: bool = True
@@ -63,6 +64,9 @@ def competition_features(df: DataFrame, config: SalesConfig, fill: DataFrame | N
     if config.months_since_competition:
         gap = months_since("CompetitionOpenSinceYear", "CompetitionOpenSinceMonth", "Date")
         df = df.withColumn("MonthsSinceCompetition", gap)
+        if config.distance_interaction and "CompetitionDistance" in df.columns:
+            product = F.col("CompetitionDistance") * F.col("MonthsSinceCompetition")
+            df = df.withColumn("CompetitionDistanceXMonths", product)
     return df
 
 

@@ -39,14 +39,26 @@ def sequence_windows(
     return kept.drop("_pos", "_group_rows")
 
 
-def latest_window(df: DataFrame, spec: PanelSpec, features: list[str], length: int, name: str = "window") -> DataFrame:
-    """The newest window of every group, one row per group: keys, time of the last row and
-    the window. Only the last ``length`` rows of a group meet in one place."""
-    require_columns(df, *features, *spec.keys)
-    out = over_blocks(df.select(*{*spec.groups, *spec.order, *features}), spec, keep_position=True)
+def latest_window(
+    df: DataFrame,
+    spec: PanelSpec,
+    features: list[str],
+    length: int,
+    name: str = "window",
+    last_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """The newest window of every group with more than ``length`` rows: keys, time of the
+    last row, the window and ``last_columns`` of the last row. Only the newest cells are
+    shuffled and only ``length`` rows of a group meet in one place."""
+    require_columns(df, *features, *spec.keys, *last_columns)
+    used = list(dict.fromkeys([*spec.groups, *spec.order, *features, *last_columns]))
+    out = over_blocks(df.select(*used), spec, keep_position=True, tail=length)
     recent = out.filter((F.col("_group_rows") > length) & (F.col("_pos") > F.col("_group_rows") - length))
     row = F.struct("_pos", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     grouped = recent.groupBy(*spec.groups).agg(
-        F.max(spec.time).alias(spec.time), F.array_sort(F.collect_list(row)).alias("_rows")
+        F.max(spec.time).alias(spec.time),
+        F.array_sort(F.collect_list(row)).alias("_rows"),
+        *[F.max_by(F.col(c), F.col("_pos")).alias(c) for c in last_columns],
     )
-    return grouped.select(*spec.groups, spec.time, F.transform("_rows", lambda r: r["x"]).alias(name))
+    window = F.transform("_rows", lambda r: r["x"]).alias(name)
+    return grouped.select(*spec.groups, spec.time, window, *last_columns)

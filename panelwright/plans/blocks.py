@@ -169,7 +169,7 @@ def _placed_cells(cells: CellTable, spec: PanelSpec, before: int, after: int) ->
             t = t.withColumn(name, F.last(name, ignorenulls=True).over(later))
         elif name.startswith("_carry_first_"):
             t = t.withColumn(name, F.first(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.drop("_rows")
+    return t
 
 
 def over_blocks(
@@ -178,14 +178,20 @@ def over_blocks(
     *features: Feature,
     cells: CellTable | None = None,
     keep_position: bool = False,
+    tail: int | None = None,
 ) -> DataFrame:
     """Run all ``features`` in one block pass and return the panel with their columns.
 
-    ``keep_position`` keeps ``_pos`` (1-based) and ``_group_rows``."""
+    ``keep_position`` keeps ``_pos`` (1-based) and ``_group_rows``. ``tail`` asks for the last
+    rows of every group only: older cells are dropped before the shuffle (rows just before
+    the tail may remain, filter on the position)."""
     before = max((f.before for f in features), default=0)
     after = max((f.after for f in features), default=0)
     cells = cells or count_cells(df, spec, features)
     placed = _placed_cells(cells, spec, before, after)
+    if tail is not None:
+        placed = placed.filter(F.col(_START) + F.col("_rows") > F.col(_SIZE) - (tail + before))
+    placed = placed.drop("_rows")
     key_names = [*spec.groups, _CELL]
     for k in key_names:
         placed = placed.withColumnRenamed(k, f"_on_{k}")
