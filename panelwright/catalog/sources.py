@@ -10,12 +10,13 @@ from panelwright.operators import clean
 from panelwright.session import new_table_path
 from panelwright.sources import readers
 from panelwright.sources.cache import materialize
+from panelwright.sources.sinks import write_csv
 from panelwright.spec import PanelSpec
 
 
 def _as_csv(df, name):
     path = new_table_path(df.sparkSession, name)
-    df.write.option("header", True).csv(path)
+    write_csv(df, path)
     return path
 
 
@@ -54,9 +55,6 @@ def a2(spark, sf):
     return readers.read_ohlcv_daily(spark, path, "date", "Symbol", schema)
 
 
-_RAW_TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
-
-
 @query("a3_read_ohlcv_intraday", f"""WITH {TICKS_SQL}
 SELECT event_type, ts AS timestamp, event_id, open, high, low, close, volume FROM ticks WHERE close > 0
 QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1""")
@@ -82,7 +80,7 @@ def a4(spark, sf):
     folder = new_table_path(spark, "sales")
     parts = {"train": d.filter(F.col("Date") < cut), "test": d.filter(F.col("Date") >= cut).drop("Sales"), "store": store_dim(spark, sf)}
     for name, part in parts.items():
-        part.write.option("header", True).csv(f"{folder}/{name}.csv")
+        write_csv(part, f"{folder}/{name}.csv")
     out = None
     for name, part in zip(parts, readers.read_sales_tables(spark, folder)):
         one = part.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("Store").alias("stores")).withColumn("part", F.lit(name))

@@ -158,7 +158,11 @@ def evaluate(predictions: DataFrame, actuals: DataFrame, spec: PanelSpec, per_gr
     return metrics_by(aligned, list(spec.groups) if per_group else [])
 
 
+def sales_levels(aligned: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
+    """All levels of ``metrics_by`` with RMSPE in the same aggregate."""
+    extra = [rmspe("actual", "prediction").alias("RMSPE")]
+    return metrics_by(with_direction(aligned, spec), list(spec.groups) if per_group else [], extra)
+
+
 def evaluate_sales(predictions: DataFrame, actuals: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
-    """``evaluate`` with RMSPE in the same aggregate."""
-    aligned = with_direction(align(predictions, actuals, spec), spec)
-    return metrics_by(aligned, list(spec.groups) if per_group else [], [rmspe("actual", "prediction").alias("RMSPE")])
+    return sales_levels(align(predictions, actuals, spec), spec, per_group)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time as clock
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,8 @@ def append_experiment(spark: SparkSession, path: str, **values) -> None:
 
 def next_experiment_id(df: DataFrame) -> str:
     """exp_001, exp_002, ...: one above the highest number in the log."""
-    number = F.regexp_extract("experiment_id", r"^exp_(\d+)$", 1)
-    top = df.agg(F.max(F.expr("try_cast(nullif(regexp_extract(experiment_id, '^exp_([0-9]+)$', 1), '') as int)"))).first()[0]
+    number = F.expr("try_cast(nullif(regexp_extract(experiment_id, '^exp_([0-9]+)$', 1), '') as int)")
+    top = df.agg(F.max(number)).first()[0]
     return f"exp_{(top or 0) + 1:03d}"
 
 
@@ -118,7 +119,7 @@ def top_versions(df: DataFrame, n: int = 5) -> DataFrame:
 
 def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config, *, log_path: str, out_path: str, name: str, **notes) -> str:
     """Fit, evaluate and log one run; predictions, metrics and model go below ``out_path``."""
-    from panelwright.operators.evaluate import OVERALL, actuals_long, align
+    from panelwright.operators.evaluate import OVERALL, sales_levels
     from panelwright.operators.forecast import PanelForecaster
     from panelwright.sources.sinks import write_errors_rmspe, write_metrics_json
 
@@ -130,22 +131,17 @@ def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config
     values, files = {}, {}
     metrics = {}
     for label, frame in (("train", train), ("val", val)):
-        predictions = model.predict(frame)
-        aligned = align(predictions, model.actuals(frame), config.spec)
+        aligned = model.predicted_and_actual(frame).persist(StorageLevel.MEMORY_AND_DISK)
         files[label] = f"{base}/{label}_predictions"
         write_errors_rmspe(aligned, files[label], list(config.spec.keys))
-        m = model.evaluate_sales(frame)
-        metrics[label] = m
-        row = m.filter((F.col("horizon") == OVERALL) & (F.col("target") == config.targets[0])).first()
+        metrics[label] = sales_levels(aligned, config.spec).collect()  # a row per target and horizon
+        aligned.unpersist()
+        row = next(r for r in metrics[label] if r["horizon"] == OVERALL and r["target"] == config.targets[0])
         values.update({f"{label}_mae": row["MAE"], f"{label}_rmse": row["RMSE"], f"{label}_rmspe": row["RMSPE"]})
         values[f"{label}_samples"] = frame.count()
     model.save(f"{base}/model")
-    write_metrics_json(
-        metrics["train"].withColumn("dataset", F.lit("train")).unionByName(metrics["val"].withColumn("dataset", F.lit("val"))),
-        f"{base}/metrics",
-        experiment_id=experiment_id,
-        experiment_name=name,
-    )
+    rows = [{"dataset": label, **r.asDict()} for label, found in metrics.items() for r in found]
+    write_metrics_json(spark.createDataFrame(rows), f"{base}/metrics", experiment_id=experiment_id, experiment_name=name)
     append_experiment(
         spark,
         log_path,

@@ -153,10 +153,8 @@ class PanelForecaster:
         features = choose_features(panel, c)
         if not features:
             raise ValueError("no numeric feature is left to learn from")
-        spread = [c.spec.time]
-        x_scaler = fit_scaler(panel, c.scaler, features, groups, spread=spread).materialize()
-        y_scaler = fit_scaler(panel, c.scaler, names, groups, spread=spread).materialize()
-        model = PanelForecastModel(c, tuple(features), labels, x_scaler, y_scaler, {})
+        scaler = fit_scaler(panel, c.scaler, [*features, *names], groups, spread=[c.spec.time]).materialize()
+        model = PanelForecastModel(c, tuple(features), labels, scaler, {})
         train = model.prepare(panel, with_targets=True).select("features", *[f"{n}_scaled" for n in names])
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -172,31 +170,29 @@ class PanelForecastModel:
     config: ForecastConfig
     features: tuple[str, ...]
     labels: LabelMap | None
-    x_scaler: ScalerModel
-    y_scaler: ScalerModel
+    scaler: ScalerModel
     regressors: dict
 
     @property
     def targets(self) -> list[str]:
         return target_names(list(self.config.targets), self.config.horizon)
 
-    def _encoded_scaled(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    def _encoded_scaled(self, df: DataFrame, with_targets: bool = False) -> tuple[DataFrame, list[str], list[str]]:
         spread = [self.config.spec.time]
         df = with_fitted_features(df, list(self.features))
         codes = []
         if self.labels is not None:
             df = self.labels.encode(df, suffix="_code", spread=spread)
             codes = [f"{c}_code" for c in self.labels.columns]
-        df = self.x_scaler.transform(df, suffix="_scaled", spread=spread)
+        columns = [*self.features, *(self.targets if with_targets else [])]
+        df = self.scaler.transform(df, columns, suffix="_scaled", spread=spread)
         return df, [f"{c}_scaled" for c in self.features], codes
 
     def prepare(self, panel: DataFrame, with_targets: bool) -> DataFrame:
         """Encode, scale and cut windows: keys, unscaled columns, ``window``, codes and the
         ``features`` vector, plus scaled targets when learning or testing."""
         c = self.config
-        df, scaled, codes = self._encoded_scaled(panel)
-        if with_targets:
-            df = self.y_scaler.transform(df, suffix="_scaled", spread=[c.spec.time])
+        df, scaled, codes = self._encoded_scaled(panel, with_targets)
         out = sequence_windows(df, c.spec, scaled, c.sequence_length)
         return out.withColumn("features", _vector(c, codes)).drop(*scaled)
 
@@ -216,7 +212,7 @@ class PanelForecastModel:
         for n in self.targets:
             scored = self.regressors[n].transform(scored)
         raw = {f"{n}_raw": n for n in self.targets}
-        back = self.y_scaler.inverse(scored.drop("features"), raw, spread=[c.spec.time])
+        back = self.scaler.inverse(scored.drop("features"), raw, spread=[c.spec.time])
         rows = [
             F.struct(F.lit(t).alias("target"), F.lit(h).alias("horizon"), F.col(f"{target_name(t, h)}_raw").alias("prediction"))
             for t in c.targets
@@ -243,7 +239,14 @@ class PanelForecastModel:
         return ev.evaluate(self.predict_prepared(prepared), actuals, c.spec, per_group)
 
     def evaluate_sales(self, df: DataFrame, per_group: bool = False) -> DataFrame:
-        return ev.evaluate_sales(self.predict(df), self.actuals(df), self.config.spec, per_group)
+        return ev.sales_levels(self.predicted_and_actual(df), self.config.spec, per_group)
+
+    def predicted_and_actual(self, df: DataFrame) -> DataFrame:
+        """Predictions joined with what came, from one preparation of the rows."""
+        c = self.config
+        prepared = self.prepare_data(df)
+        actuals = ev.actuals_long(prepared, c.spec, list(c.targets), c.horizon)
+        return ev.align(self.predict_prepared(prepared), actuals, c.spec)
 
     def predict_next(self, df: DataFrame, n: int | None = None, kind: str = "bar", seconds: int | None = None) -> DataFrame:
         """Next ``n`` (at most the horizon) values of every target for every group from its
@@ -264,12 +267,11 @@ class PanelForecastModel:
         """Parameter tables as parquet, regressors in their own format, settings as JSON.
         Hooks are code and must be given again when loading."""
         c = self.config
-        spark = self.x_scaler.params.sparkSession
+        spark = self.scaler.params.sparkSession
         settings = {k: v for k, v in asdict(replace(c, hooks=())).items() if k not in ("hooks", "spec")}
         doc = {"config": settings, "spec": asdict(c.spec), "features": list(self.features)}
         spark.createDataFrame([(json.dumps(doc),)], "value string").write.mode("overwrite").text(f"{path}/settings")
-        self.x_scaler.params.write.mode("overwrite").parquet(f"{path}/x_scaler")
-        self.y_scaler.params.write.mode("overwrite").parquet(f"{path}/y_scaler")
+        self.scaler.params.write.mode("overwrite").parquet(f"{path}/scaler")
         if self.labels is not None:
             self.labels.table.write.mode("overwrite").parquet(f"{path}/labels")
         for name, model in self.regressors.items():
@@ -288,8 +290,7 @@ class PanelForecastModel:
             t = spark.read.parquet(f"{path}/{part}")
             return t, t.count()
 
-        x, nx = table("x_scaler")
-        y, ny = table("y_scaler")
+        params, n_params = table("scaler")
         labels = None
         if c.encoded:
             t, n = table("labels")
@@ -299,8 +300,7 @@ class PanelForecastModel:
             c,
             tuple(doc["features"]),
             labels,
-            ScalerModel(c.scaler, tuple(doc["features"]), groups, x, nx),
-            ScalerModel(c.scaler, tuple(names), groups, y, ny),
+            ScalerModel(c.scaler, (*doc["features"], *names), groups, params, n_params),
             {n: loader.load(f"{path}/regressors/{n}") for n in names},
         )
 

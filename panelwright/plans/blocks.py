@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -145,31 +147,38 @@ def _placed_cells(cells: CellTable, spec: PanelSpec, before: int, after: int) ->
     group = Window.partitionBy(*spec.groups)
     order = group.orderBy(_CELL)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    later = group.orderBy(F.desc(_CELL)).rowsBetween(Window.unboundedPreceding, -1)
     size = F.lit(spec.block_rows)
 
     def block_of(position: Column) -> Column:
         return F.floor(position / size).cast("long")
 
-    t = cells.table.withColumn(_START, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("long"))
-    t = t.withColumn(_SIZE, F.sum("_rows").over(group)).withColumn("_home", block_of(F.col(_START)))
-    first, last = F.col("_home"), F.col("_home")
-    if after:
-        # a block may end up to one cell beyond its nominal end
-        widest = F.max("_rows").over(group)
-        first = F.least(first, block_of(F.greatest(F.col(_START) - after - widest, F.lit(0))))
-    if before:
-        reach = block_of(F.col(_START) + F.col("_rows") + F.lit(before - 1))
-        last = F.greatest(last, F.least(reach, F.max("_home").over(group)))
-    t = t.withColumn("_to", F.sequence(first, last))
+    carried = []
     for name in cells.table.columns:
         if name.startswith("_carry_last_"):
-            t = t.withColumn(name, F.last(name, ignorenulls=True).over(earlier))
+            carried.append(F.last(name, ignorenulls=True).over(earlier).alias(name))
         elif name.startswith("_carry_next_"):
-            later = group.orderBy(F.desc(_CELL)).rowsBetween(Window.unboundedPreceding, -1)
-            t = t.withColumn(name, F.last(name, ignorenulls=True).over(later))
+            carried.append(F.last(name, ignorenulls=True).over(later).alias(name))
         elif name.startswith("_carry_first_"):
-            t = t.withColumn(name, F.first(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return t
+            carried.append(F.first(name).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    counted = cells.table.select(
+        *spec.groups,
+        _CELL,
+        "_rows",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("long").alias(_START),
+        F.sum("_rows").over(group).alias(_SIZE),
+        (F.max("_rows").over(group) if after else F.lit(0)).alias("_widest"),
+        *carried,
+    )
+    home = block_of(F.col(_START))
+    first, last = home, home
+    if after:
+        # a block may end up to one cell beyond its nominal end
+        first = block_of(F.greatest(F.col(_START) - F.col("_widest") - after, F.lit(0)))
+    if before:
+        reach = block_of(F.col(_START) + F.col("_rows") + F.lit(before - 1))
+        last = F.greatest(home, F.least(reach, block_of(F.col(_SIZE) - 1)))
+    return counted.select(*counted.columns, home.alias("_home"), F.sequence(first, last).alias("_to")).drop("_widest")
 
 
 def over_blocks(
@@ -193,30 +202,23 @@ def over_blocks(
         placed = placed.filter(F.col(_START) + F.col("_rows") > F.col(_SIZE) - (tail + before))
     placed = placed.drop("_rows")
     key_names = [*spec.groups, _CELL]
-    for k in key_names:
-        placed = placed.withColumnRenamed(k, f"_on_{k}")
+    kept = [c for c in placed.columns if c not in key_names]
+    placed = placed.select(*[F.col(k).alias(f"_on_{k}") for k in key_names], *kept)
     if cells.rows is not None and cells.rows <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
 
     rows = df.withColumn(_CELL, spec.cell_of(df))
-    match = None
-    for k in key_names:
-        same = rows[k].eqNullSafe(placed[f"_on_{k}"])
-        match = same if match is None else match & same
-    joined = rows.join(placed, match, "inner").drop(_CELL, *[f"_on_{k}" for k in key_names])
-    spread = joined.withColumn(_BLOCK, F.explode("_to")).withColumn(_OWN, F.col(_BLOCK) == F.col("_home"))
-    spread = spread.drop("_to", "_home")
+    match = reduce(and_, [rows[k].eqNullSafe(placed[f"_on_{k}"]) for k in key_names])
+    extra = [c for c in kept if c not in ("_to", "_home")]
+    spread = rows.join(placed, match, "inner").select(*df.columns, *extra, "_home", F.explode("_to").alias(_BLOCK))
 
     frame = BlockFrame(spec)
-    out = spread.withColumn(
-        _POS,
-        (F.first(_START).over(frame.running()) + F.row_number().over(frame.ordered)).cast("long"),
-    )
+    position = F.first(_START).over(frame.running()) + F.row_number().over(frame.ordered)
+    out = spread.withColumns({_OWN: F.col(_BLOCK) == F.col("_home"), _POS: position.cast("long")})
     for f in features:
         out = f.build(out, frame)
-    carried = [c for c in out.columns if c.startswith("_carry_")]
-    out = out.filter(_OWN).drop(_BLOCK, _OWN, _START, *carried)
-    return out if keep_position else out.drop(_POS, _SIZE)
+    inner = {_BLOCK, _OWN, _START, "_home", *([] if keep_position else [_POS, _SIZE])}
+    return out.filter(_OWN).select(*[c for c in out.columns if c not in inner and not c.startswith("_carry_")])
 
 
 def with_position(df: DataFrame, spec: PanelSpec, cells: CellTable | None = None) -> DataFrame:

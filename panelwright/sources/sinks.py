@@ -9,6 +9,12 @@ from panelwright.functions.arithmetic import clip_lower, error_columns, rmspe_co
 from panelwright.spec import PanelSpec
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with header; times keep their microseconds."""
+    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode(mode).option("header", True).option("timestampNTZFormat", stamp).csv(path)
+
+
 def wide_predictions(aligned: DataFrame, spec: PanelSpec, targets: list[str], horizon: int) -> DataFrame:
     """One row per key with ``{target}_actual_h{h}`` and ``{target}_pred_h{h}``."""
     aggs = []
@@ -24,11 +30,9 @@ def write_predictions(
     aligned: DataFrame, path: str, spec: PanelSpec, targets: list[str], horizon: int, metrics: DataFrame | None = None
 ) -> None:
     """``predictions`` sorted by group and time, and ``metrics`` beside it."""
-    wide_predictions(aligned, spec, targets, horizon).orderBy(*spec.keys).write.mode("overwrite").option("header", True).csv(
-        f"{path}/predictions"
-    )
+    write_csv(wide_predictions(aligned, spec, targets, horizon).orderBy(*spec.keys), f"{path}/predictions")
     if metrics is not None:
-        metrics.write.mode("overwrite").option("header", True).csv(f"{path}/metrics")
+        write_csv(metrics, f"{path}/metrics")
 
 
 def predictions_with_split(train: DataFrame, test: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -45,8 +49,7 @@ def predictions_with_split(train: DataFrame, test: DataFrame, spec: PanelSpec) -
 
 
 def write_predictions_with_split(train: DataFrame, test: DataFrame, path: str, spec: PanelSpec) -> None:
-    out = predictions_with_split(train, test, spec)
-    out.orderBy(spec.time, *spec.groups).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(predictions_with_split(train, test, spec).orderBy(spec.time, *spec.groups), path)
 
 
 def combined_intraday(parts: dict[str, DataFrame]) -> DataFrame:
@@ -62,9 +65,9 @@ def combined_intraday(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_combined_intraday(parts: dict[str, DataFrame], path: str, metrics: DataFrame | None = None) -> None:
-    combined_intraday(parts).write.mode("overwrite").option("header", True).csv(f"{path}/predictions")
+    write_csv(combined_intraday(parts), f"{path}/predictions")
     if metrics is not None:
-        metrics.write.mode("overwrite").option("header", True).csv(f"{path}/metrics")
+        write_csv(metrics, f"{path}/metrics")
 
 
 def submission(df: DataFrame, id_column: str = "Id", prediction: str = "prediction") -> DataFrame:
@@ -72,7 +75,7 @@ def submission(df: DataFrame, id_column: str = "Id", prediction: str = "predicti
 
 
 def write_submission(df: DataFrame, path: str, id_column: str = "Id", prediction: str = "prediction") -> None:
-    submission(df, id_column, prediction).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(submission(df, id_column, prediction), path)
 
 
 def errors_table(aligned: DataFrame, keys: list[str], dataset: str | None = None, contribution: bool = False) -> DataFrame:
@@ -95,11 +98,11 @@ def errors_table(aligned: DataFrame, keys: list[str], dataset: str | None = None
 
 
 def write_errors(aligned: DataFrame, path: str, keys: list[str], dataset: str) -> None:
-    errors_table(aligned, keys, dataset).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(errors_table(aligned, keys, dataset), path)
 
 
 def write_errors_rmspe(aligned: DataFrame, path: str, keys: list[str]) -> None:
-    errors_table(aligned, keys, contribution=True).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(errors_table(aligned, keys, contribution=True), path)
 
 
 def combine_predictions(spark: SparkSession, paths: dict[str, str | None], schema=None) -> DataFrame:
