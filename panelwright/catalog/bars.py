@@ -237,7 +237,7 @@ def d15(spark, sf):
         "event_type", "event_id",
         F.when(F.col("event_id") % 11 == 0, F.col("ts") - F.expr("INTERVAL '2' DAY")).otherwise(F.col("ts")).alias("ts"),
     )
-    return profile.order_violations(e, "ts", PanelSpec("event_id", ("event_type",), step=1, cell_steps=100_000))
+    return profile.order_violations(e, "ts", PanelSpec("event_id", ("event_type",), step=1, cell_steps=100_000, count_first=True))
 
 
 @query("d16_weekend_count", """SELECT count(*) FILTER (isodow(ts) >= 6) AS weekend_rows, count(*) AS rows FROM events""")
@@ -271,7 +271,7 @@ def e1_two(spark, sf):
     d = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_shipdate").agg(
         F.round(F.sum("l_extendedprice"), 2).alias("revenue")
     )
-    spec = PanelSpec("l_shipdate", ("l_returnflag", "l_linestatus"))
+    spec = PanelSpec("l_shipdate", ("l_returnflag", "l_linestatus"), count_first=True)
     return targets.shift_targets(d, spec, "revenue", 1)
 
 

@@ -284,6 +284,15 @@ def h13(spark, sf):
     return out.select("p_partkey", "p_brand_code", "p_type_code", "p_size_code")
 
 
+@query("h13_label_encode_large", f"""SELECT c_custkey, b.code AS c_name_code, m.code AS c_mktsegment_code FROM customer
+JOIN {_codes_sql("c_name", "customer")} b ON c_name = b.label JOIN {_codes_sql("c_mktsegment", "customer")} m ON c_mktsegment = m.label""")
+def h13_large(spark, sf):
+    """A dictionary as large as its table, numbered in range partitions."""
+    customer = table(spark, sf, "customer")
+    labels = encode.fit_labels(customer, ["c_name", "c_mktsegment"], large=True)
+    return labels.encode(customer, spread=["c_custkey"]).select("c_custkey", "c_name_code", "c_mktsegment_code")
+
+
 @query("c4_label_map", f"""SELECT p_partkey, p_brand AS decoded, code AS p_brand_code FROM part
 JOIN {_codes_sql("p_brand", "part")} b ON p_brand = b.label""")
 def c4(spark, sf):

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from panelwright.operators.resample import resample_ohlcv
 from panelwright.spec import PanelSpec
 
-TICK = PanelSpec("ts", ("event_type",), ("event_id",), step=60)
-BAR = PanelSpec("ts", ("event_type",), step=3600)
-STORE = PanelSpec("Date", ("Store",), step=86400)
+TICK = PanelSpec("ts", ("event_type",), ("event_id",), step=60, count_first=True)
+BAR = PanelSpec("ts", ("event_type",), step=3600, count_first=True)
+STORE = PanelSpec("Date", ("Store",), step=86400, count_first=True)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -35,6 +35,20 @@ class LabelMap:
         table = cut_lineage(self.table)
         return replace(self, table=table, rows=table.count())
 
+    @staticmethod
+    def _numbered(labels: DataFrame) -> DataFrame:
+        """Codes for a large dictionary without gathering it: labels are range partitioned and
+        sorted, and each partition starts where the ones before it end. The sorted table is
+        checkpointed first, so that a repeated task cannot move a label."""
+        ranged = labels.repartitionByRange("column", "label").sortWithinPartitions("column", "label")
+        fixed = cut_lineage(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+        sizes = fixed.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+        before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        # at most one row per partition and column
+        placed = fixed.join(F.broadcast(starts), ["column", "_part"])
+        return placed.select("column", "label", (F.col("_start") + F.col("_row") - F.col("_first")).cast("int").alias("code"))
+
     def cardinalities(self) -> DataFrame:
         return self.table.groupBy("column").agg(F.count(F.lit(1)).alias("categories"))
 
@@ -80,13 +94,18 @@ def distinct_labels(df: DataFrame, columns: list[str], null_label: str | None =
     return df.select(F.inline(F.array(*pairs))).filter(F.col("label").isNotNull()).distinct()
 
 
-def fit_labels(df: DataFrame, columns: list[str], null_label: str | None = NULL_LABEL) -> LabelMap:
+def fit_labels(
+    df: DataFrame, columns: list[str], null_label: str | None = NULL_LABEL, large: bool = False
+) -> LabelMap:
     """Label map of the given columns. Only the distinct labels are numbered, so the ordered
-    step sees the dictionary, never the rows."""
+    step sees the dictionary, never the rows. ``large`` numbers a dictionary that should not
+    meet in one task (it runs a job and gives a counted map)."""
     require_columns(df, *columns)
+    labels = distinct_labels(df, columns, null_label)
+    if large:
+        return LabelMap(tuple(columns), LabelMap._numbered(labels), null_label).materialize()
     order = Window.partitionBy("column").orderBy("label")
-    table = distinct_labels(df, columns, null_label).withColumn("code", F.row_number().over(order) - 1)
-    return LabelMap(tuple(columns), table, null_label)
+    return LabelMap(tuple(columns), labels.withColumn("code", F.row_number().over(order) - 1), null_label)
 
 
 def group_code(groups: list[str]) -> Column:

@@ -196,7 +196,7 @@ def over_blocks(
     the tail may remain, filter on the position)."""
     before = max((f.before for f in features), default=0)
     after = max((f.after for f in features), default=0)
-    cells = cells or count_cells(df, spec, features)
+    cells = cells or (fit_cells if spec.count_first else count_cells)(df, spec, features)
     placed = _placed_cells(cells, spec, before, after)
     if tail is not None:
         placed = placed.filter(F.col(_START) + F.col("_rows") > F.col(_SIZE) - (tail + before))

@@ -63,7 +63,10 @@ class PanelSpec:
     ``step`` is the usual spacing of rows in units of the order column (seconds for
     timestamps and dates, plain units for integers). ``cell_steps * step`` is the width of
     a counting cell; consecutive cells are merged until a block holds about ``block_rows``
-    rows. Both only steer how work is spread, never what is computed.
+    rows. Both only steer how work is spread, never what is computed. With ``count_first`` the
+    cells are counted by a small job of their own (two columns of the panel are read) before
+    the ordered pass; the cell table then has a known size, is broadcast if small, and the
+    panel is shuffled once instead of twice. Without it everything stays lazy.
     """
 
     time: str
@@ -72,6 +75,7 @@ class PanelSpec:
     step: int = 86400
     cell_steps: int = 4096
     block_rows: int = 500_000
+    count_first: bool = False
 
     def __post_init__(self):
         for field in ("groups", "tiebreak"):
