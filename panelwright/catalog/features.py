@@ -164,12 +164,12 @@ _QUIET = "CASE WHEN day(Date) % 10 = 0 THEN 0 ELSE Customers END"
 
 
 @query("h10_sales_per_customer", f"""WITH {STORE_DAILY_SQL}, q AS (SELECT Store, Date, Sales, {_QUIET} AS Customers FROM store_daily)
-SELECT *, {R("Sales / CASE WHEN Customers = 0 THEN 1 ELSE Customers END", 4)} AS SalesPerCustomer,
+SELECT *, Sales / CASE WHEN Customers = 0 THEN 1 ELSE Customers END AS SalesPerCustomer,
        CASE WHEN Customers > 0 THEN 1 ELSE 0 END AS HasCustomerData FROM q""")
 def h10(spark, sf):
     quiet = F.when(F.dayofmonth("Date") % 10 == 0, 0).otherwise(F.col("Customers"))
     d = store_daily(spark, sf).select("Store", "Date", "Sales", quiet.alias("Customers"))
-    return rounded(sales.domain_features(d, sales.SalesConfig()), 4)
+    return sales.domain_features(d, sales.SalesConfig())
 
 
 @query("h11_store_preprocess", f"""WITH {_MERGED}
@@ -178,10 +178,10 @@ SELECT Store, Date, Sales, Customers, DayOfWeek, Open, Promo, SchoolHoliday, Reg
        coalesce(CompetitionOpenSinceMonth, 0) AS CompetitionOpenSinceMonth, coalesce(CompetitionOpenSinceYear, 0) AS CompetitionOpenSinceYear,
        Promo2, coalesce(Promo2SinceWeek, 0.0) AS Promo2SinceWeek, coalesce(Promo2SinceYear, 0.0) AS Promo2SinceYear,
        coalesce(PromoInterval, '0') AS PromoInterval, {_COMPETITION} AS MonthsSinceCompetition, {_PROMO2} AS MonthsSincePromo2,
-       {_IN_PROMO} AS IsPromoMonth, {_ALL_DUMMIES}, {R("Sales / CASE WHEN Customers = 0 THEN 1 ELSE Customers END", 4)} AS SalesPerCustomer,
+       {_IN_PROMO} AS IsPromoMonth, {_ALL_DUMMIES}, Sales / CASE WHEN Customers = 0 THEN 1 ELSE Customers END AS SalesPerCustomer,
        CASE WHEN Customers > 0 THEN 1 ELSE 0 END AS HasCustomerData FROM merged WHERE Open = 1""")
 def h11(spark, sf):
-    return rounded(sales.store_preprocess(store_daily(spark, sf), store_dim(spark, sf), sales.SalesConfig()), 4)
+    return sales.store_preprocess(store_daily(spark, sf), store_dim(spark, sf), sales.SalesConfig())
 
 
 @query("h24_distance_bins", f"""WITH {_MERGED}, f AS (SELECT *, coalesce(CompetitionDistance, {_MEDIAN}) AS d, {_COMPETITION} AS m FROM merged)
@@ -241,20 +241,20 @@ _STANDARD_CTE = f"""{STORE_DAILY_SQL}, p AS (SELECT Store, avg(Sales) AS m, stdd
 @query("c2_scaler_lookup", f"WITH {_STANDARD_CTE} SELECT Store, Date, {R('m', 2)} AS Sales__center, {R('s', 2)} AS Sales__scale FROM z")
 def c2(spark, sf):
     d = store_daily(spark, sf).select("Store", "Date", "Sales")
-    model = scale.fit_scaler(d, "standard", ["Sales"], ["Store"])
+    model = scale.fit_scaler(d, "standard", ["Sales"], ["Store"]).materialize()
     return rounded(model.attach(d, spread=["Date"]).drop("Sales"), 2)
 
 
 @query("e17_scale", f"WITH {_STANDARD_CTE} SELECT Store, Date, {R('(Sales - m) / s')} AS Sales FROM z")
 def e17(spark, sf):
     d = store_daily(spark, sf).select("Store", "Date", "Sales")
-    return rounded(scale.fit_scaler(d, "standard", ["Sales"], ["Store"]).transform(d, spread=["Date"]))
+    return rounded(scale.fit_scaler(d, "standard", ["Sales"], ["Store"]).materialize().transform(d, spread=["Date"]))
 
 
 @query("e17_inverse_scale", f"WITH {STORE_DAILY_SQL} SELECT Store, Date, {R('Sales', 3)} AS Sales FROM store_daily")
 def e17_inverse(spark, sf):
     d = store_daily(spark, sf).select("Store", "Date", "Sales")
-    model = scale.fit_scaler(d, "robust", ["Sales"], ["Store"], spread=["Date"])
+    model = scale.fit_scaler(d, "robust", ["Sales"], ["Store"], spread=["Date"]).materialize()
     there = model.transform(d, spread=["Date"])
     return rounded(model.inverse(there, {"Sales": "Sales"}, spread=["Date"]), 3)
 
@@ -289,7 +289,7 @@ JOIN {_codes_sql("c_name", "customer")} b ON c_name = b.label JOIN {_codes_sql("
 def h13_large(spark, sf):
     """A dictionary as large as its table, numbered in range partitions."""
     customer = table(spark, sf, "customer")
-    labels = encode.fit_labels(customer, ["c_name", "c_mktsegment"], large=True)
+    labels = encode.fit_labels(customer, ["c_name", "c_mktsegment"])
     return labels.encode(customer, spread=["c_custkey"]).select("c_custkey", "c_name_code", "c_mktsegment_code")
 
 
@@ -322,12 +322,13 @@ def h20(spark, sf):
     return labels.encode(part, unseen="keep", spread=["p_partkey"]).select("p_partkey", "p_type_code")
 
 
-@query("g2_unseen_labels", """SELECT DISTINCT 'p_brand' AS "column", p_brand AS label FROM part
-WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size <= 2 AND p_type = 'ECONOMY')""")
+@query("g2_unseen_labels", """SELECT 'customer' AS "column", CAST(c_custkey AS VARCHAR) AS label FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')""")
 def g2(spark, sf):
-    part = table(spark, sf, "part")
-    known = encode.fit_labels(part.filter((F.col("p_size") <= 2) & (F.col("p_type") == "ECONOMY")), ["p_brand"])
-    return known.unseen(part)
+    """Customers unknown to a map fitted on urgent pending orders."""
+    orders = table(spark, sf, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    known = encode.fit_labels(orders.select(F.col("o_custkey").alias("customer")), ["customer"])
+    return known.unseen(table(spark, sf, "customer").select(F.col("c_custkey").alias("customer")))
 
 
 @query("d9_cardinality", """SELECT 'p_brand' AS "column", count(DISTINCT p_brand) AS categories FROM part
@@ -347,12 +348,13 @@ def _profile_sql():
     parts = []
     for c, kind in _PROFILED.items():
         n = f"count(DISTINCT {c})"
+        shown = n
         if kind == "text":
             label = "'categorical'"
         else:
             few = f"{n} BETWEEN 1 AND 20" + (f" AND NOT (max({c}) - min({c}) > {n} * 10)" if kind == "int" else "")
-            label = f"CASE WHEN {few} THEN 'categorical' ELSE 'numeric' END"
-        parts.append(f"""SELECT '{c}' AS "column", {label} AS kind, {n} AS categories FROM lineitem""")
+            label, shown = f"CASE WHEN {few} THEN 'categorical' ELSE 'numeric' END", f"CASE WHEN {few} THEN {n} END"
+        parts.append(f"""SELECT '{c}' AS "column", {label} AS kind, {shown} AS categories FROM lineitem""")
     for f in ("sin", "cos"):
         angle = "2 * pi() * month(l_shipdate) / 12"
         parts.append(

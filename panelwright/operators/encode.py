@@ -37,7 +37,7 @@ class LabelMap:
 
     @staticmethod
     def _numbered(labels: DataFrame) -> DataFrame:
-        """Codes for a large dictionary without gathering it: labels are range partitioned and
+        """Codes for a dictionary of any size without gathering it: labels are range partitioned and
         sorted, and each partition starts where the ones before it end. The sorted table is
         checkpointed first, so that a repeated task cannot move a label."""
         ranged = labels.repartitionByRange("column", "label").sortWithinPartitions("column", "label")
@@ -95,14 +95,14 @@ def distinct_labels(df: DataFrame, columns: list[str], null_label: str | None =
 
 
 def fit_labels(
-    df: DataFrame, columns: list[str], null_label: str | None = NULL_LABEL, large: bool = False
+    df: DataFrame, columns: list[str], null_label: str | None = NULL_LABEL, lazy: bool = False
 ) -> LabelMap:
-    """Label map of the given columns. Only the distinct labels are numbered, so the ordered
-    step sees the dictionary, never the rows. ``large`` numbers a dictionary that should not
-    meet in one task (it runs a job and gives a counted map)."""
+    """Label map of the given columns, numbered in range partitions and counted (runs a job).
+    ``lazy`` gives a map without any job for small dictionaries: the distinct labels of a
+    column, never its rows, are then numbered by one task."""
     require_columns(df, *columns)
     labels = distinct_labels(df, columns, null_label)
-    if large:
+    if not lazy:
         return LabelMap(tuple(columns), LabelMap._numbered(labels), null_label).materialize()
     order = Window.partitionBy("column").orderBy("label")
     return LabelMap(tuple(columns), labels.withColumn("code", F.row_number().over(order) - 1), null_label)

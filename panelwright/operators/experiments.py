@@ -124,6 +124,7 @@ def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config
     from panelwright.sources.sinks import write_errors_rmspe, write_metrics_json
 
     experiment_id = next_experiment_id(read_experiments(spark, log_path))
+    train, val = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (train, val))
     started = clock.time()
     model = PanelForecaster(config).fit(train)
     minutes = (clock.time() - started) / 60
@@ -159,4 +160,6 @@ def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config
         **values,
         **notes,
     )
+    train.unpersist()
+    val.unpersist()
     return experiment_id

@@ -149,7 +149,7 @@ class PanelForecaster:
         names = target_names(list(c.targets), c.horizon)
         require_columns(panel, *names)
         groups = list(c.spec.groups) if c.scale_per_group else []
-        labels = fit_labels(panel, c.encoded, large=True) if c.encoded else None
+        labels = fit_labels(panel, c.encoded) if c.encoded else None
         features = choose_features(panel, c)
         if not features:
             raise ValueError("no numeric feature is left to learn from")

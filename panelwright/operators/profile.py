@@ -37,29 +37,42 @@ def profile_features(df: DataFrame, exclude: list[str] = (), threshold: int = 20
 
     Seasonal by name; texts and booleans are categorical; numbers with at most ``threshold``
     distinct values too, unless they are integers spread over more than ten times as many
-    values. One aggregate over all columns."""
+    values. Numeric columns show no category count.
+
+    A first job sketches the distinct counts of all number columns in one aggregate. Columns
+    far above the threshold are numeric and are not counted exactly, so their values are never
+    shuffled; the exact counts of the others come from one more aggregate, lazily."""
     fields = [f for f in df.schema.fields if f.name not in exclude]
-    typed = df.select(
-        *[F.round(F.col(f.name), 4).alias(f.name) if is_seasonal(f.name) else F.col(f.name) for f in fields]
-    )
-    aggs = []
-    for f in fields:
-        aggs.append(F.count_distinct(F.col(f.name)).alias(f"{f.name}__n"))
+    numbers = [
+        f.name for f in fields if not is_seasonal(f.name) and not isinstance(f.dataType, (T.StringType, T.BooleanType))
+    ]
+    many = set()
+    if numbers:
+        rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numbers]).first()
+        many = {c for c in numbers if rough[c] > 3 * threshold}
+    counted = [f for f in fields if f.name not in many]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for f in counted:
+        value = F.round(F.col(f.name), 4) if is_seasonal(f.name) else F.col(f.name)
+        aggs.append(F.count_distinct(value).alias(f"{f.name}__n"))
         if isinstance(f.dataType, T.IntegralType):
             aggs += [F.max(f.name).cast("long").alias(f"{f.name}__hi"), F.min(f.name).cast("long").alias(f"{f.name}__lo")]
-    wide = typed.agg(*aggs)
+    wide = df.agg(*aggs)
+    numeric, categorical = F.lit("numeric"), F.lit("categorical")
     cells = []
     for f in fields:
         n = F.col(f"{f.name}__n")
-        if is_seasonal(f.name):
+        if f.name in many:
+            kind, size = numeric, F.lit(None)
+        elif is_seasonal(f.name):
             kind, size = F.lit("seasonal"), F.when(n == 0, F.lit(24)).otherwise(F.least(n, F.lit(100)))
         elif isinstance(f.dataType, (T.StringType, T.BooleanType)):
-            kind, size = F.when(n > 0, F.lit("categorical")).otherwise(F.lit("numeric")), n
+            kind, size = F.when(n > 0, categorical).otherwise(numeric), F.when(n > 0, n)
         else:
             few = (n > 0) & (n <= threshold)
             if isinstance(f.dataType, T.IntegralType):
                 few = few & ~((F.col(f"{f.name}__hi") - F.col(f"{f.name}__lo")) > n * 10)
-            kind, size = F.when(few, F.lit("categorical")).otherwise(F.lit("numeric")), n
+            kind, size = F.when(few, categorical).otherwise(numeric), F.when(few, n)
         cells.append(F.struct(F.lit(f.name).alias("column"), kind.alias("kind"), size.cast("long").alias("categories")))
     return wide.select(F.inline(F.array(*cells)))
 

@@ -19,7 +19,7 @@ cell table as the last / first non-null value of earlier / later cells.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
@@ -97,9 +97,11 @@ class Feature:
 
 @dataclass(frozen=True)
 class CellTable:
-    """Rows per (group, cell); ``rows`` is its own size if it has been counted."""
+    """Rows per (group, cell); ``rows`` is its own size if it has been counted,
+    ``cell_steps`` the width its cells ended up with."""
 
     table: DataFrame
+    cell_steps: int
     rows: int | None = None
 
 
@@ -132,14 +134,20 @@ def count_cells(df: DataFrame, spec: PanelSpec, features: Sequence[Feature] = ()
     order = F.col(spec.time) if not spec.tiebreak else F.struct(*spec.order)
     aggs += [F.min_by(F.col(c), order).alias(_carry_first(c)) for c in first]
     cells = df.withColumn(_CELL, spec.cell_of(df)).groupBy(*spec.groups, _CELL).agg(*aggs)
-    return CellTable(cells)
+    return CellTable(cells, spec.cell_steps)
 
 
 def fit_cells(df: DataFrame, spec: PanelSpec, features: Sequence[Feature] = ()) -> CellTable:
     """Cell table written once to the shared folder and counted, so that its size is known
-    and small ones can be broadcast (the panel is then shuffled once, not twice)."""
-    table = cut_lineage(count_cells(df, spec, features).table)
-    return CellTable(table, table.count())
+    and small ones can be broadcast (the panel is then shuffled once, not twice). Where rows
+    are denser than the spec says and a cell holds more than a block, cells are narrowed and
+    counted again."""
+    while True:
+        table = cut_lineage(count_cells(df, spec, features).table)
+        rows, widest = table.agg(F.count(F.lit(1)), F.max("_rows")).first()
+        if spec.cell_steps == 1 or (widest or 0) <= spec.block_rows:
+            return CellTable(table, spec.cell_steps, rows)
+        spec = replace(spec, cell_steps=max(1, spec.cell_steps * spec.block_rows // (2 * widest)))
 
 
 def _placed_cells(cells: CellTable, spec: PanelSpec, before: int, after: int) -> DataFrame:
@@ -197,6 +205,7 @@ def over_blocks(
     before = max((f.before for f in features), default=0)
     after = max((f.after for f in features), default=0)
     cells = cells or (fit_cells if spec.count_first else count_cells)(df, spec, features)
+    spec = replace(spec, cell_steps=cells.cell_steps)
     placed = _placed_cells(cells, spec, before, after)
     if tail is not None:
         placed = placed.filter(F.col(_START) + F.col("_rows") > F.col(_SIZE) - (tail + before))

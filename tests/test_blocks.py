@@ -145,3 +145,16 @@ def test_counted_cells_give_one_shuffle_of_the_panel(spark, sf):
     plan = over_blocks(df, spec, f)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BatchEvalPython" not in plan
     assert plan.count("Exchange hashpartitioning") == 2  # panel rows, and the small cell table
+
+
+def test_dense_cells_are_narrowed(spark, sf):
+    """The spec expects a row a day, the data has hundreds: counting first notices."""
+    df = source(spark, sf)
+    spec = PanelSpec("ts", ("g",), ("event_id",), step=3600, cell_steps=24 * 365, block_rows=30, count_first=True)
+    cells = fit_cells(df, spec)
+    assert cells.cell_steps < 24 * 30 and cells.table.agg(F.max("_rows")).first()[0] <= 30
+    got = with_position(df, spec)
+    w = Window.partitionBy("g").orderBy("ts", "event_id")
+    want = df.withColumn("_pos", F.row_number().over(w).cast("long"))
+    cols = want.columns
+    assert got.select(cols).exceptAll(want).isEmpty() and got.count() == df.count()
