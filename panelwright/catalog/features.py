@@ -181,7 +181,7 @@ SELECT Store, Date, Sales, Customers, DayOfWeek, Open, Promo, SchoolHoliday, Reg
        {_IN_PROMO} AS IsPromoMonth, {_ALL_DUMMIES}, Sales / CASE WHEN Customers = 0 THEN 1 ELSE Customers END AS SalesPerCustomer,
        CASE WHEN Customers > 0 THEN 1 ELSE 0 END AS HasCustomerData FROM merged WHERE Open = 1""")
 def h11(spark, sf):
-    return sales.store_preprocess(store_daily(spark, sf), store_dim(spark, sf), sales.SalesConfig())
+    return sales.store_preprocess(store_daily(spark, sf), store_dim(spark, sf), sales.SalesConfig(), categories=CATEGORIES)
 
 
 @query("h24_distance_bins", f"""WITH {_MERGED}, f AS (SELECT *, coalesce(CompetitionDistance, {_MEDIAN}) AS d, {_COMPETITION} AS m FROM merged)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.arithmetic import col
 from panelwright.operators.targets import target_name
 from panelwright.plans.blocks import BlockFrame, Feature, over_blocks
+from panelwright.session import cut_lineage
 from panelwright.spec import PanelSpec, require_columns
 
 METRICS = ("MAE", "MSE", "RMSE", "MAPE", "R2", "Directional_Accuracy")
@@ -43,7 +44,11 @@ def align(predictions: DataFrame, actuals: DataFrame, spec: PanelSpec) -> DataFr
 
 def with_direction(df: DataFrame, spec: PanelSpec, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
     """Adds ``direction_hit``: 1 if actual and prediction both rise (or both do not) against
-    the previous row of the same group, target and horizon, null for the first row."""
+    the previous row of the same group, target and horizon, null for the first row. With
+    ``count_first`` the rows are written once to the shared folder, since counting and
+    ordering would otherwise both run the forecast."""
+    if spec.count_first:
+        df = cut_lineage(df)
     series = spec.with_groups(*spec.groups, *[c for c in ("target", "horizon") if c in df.columns])
 
     def build(d: DataFrame, w: BlockFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from panelwright.functions.arithmetic import distance_bin, in_promo_month, month
 from panelwright.operators.clean import fill_zero, filter_rows
 from panelwright.operators.encode import categories_of, one_hot
 from panelwright.plans.lookup import key_lookup
-from panelwright.plans.quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -41,9 +40,12 @@ def merge_store_data(df: DataFrame, store: DataFrame, store_rows: int | None = N
 
 
 def distance_fill(df: DataFrame, method: str, column: str = "CompetitionDistance") -> DataFrame:
-    """One row with the value that replaces missing distances, learned on ``df``."""
+    """One row with the value that replaces missing distances, learned on ``df``. The median
+    weighs every distance with its rows: a distance belongs to a store, so one pass counts the
+    few distinct values and the median is taken over those."""
     if method == "median":
-        return exact_quantiles(df, [], [column], [0.5]).select(F.col("value").alias("fill"))
+        counts = df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return counts.agg(F.percentile("v", 0.5, F.col("n")).alias("fill"))
     if method == "max":
         return df.agg(F.max(column).cast("double").alias("fill"))
     return df.sparkSession.range(1).select(F.lit(0.0).alias("fill"))
