@@ -114,10 +114,13 @@ def test_evaluation_has_all_levels(panel, model):
 
 def test_hooks_dates_and_other_regressors(panel):
     hook = lambda d: d.withColumn("f3", F.col("f1") * F.col("f2"))
-    for name in ("gbt", "random_forest"):
+    fc.register_regressor("small_gbt", lambda f, y, p: fc.GBTRegressor(featuresCol=f, labelCol=y, predictionCol=p, maxIter=2, maxDepth=2))
+    assert {"gbt", "random_forest", "linear"} <= set(fc.available_regressors())
+    for name in ("small_gbt", "random_forest"):
         m = fc.PanelForecaster(config(horizon=1, regressor=name, hooks=(hook,), date_cycles=False, scaler="robust")).fit(panel)
         assert "f3" in m.features and "month_sin" in m.features
         assert m.predict(panel).filter(F.col("prediction").isNull()).isEmpty()
+    fc.unregister_regressor("small_gbt")
 
 
 def test_regressor_registry(panel):
