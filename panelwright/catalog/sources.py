@@ -37,7 +37,7 @@ def a1_parquet(spark, sf):
 
 @query("a2_read_ohlcv_daily", """WITH d AS (
   SELECT event_type AS symbol, date_trunc('day', ts) AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
-         min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, round(avg(value), 4) AS vwap
+         min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, round(sum(value), 2) AS turnover
   FROM events GROUP BY 1, 2)
 SELECT * FROM d WHERE day(date) % 7 <> 0""")
 def a2(spark, sf):
@@ -45,7 +45,7 @@ def a2(spark, sf):
     order = F.struct("ts", "event_id")
     day = e.groupBy(F.col("event_type").alias("Symbol"), F.col("ts").cast("date").alias("Datetime")).agg(
         F.min_by("value", order).alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"),
-        F.max_by("value", order).alias("Close"), F.count(F.lit(1)).alias("Volume"), F.round(F.avg("value"), 4).alias("VWAP"),
+        F.max_by("value", order).alias("Close"), F.count(F.lit(1)).alias("Volume"), F.round(F.sum("value"), 2).alias("Turnover"),
     )
     # unreadable closes on every seventh day, and a column of words
     words = F.when(F.dayofmonth("Datetime") % 7 == 0, F.lit("n/a")).otherwise(F.col("Close").cast("string"))
