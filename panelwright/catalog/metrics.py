@@ -194,7 +194,6 @@ def a10(spark, sf):
 _SALES_ERRORS = f"""Store, Date, actual AS "Actual_Sales", prediction AS "Predicted_Sales", {R("actual - prediction", 2)} AS "Error",
  {R("abs(actual - prediction)", 2)} AS "Abs_Error", {R("CASE WHEN actual = 0 THEN 0 ELSE (actual - prediction) / actual * 100 END")} AS "Pct_Error" """
 _ERROR_SCHEMA = "Store int, Date timestamp_ntz, Actual_Sales double, Predicted_Sales double, Error double, Abs_Error double, Pct_Error double"
-_ERROR_ROUND = {"Error": F.round, "Abs_Error": F.round}
 
 
 def _round_errors(df):

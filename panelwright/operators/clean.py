@@ -14,10 +14,9 @@ from panelwright.spec import OHLC, OHLCV, PanelSpec, market, require_columns
 
 
 def clean_ohlc_daily(df: DataFrame, spec: PanelSpec, cells: CellTable | None = None) -> DataFrame:
-    """Non-positive prices take the last positive price of their group (null if there is
-    none), high/low are swapped where crossed, negative volume becomes 0. Price nulls that
-    were already there are filled too, as soon as the column has any non-positive value
-    in the row's past or not: a forward fill never distinguishes them."""
+    """Missing and non-positive prices take the last positive price of their group (null if
+    there is none), high and low are swapped where crossed, negative volume becomes 0. Only
+    columns that are present are touched."""
     prices = [c for c in OHLC if c in df.columns]
     df = df.withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in prices})
 

@@ -6,7 +6,7 @@ import time as clock
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Columns of the experiment log, in file order.
@@ -85,8 +85,6 @@ def list_experiments(df: DataFrame, sort_by: str = "val_rmspe") -> DataFrame:
 
 def best_experiments(df: DataFrame, n: int = 5, metric: str = "val_rmspe") -> DataFrame:
     """The ``n`` smallest values of a metric, ranked. Ranking runs on the ``n`` rows kept."""
-    from pyspark.sql import Window
-
     if metric not in df.columns:
         raise ValueError(f"no metric {metric!r}")
     order = [F.col(metric).asc_nulls_last(), F.col("experiment_id")]
