@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import exact, licenses, mixing, packing, simhash
+from panelwright.llm import exact, language, licenses, mixing, packing, simhash
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_pack, op5_license_scan, op7_simhash, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op4_pack, op5_license_scan, op6_language_id, op7_simhash, op9_exact_dedup, op10_mix_sources)}
 
 
 def oracle_sql():
