@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import exact, language, licenses, mixing, packing, simhash
+from panelwright.llm import exact, language, licenses, mixing, packing, simhash, toxicity
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,6 +15,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,7 +44,7 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_pack, op5_license_scan, op6_language_id, op7_simhash, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op4_pack, op5_license_scan, op6_language_id, op7_simhash, op9_exact_dedup, op10_mix_sources)}
 
 
 def oracle_sql():
