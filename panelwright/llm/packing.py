@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,6 @@ BATCH_TEXT = 4 << 20  # characters that are encoded at once
 
 IDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
 
 
 @lru_cache(maxsize=1)
@@ -42,48 +42,60 @@ def tokenizer(path: str):
     return own
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before every single space between characters that are not white space."""
-    parts = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-    return [parts[0], *(" " + p for p in parts[1:])] if len(parts) > 1 else parts
-
-
 class Encoder:
-    """Ids of many texts; chunks that were seen before are not encoded again."""
+    """Ids of many texts; chunks that were seen before are not encoded again. The text is cut at
+    single spaces; each chunk but the first stands for itself with the space before it."""
 
     def __init__(self, path: str, cached: int = CACHED):
         self.path, self.cached = path, cached
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # ends[i] of chunk i - 1
-        self.used = 0
+        self.known: dict[str, int] = {}  # chunks after a space, or first ones with FIRST before them
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.ends, self.n = np.zeros(1 << 14, np.int64), 0  # chunk k has the ids from ends[k] to ends[k + 1]
 
     def _learn(self, new: list[str]) -> None:
+        own = tokenizer(self.path)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for chunk, code in zip(part, tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, n = code.ids, len(self.known)
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-                if n + 2 > len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.ends[n + 1] = self.used
-                self.known[chunk] = n
+            plain = [c[1:] if c[:1] == FIRST else " " + c for c in part]
+            ids, lengths = [], []
+            for code in own.encode_batch_fast(plain, add_special_tokens=False):
+                got = code.ids
+                ids += got
+                lengths.append(len(got))
+            self.ids = _room(self.ids, self.used, len(ids))
+            self.ends = _room(self.ends, self.n + 1, len(part))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.ends[self.n + 1 : self.n + 1 + len(part)] = self.used + np.cumsum(lengths)
+            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+            self.used, self.n = self.used + len(ids), self.n + len(part)
+
+    def _cut(self, text: str, checked: bool) -> list[str]:
+        if FIRST in text:
+            return [FIRST + text]
+        parts = _CUT.split(text) if checked else text.split(" ")
+        parts[0] = FIRST + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids end."""
-        cut = [chunks(t) for t in texts]
-        flat = [c for parts in cut for c in parts]
-        if len(self.known) > self.cached:
+        if self.n > self.cached:
             self._forget()
-        known = self.known
-        self._learn(list({c for c in flat if c not in known}))
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        cut = [self._cut(t, False) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        at = list(map(self.known.get, flat))
+        if None in at:
+            new = {c for c, k in zip(flat, at, strict=True) if k is None}
+            odd = {c for c in new if _is_odd(c)}
+            if odd:  # white space beside a space: those texts are cut where that is safe
+                cut = [self._cut(t, True) if not odd.isdisjoint(parts) else parts for t, parts in zip(texts, cut, strict=True)]
+                flat = list(chain.from_iterable(cut))
+                new = {c for c in flat if c not in self.known}
+            self._learn(list(new))
+            at = list(map(self.known.__getitem__, flat))
+        at = np.array(at, np.int64)
         starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -92,6 +104,20 @@ class Encoder:
         return ids, ends[last - 1] if len(ends) else np.zeros(0, np.int64)
 
 
+FIRST = "\ue000"  # marks a text's first chunk; texts that hold it are not cut
+
+
+def _is_odd(chunk: str) -> bool:
+    body = chunk[1:] if chunk[:1] == FIRST else chunk
+    return not body or body[0].isspace() or body[-1].isspace()
+
+
+def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(values):
+        return values
+    return np.concatenate([values, np.empty(max(len(values), more), values.dtype)])
+
+
 def piece_lengths(n: int, most: int = MOST) -> list[int]:
     """Full pieces, then the binary digits of the rest."""
     rest = n % most
