@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import exact, language, licenses, mixing, packing, simhash, toxicity
+from panelwright.llm import exact, language, licenses, mixing, packing, simhash, spans, topk, toxicity
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +19,14 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_repeated_spans(spark, sf_dir):
+    return spans.span_report(table(spark, sf_dir, "documents"))
+
+
+def op3_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -44,8 +52,8 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op4_pack, op5_license_scan, op6_language_id, op7_simhash, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_top_k, op4_pack, op5_license_scan, op6_language_id, op7_simhash, op9_exact_dedup, op10_mix_sources)}
 
 
 def oracle_sql():
-    return {"op5_license_scan": licenses.SQL, "op9_exact_dedup": exact.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op2_repeated_spans": spans.SQL, "op3_top_k": topk.SQL, "op5_license_scan": licenses.SQL, "op9_exact_dedup": exact.SQL, "op10_mix_sources": mixing.SQL}
