@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import exact, language, licenses, mixing, packing, simhash, spans, topk, toxicity
+from panelwright.llm import exact, language, licenses, mixing, packing, simhash, spans, suffixes, topk, toxicity
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,6 +43,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_top_k, op4_pack, op5_license_scan, op6_language_id, op7_simhash, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_top_k, op4_pack, op5_license_scan, op6_language_id, op7_simhash, op8_suffix_dedup, op9_exact_dedup, op10_mix_sources)}
 
 
 def oracle_sql():
