@@ -2,11 +2,11 @@
 
 A fingerprint bit is set if more than half of the shingle hashes have it. Fingerprints within
 ``radius`` bits are found without comparing all pairs: correlated bits are grouped into parts,
-and every part gets a threshold of its own (skipped, equal, or two bits) such that the thresholds
+and every part gets a threshold of its own (skipped, equal, two or four bits) such that the thresholds
 plus one add up to ``radius + 1``; two fingerprints within the radius then agree on one part up to
 its threshold. Dynamic programming chooses parts and thresholds by the estimated numbers of
 candidates and probes, from bit counts over all fingerprints. Equal parts meet by their value; two
-bits apart meet because each side is entered under its value and its one-bit neighbours. Within a
+(four) bits apart meet because each side is entered under its one-bit (two-bit) neighbours too. Within a
 bucket all pairs are verified, and only edges that span the linked rows are returned. Large
 buckets are divided into blocks, each pair of blocks being a task's work.
 
@@ -159,8 +159,8 @@ def allocate(both: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int
         for group in groups:
             chance = np.cumsum(agreement(p, group))
             cost = {-1: 0.0}
-            for t, entries in ((0, 1), (2, len(group) + 1)):
-                cost[t] = ENTRY * n * entries + PAIR * n * n / 2 * chance[min(t, len(group))]
+            for t in (0, 2, 4):
+                cost[t] = ENTRY * n * len(flips(group, t)) + PAIR * n * n / 2 * chance[min(t, len(group))]
             after: dict[int, tuple[float, list]] = {}
             for got, (spent, choice) in state.items():
                 for t, c in cost.items():
@@ -177,6 +177,14 @@ def allocate(both: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int
 ENTRY, PAIR = 1.0, 0.02
 
 
+def flips(bits: list[int], threshold: int) -> list[int]:
+    """What to change in a part's value so that two values within the threshold share an entry:
+    each side is entered under all values within half of it."""
+    single = [1 << b for b in bits]
+    double = [x | y for k, x in enumerate(single) for y in single[:k]] if threshold == 4 else []
+    return [0, *(single if threshold else []), *double]
+
+
 def _mask(bits: list[int]) -> int:
     return _signed(sum(1 << b for b in bits))
 
@@ -185,8 +193,7 @@ def entries(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """Rows (bucket, fp, checks, id): each node under the values of its parts."""
     values = []
     for k, (bits, t) in enumerate(parts):
-        flips = [0, *(_signed(1 << b) for b in bits)] if t == 2 else [0]
-        values += [(k, _mask(bits), flip) for flip in flips]
+        values += [(k, _mask(bits), _signed(flip)) for flip in flips(bits, t)]
     each = F.array(
         *[F.xxhash64(F.lit(k), F.col("fp").bitwiseXOR(F.lit(flip)).bitwiseAND(F.lit(mask))) for k, mask, flip in values]
     )
@@ -225,75 +232,115 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 def _close(fp, checks, i, j, radius, angle):
+    """The pairs within the radius and the angle, and how many check bits differ."""
     near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-    if checks.shape[1] and angle is not None:
-        i, j = i[near], j[near]
-        differ = np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1)
+    i, j = i[near], j[near]
+    differ = np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1)
+    if angle is not None:
         sure = differ <= angle * BITS * checks.shape[1]
-        return i[sure], j[sure]
-    return i[near], j[near]
+        i, j, differ = i[sure], j[sure], differ[sure]
+    return i, j, differ
 
 
-def linked(part, fp, checks, radius, angle):
-    """For rows sorted by part: the first row that each row is linked to within its part."""
+def close_pairs(part, fp, checks, radius, angle, few: int):
+    """For rows sorted by part, in portions: pairs of rows (i < j) of a part that are close, how
+    many check bits differ, and whether the part has more than ``few`` rows."""
     n = len(part)
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     size = np.diff(np.append(starts, n))
-    us, vs, held = [np.arange(0)], [np.arange(0)], 0
-
-    def keep(i, j):
-        nonlocal us, vs, held
-        us.append(i)
-        vs.append(j)
-        held += len(i)
-        if held > 2_000_000:  # edges of dense parts shrink to a tree
-            label = spanning(np.concatenate(us), np.concatenate(vs), n)
-            rest = np.flatnonzero(label != np.arange(n))
-            us, vs, held = [rest], [label[rest]], len(rest)
-
     last = np.repeat(starts + size, size)
-    big = np.repeat(size > 256, size)
-    alive, step = np.flatnonzero(~big), 1
+    alive, step = np.flatnonzero(np.repeat(size <= few, size)), 1
     while len(alive):
         alive = alive[alive + step < last[alive]]
-        keep(*_close(fp, checks, alive, alive + step, radius, angle))
+        yield *_close(fp, checks, alive, alive + step, radius, angle), False
         step += 1
-    for begin, count in zip(starts[size > 256].tolist(), size[size > 256].tolist(), strict=True):
+    for begin, count in zip(starts[size > few].tolist(), size[size > few].tolist(), strict=True):
         rows = np.arange(begin, begin + count)
         for at in range(0, count, 256):
             i, j = np.nonzero(np.bitwise_count(fp[rows[at : at + 256], None] ^ fp[None, rows[at:]]) <= radius)
             i, j = rows[at + i], rows[at + j]
             less = i < j
-            keep(*_close(fp, checks, i[less], j[less], radius, angle))
-    return spanning(np.concatenate(us), np.concatenate(vs), n)
+            yield *_close(fp, checks, i[less], j[less], radius, angle), True
 
 
-def links(nodes: DataFrame, radius: int, angle: float | None = None, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between ids of nodes (id, fp, checks): their components are those of all pairs
-    within ``radius`` bits, and within ``angle`` as share of the check bits if it is given."""
-    n, both = bit_counts(nodes)
-    if not n:
-        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    rows = dealt(entries(nodes, allocate(both, n, radius)), block).select("part", "fp", "id", "checks")
+def tree(part, fp, checks, radius, angle, few=256):
+    """Edges that span what the close pairs connect."""
+    n = len(part)
+    us, vs, held = [np.arange(0)], [np.arange(0)], 0
+    for i, j, *_ in close_pairs(part, fp, checks, radius, angle, few):
+        us.append(i)
+        vs.append(j)
+        held += len(i)
+        if held > 2_000_000:  # edges of dense parts shrink to a tree
+            label = spanning(np.concatenate(us), np.concatenate(vs), n)
+            rest = np.flatnonzero(label != np.arange(n))
+            us, vs, held = [rest], [label[rest]], len(rest)
+    label = spanning(np.concatenate(us), np.concatenate(vs), n)
+    rest = np.flatnonzero(label != np.arange(n))
+    yield rest, label[rest]
+
+
+def nearest(part, fp, checks, radius, angle, few=64):
+    """All close pairs of small parts; in large ones each row's nearest row before it."""
+    n = len(part)
+    best, partner = np.full(n, BITS * 64), np.zeros(n, np.int64)
+    for i, j, differ, large in close_pairs(part, fp, checks, radius, angle, few):
+        if not large:
+            yield i, j
+            continue
+        order = np.lexsort((differ, j))
+        i, j, differ = i[order], j[order], differ[order]
+        first = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
+        i, j, differ = i[first], j[first], differ[first]
+        better = differ < best[j]
+        best[j[better]], partner[j[better]] = differ[better], i[better]
+    found = np.flatnonzero(best < BITS * 64)
+    yield partner[found], found
+
+
+EDGES = "a long, b long"
+
+
+def _edges(choose, radius, angle):
+    """Edges between ids of rows (part, fp, id, checks, ...), sorted by part; ``choose`` picks
+    them from whole parts."""
 
     def run(batches):
         rest = None
         for batch in _ended(batches):
             if batch is not None:
-                fresh_rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-                flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(fresh_rows[0]), -1)
-                rows = [*fresh_rows, flat] if rest is None else [np.concatenate(x) for x in zip(rest, [*fresh_rows, flat], strict=True)]
+                new = [c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last part may go on
                 rest, rows = [x[cut:] for x in rows], [x[:cut] for x in rows]
             else:
                 rows, rest = rest, None
             if rows is None or not len(rows[0]):
                 continue
-            label = linked(rows[0], rows[1].view(np.uint64), rows[3].view(np.uint64), radius, angle)
-            at = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[2][at]), pa.array(rows[2][label[at]])], ["a", "b"])
+            part, fp, ids, checks, *label = rows
+            for i, j in choose(part, fp.view(np.uint64), checks.view(np.uint64), radius, angle):
+                if label:  # already connected
+                    apart = label[0][i] != label[0][j]
+                    i, j = i[apart], j[apart]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+
+    return run
+
+
+def every(part, fp, checks, radius, angle):
+    for i, j, *_ in close_pairs(part, fp, checks, radius, angle, 256):
+        yield i, j
+
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+def links(rows: DataFrame, choose, radius: int, angle: float | None = None) -> DataFrame:
+    """Edges (a, b) between the ids of close rows, chosen per part."""
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(choose, radius, angle), EDGES)
+
+
+def bucketed(nodes: DataFrame, radius: int, block: int) -> DataFrame:
+    """Rows (part, fp, id, checks) of the buckets that ``radius`` needs."""
+    n, both = bit_counts(nodes)
+    return dealt(entries(nodes, allocate(both, n, radius)), block).select("part", "fp", "id", "checks")
 
 
 def _ended(batches):
@@ -301,48 +348,94 @@ def _ended(batches):
     yield None
 
 
-def groups(prints: DataFrame, radius: int, angle: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(fp, checks, component_id) of written fingerprints (doc_id, fp, checks)."""
-    nodes = written(
-        prints.groupBy("fp", "checks").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "nodes"
-    )
-    found = components(links(nodes, radius, angle, block))
-    member = nodes.join(found, nodes["id"] == found["node"], "left").withColumn("root", F.coalesce("root", "id"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return member.join(least, "root").select("fp", "checks", "component_id")
+def numbered_prints(prints: DataFrame) -> DataFrame:
+    """One row per fingerprint: id, smallest ``doc_id``, the hash of one of its texts."""
+    sums = prints.groupBy("fp", "checks").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
+    return written(sums.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
 
-def same(df: DataFrame, right: DataFrame) -> Column:
-    return (df["fp"] == right["fp"]) & (df["checks"] == right["checks"])
+def with_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with the root of their component over ``edges`` and its smallest ``doc_id``."""
+    found = components(edges)
+    member = nodes.join(found, nodes["id"] == found["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(member.join(least, "root"), "members")
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """One row per document: fingerprint and the smallest ``doc_id`` it is linked to."""
     prints = written(fingerprints(docs, width), "prints")
-    found = written(groups(prints, radius, block=block), "groups")
+    nodes = numbered_prints(prints)
+    found = nodes.select("fp", F.col("least").alias("component_id")) if nodes.isEmpty() else with_component(
+        nodes, links(bucketed(nodes, radius, block), tree, radius)
+    )
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(found.select("fp", "component_id"), "fp").select("doc_id", text, "component_id")
 
 
-#: The stage's candidates: word pairs, of which an edit touches two instead of five.
-CANDIDATE_WIDTH, CANDIDATE_RADIUS = 2, 8
-SHINGLE, SIMILARITY, CHECKS = 5, 0.8, 3
+#: The stage's candidates: fingerprints of word pairs, of which an edit touches two instead of five.
+CANDIDATE_WIDTH, CANDIDATE_RADIUS = 2, 11
+SHINGLE, SIMILARITY, CHECKS = 5, 0.8, 2
+FEW = 256  # rows of a bucket up to which all its pairs are verified at once
+
 
+def similar_angle(similarity: float, bits: int = CHECKS * BITS, sigmas: float = 2.0) -> float:
+    """Share of differing bits up to which two shingle sets may be similar: what is expected of
+    equally large sets with this Jaccard similarity, and some standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return share + sigmas * math.sqrt(share * (1 - share) / bits)
 
-def similar_angle(similarity: float) -> float:
-    """Expected share of differing bits of two equally large shingle sets with this Jaccard
-    similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(text_hash, shingles) of the texts whose hashes are wanted."""
 
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS) -> DataFrame:
-    """One document of each group of near copies stays, with the columns of ``docs``. Candidates
-    are fingerprints of word pairs within ``radius`` bits; two documents are linked if the
-    fingerprints of their five-word shingles (3 x 64 bits) show ``similarity`` or more. The one
-    with the smallest ``doc_id`` stays, with all rows of that ``doc_id`` in the group."""
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()), width)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    own = texts.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    return own.mapInArrow(run, "text_hash long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose texts have that Jaccard similarity of shingle sets."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = nodes.select("id", "text_hash").join(ids, "id", "left_semi")
+    sets = written(named.join(shingle_sets(docs, named.select("text_hash"), width), "text_hash").select("id", "shingles"), "sets")
+    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
+    return written(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "alike")
+
+
+def drop_near_copies(
+    docs: DataFrame, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, few: int = FEW, block: int = BLOCK
+) -> DataFrame:
+    """One document of each group of near copies stays, with the columns of ``docs``: documents
+    are linked if their sets of five-word shingles have ``similarity`` or more. Candidates are
+    fingerprints of word pairs within ``radius`` bits whose further fingerprints (128 bits of the
+    shingles) allow it; each candidate's shingle sets are compared. In large buckets each row
+    first meets its nearest one only; then the pairs that are still apart are compared too. The
+    smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
     prints = written(fingerprints(docs, CANDIDATE_WIDTH, CHECKS, SHINGLE), "prints")
-    found = written(groups(prints, radius, similar_angle(similarity)), "groups")
-    lost = prints.join(found, same(prints, found)).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = lost.select(F.col("doc_id").alias("_lost"), "text_hash").distinct()
+    nodes = numbered_prints(prints)
+    if nodes.isEmpty():
+        return docs
+    rows, angle = bucketed(nodes, radius, block), similar_angle(similarity)
+    first = lambda *x: nearest(*x, few=few)
+    edges = verified(links(rows, first, radius, angle), nodes, docs, similarity, SHINGLE)
+    large = written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("part"), "large")
+    if not large.isEmpty():
+        roots = with_component(nodes, edges).select("id", "root")
+        apart = rows.join(large, "part").join(roots, "id").select("part", "fp", "id", "checks", "root")
+        edges = edges.unionByName(verified(links(apart, every, radius, angle), nodes, docs, similarity, SHINGLE))
+    found = with_component(nodes, edges)
+    lost = prints.join(found, (prints["fp"] == found["fp"]) & (prints["checks"] == found["checks"])).filter(
+        ~prints["doc_id"].eqNullSafe(F.col("component_id"))
+    )
+    gone = lost.select(prints["doc_id"].alias("_lost"), prints["text_hash"]).distinct()
     match = docs["doc_id"].cast("long").eqNullSafe(gone["_lost"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
     return docs.join(gone, match, "left_anti")
