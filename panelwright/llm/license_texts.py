@@ -135,6 +135,7 @@ TEXTS = [
 SPELLINGS = [
     ("licenc", "licens"),
     ("sub licens", "sublicens"),
+    ("sublicenc", "sublicens"),
     ("organis", "organiz"),
     ("recognis", "recogniz"),
     ("authoris", "authoriz"),
