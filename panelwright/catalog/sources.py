@@ -71,6 +71,28 @@ def a3(spark, sf):
     return readers.read_ohlcv_intraday(spark, path, spec, schema=schema)
 
 
+# Forms in which the mixed file writes its times, with their DuckDB counterparts.
+MIXED = [("dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S"), ("MM-dd-yyyy HH:mm:ss", "%m-%d-%Y %H:%M:%S"), ("yyyyMMdd HHmmss", "%Y%m%d %H%M%S")]
+
+
+@query("a3_read_mixed_formats", f"""WITH written AS (
+  SELECT event_id, event_type, value, CASE event_id % 4 {" ".join(f"WHEN {k} THEN strftime(ts, '{d}')" for k, (_, d) in enumerate(MIXED))}
+         ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS text FROM events)
+SELECT event_id, event_type AS symbol, CASE event_id % 4 {" ".join(f"WHEN {k} THEN strptime(text, '{d}')" for k, (_, d) in enumerate(MIXED))}
+       ELSE strptime(text, '%Y-%m-%d %H:%M:%S') END AS timestamp, value AS close FROM written""")
+def a3_mixed(spark, sf):
+    """Day first with slashes, month first with dashes, digits alone, and ISO, in one column."""
+    forms = [F.when(F.col("event_id") % 4 == k, F.date_format("ts", f)) for k, (f, _) in enumerate(MIXED)]
+    raw = table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("Symbol"), F.coalesce(*forms, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("Datetime"),
+        F.col("value").alias("Close"),
+    )
+    path = _as_csv(raw, "mixed")
+    spec = PanelSpec("timestamp", ("symbol",), ("event_id",), step=60)
+    schema = "event_id long, Symbol string, Datetime string, Close double"
+    return readers.read_ohlcv_intraday(spark, path, spec, validate=False, schema=schema, formats=[f for f, _ in MIXED])
+
+
 @query("a4_read_sales_tables", f"""WITH {SALES_SQL}
 SELECT 'train' AS part, count(*) AS rows, count(DISTINCT Store) AS stores FROM store_daily WHERE Date < DATE '2001-01-01'
 UNION ALL SELECT 'test', count(*), count(DISTINCT Store) FROM store_daily WHERE Date >= DATE '2001-01-01'

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -47,9 +48,9 @@ def test_missing_and_empty_files(spark, tmp_path):
         readers.read_time_series(spark, write(tmp_path, "e.csv", "date,v\n"), schema="date string, v double")
 
 
-def test_unreadable_dates_become_null(spark, tmp_path):
+def test_unreadable_dates_become_null_on_request(spark, tmp_path):
     path = write(tmp_path, "t.csv", "date,v\n2024-01-05,1\nsoon,2\n,\n")
-    out = rows(readers.read_time_series(spark, path, schema="date string, v double"), "v")
+    out = rows(readers.read_time_series(spark, path, schema="date string, v double", unreadable="null"), "v")
     assert [(r["date"], r["v"]) for r in out] == [(dt.datetime(2024, 1, 5), 1.0), (None, 2.0)]
 
 
@@ -96,3 +97,45 @@ def test_combining_nothing_is_an_error(spark, tmp_path):
 def test_submission_clips(spark):
     df = spark.createDataFrame([(1, -4.0), (2, 7.0), (3, None)], "Id long, prediction double")
     assert [r["Sales"] for r in rows(sinks.submission(df), "Id")] == [0.0, 7.0, None]
+
+
+@pytest.mark.parametrize("read", [
+    lambda df, **o: readers.daily_bars(df, **o),
+    lambda df, **o: readers.intraday_bars(df, PanelSpec("date", ("g",), ("n",)), **o),
+    lambda df, **o: readers.time_series(df, **o),
+])
+def test_unreadable_times_are_never_lost_unnoticed(spark, read):
+    texts = ["01/02/2024 09:30", "2024-02-01 09:31", "soon"]
+    df = spark.createDataFrame([(t, "a", n, *[1.0] * 5) for n, t in enumerate(texts)], "date string, g string, n int, open double, high double, low double, close double, volume double")
+    with pytest.raises(Exception, match="no time: (soon|01/02/2024 09:30)"):
+        read(df).collect()
+    day_first = ["dd/MM/yyyy HH:mm"]
+    with pytest.raises(Exception, match="no time: soon"):
+        read(df, formats=day_first).collect()
+    good = df.filter("date <> 'soon'")
+    assert {str(r.date) for r in read(good, formats=day_first).collect()} == {"2024-02-01 09:30:00", "2024-02-01 09:31:00"}
+    assert tuple(readers.unreadable_times(df, "date", day_first).first()) == (1, "soon")
+    assert tuple(readers.unreadable_times(good, "date", day_first).first()) == (0, None)
+
+
+def test_rows_without_a_time_raise_or_are_dropped_on_request(spark):
+    df = spark.createDataFrame([(None, "a", 1.0), (" ", "a", 1.0), ("2024-01-01", "a", 2.0)], "timestamp string, g string, close double")
+    spec = PanelSpec("timestamp", ("g",))
+    with pytest.raises(Exception, match="a row without timestamp"):
+        readers.intraday_bars(df, spec).collect()
+    assert readers.intraday_bars(df, spec, missing="drop").count() == 1
+    assert readers.as_time(df.filter("timestamp is null").union(spark.createDataFrame([("x", "a", 1.0)], df.schema)), "timestamp", unreadable="null").count() == 2
+
+
+@pytest.mark.parametrize("name,kind", [("x.orchard/f.csv", "csv"), ("a.parquet/b.json", "json"), ("t.orc", "orc"), ("f.json.gz", "json"), ("d.v1.parquet/", "parquet")])
+def test_format_comes_from_the_last_part_of_the_path(spark, tmp_path, name, kind):
+    df = spark.createDataFrame([(1, "a")], "n int, s string")
+    path = str(tmp_path / "made") + f".{kind}"
+    df.write.format(kind).option("header", True).save(path)
+    target = tmp_path / name
+    target.parent.mkdir(parents=True, exist_ok=True)
+    if name.endswith(".gz"):
+        df.write.format(kind).option("compression", "gzip").save(str(target))
+    else:
+        os.rename(path, str(target))
+    assert [(int(r.n), r.s) for r in readers.read_table(spark, str(target) + ("/" if name.endswith("/") else "")).collect()] == [(1, "a")]
