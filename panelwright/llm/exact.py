@@ -185,12 +185,15 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     best = written(live_digests(digests(docs)).filter("group_size > 1"), "live")
     key, mark = fresh(docs, "_digest"), fresh(docs, "_best")
     own = best.select(F.col("digest").alias(key), F.struct("length", "keep_id", "ties").alias(mark))
-    keyed = docs.withColumn(key, digest(F.col("text"))).join(own, key, "left")
+    # one shuffle of the documents at every size; Spark splits the hot digests
+    keyed = docs.withColumn(key, digest(F.col("text"))).join(own.hint("shuffle_hash"), key, "left")
     held = F.col(mark)
     stays = held.isNull() | (
         (F.length(F.coalesce("text", F.lit(""))) == held["length"]) & docs["doc_id"].cast("long").eqNullSafe(held["keep_id"])
     )
     left = keyed.filter(stays)
+    if best.filter("ties > 1").isEmpty():
+        return left.select(*docs.columns)
     alone = left.filter(held.isNull() | (held["ties"] == 1))
     # rows that agree with the best copy in everything that ranks them: one of each digest stays
     order = Window.partitionBy(key).orderBy("text")

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.tables import written
+from panelwright.llm.tables import held, written
 
 START = "▁"  # fixed value: the vocabulary's mark of a word's start
 PER_LANGUAGE = 4000  # documents that a language is learnt from, about
 ROUNDS = 3
 SMOOTH = 0.1
 LONG = 48  # longer words are scored one by one, rescaled on the way
-CACHED = 400_000  # words a worker process remembers
+CACHED = 900_000  # words a worker process remembers
 BATCH_TEXT = 2 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,53 +50,63 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> tuple[dict[str, int], int]:
-    """Number of every lower-case piece, and the longest one's length; one number more stands for
-    characters that are no piece."""
+    """Number of every lower-case piece, and how many there are; beginnings of pieces that are
+    none themselves have number -1. One number more stands for characters that are no piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    kept = sorted({p for p in map(model.id_to_piece, plain) if p.lstrip(START).isalpha() or p == START} - {""})
-    kept = [p for p in kept if p == p.lower()]
-    return {p: k for k, p in enumerate(kept)}, max(map(len, kept))
+    kept = sorted(p for p in set(map(model.id_to_piece, plain)) if p == p.lower() and (p.lstrip(START).isalpha() or p == START))
+    beginnings = {p[:k]: -1 for p in kept for k in range(1, len(p))}
+    return beginnings | {p: k for k, p in enumerate(kept)}, len(kept)
+
+
+def edges(text: str, vocabulary: dict[str, int], unknown: int):
+    """(begin, end, piece) of all pieces in a marked word."""
+    get, n = vocabulary.get, len(text)
+    for begin in range(n):
+        end = begin + 1
+        k = get(text[begin])
+        yield begin, end, unknown if k is None or k < 0 else k
+        while k is not None and end < n:
+            end += 1
+            k = get(text[begin:end])
+            if k is not None and k >= 0:
+                yield begin, end, k
 
 
 class Lattice:
     """All pieces of many words: piece ``piece[e]`` leads from state ``tail[e]`` to ``head[e]``.
-    Words occupy consecutive states; edges are ordered by the position where they end."""
+    Words occupy consecutive states; edges are ordered by their end in the word, then by word."""
 
-    def __init__(self, words: list[str], vocabulary: dict[str, int], longest: int):
-        tail, head, piece, depth, first = [], [], [], [], []
-        unknown, at = len(vocabulary), 0
-        get = vocabulary.get
+    def __init__(self, words: list[str], vocabulary: dict[str, int], unknown: int):
+        tail, head, piece, first, at = [], [], [], [], 0
         for word in words:
             text = START + word
             first.append(at)
-            for end in range(1, len(text) + 1):
-                for begin in range(max(0, end - longest), end):
-                    k = get(text[begin:end])
-                    if k is None:
-                        if begin < end - 1 or get(text[begin]) is not None:
-                            continue
-                        k = unknown
-                    tail.append(at + begin)
-                    head.append(at + end)
-                    piece.append(k)
-                    depth.append(end)
+            for begin, end, k in edges(text, vocabulary, unknown):
+                tail.append(at + begin)
+                head.append(at + end)
+                piece.append(k)
             at += len(text) + 1
         self.states, self.first = at, np.array(first, np.int64)
         self.last = np.append(self.first[1:], at) - 1 if words else self.first
-        order = np.argsort(np.array(depth, np.int64), kind="stable")
-        self.tail, self.head, self.piece = (np.array(x, np.int64)[order] for x in (tail, head, piece))
-        deepest = np.array(depth, np.int64)[order]
-        self.steps = np.flatnonzero(np.diff(np.concatenate([[-1], deepest, [-1]])))
+        tail, head, piece = (np.array(x, np.int64) for x in (tail, head, piece))
+        depth = (head - self.first[np.searchsorted(self.first, head, "right") - 1]).astype(np.uint16)
+        order = np.argsort(head, kind="stable")
+        order = order[np.argsort(depth[order], kind="stable")]
+        self.tail, self.head, self.piece, depth = tail[order], head[order], piece[order], depth[order]
+        self.steps = np.flatnonzero(np.diff(depth.astype(np.int64), prepend=-1, append=-1))
+        self.heads = np.flatnonzero(np.diff(self.head, prepend=-1))  # the first edge of every state
+        self.cuts = np.searchsorted(self.heads, self.steps)
 
     def forward(self, chance: np.ndarray) -> np.ndarray:
         """Sums over all ways from a word's start to each of its states; ``chance`` is by edge."""
         alpha = np.zeros((self.states, *chance.shape[1:]))
         alpha[self.first] = 1
-        for a, b in zip(self.steps[:-1], self.steps[1:], strict=True):
-            np.add.at(alpha, self.head[a:b], alpha[self.tail[a:b]] * chance[a:b])
+        for k, (a, b) in enumerate(zip(self.steps[:-1], self.steps[1:], strict=True)):
+            begins = self.heads[self.cuts[k] : self.cuts[k + 1]]
+            alpha[self.head[begins]] = np.add.reduceat(alpha[self.tail[a:b]] * chance[a:b], begins - a, axis=0)
         return alpha
 
     def backward(self, chance: np.ndarray) -> np.ndarray:
@@ -107,34 +117,36 @@ class Lattice:
         return beta
 
 
-def long_word(word: str, vocabulary: dict[str, int], longest: int, chance: np.ndarray) -> np.ndarray:
+def long_word(word: str, vocabulary: dict[str, int], unknown: int, chance: np.ndarray) -> np.ndarray:
     """Log probability of one word by language, rescaled at every position."""
     text = START + word
-    window, scale = [np.ones(chance.shape[1])], np.zeros(chance.shape[1])
-    for end in range(1, len(text) + 1):
-        total = np.zeros(chance.shape[1])
-        for back, before in enumerate(reversed(window), 1):
-            k = vocabulary.get(text[end - back : end])
-            if k is None and back == 1:
-                k = len(vocabulary)
-            if k is not None:
-                total += before * chance[k]
-        window = [x / total for x in [*window[-longest + 1 :], total]]
-        scale += np.log(total)
-    return scale
-
-
-def word_scores(words: list[str], vocabulary, longest, chance: np.ndarray) -> np.ndarray:
+    scale, total = np.zeros(chance.shape[1]), {0: np.ones(chance.shape[1])}
+    for begin in range(len(text)):
+        here = total.pop(begin)
+        scale += np.log(here)
+        for k in total:
+            total[k] = total[k] / here
+        for start, end, k in edges(text[begin : begin + LONGEST], vocabulary, unknown):
+            if start:
+                break
+            total[begin + end] = total.get(begin + end, 0) + chance[k]
+    return scale + np.log(total[len(text)])
+
+
+LONGEST = 64  # no piece of a public vocabulary is longer
+
+
+def word_scores(words: list[str], vocabulary, unknown, chance: np.ndarray) -> np.ndarray:
     """Log probability of every word by language."""
     out = np.empty((len(words), chance.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= LONG]
     for at in range(0, len(short), 20_000):
         part = short[at : at + 20_000]
-        lattice = Lattice([words[i] for i in part], vocabulary, longest)
+        lattice = Lattice([words[i] for i in part], vocabulary, unknown)
         out[part] = np.log(lattice.forward(chance[lattice.piece])[lattice.last])
     for i, w in enumerate(words):
         if len(w) > LONG:
-            out[i] = long_word(w, vocabulary, longest, chance)
+            out[i] = long_word(w, vocabulary, unknown, chance)
     return out
 
 
@@ -157,7 +169,7 @@ def _expected(path: str, languages: list[str], chance: np.ndarray):
     """Expected uses of every piece over rows of a lexicon, as rows (cell, n)."""
 
     def run(batches):
-        vocabulary, longest = pieces(path)
+        vocabulary, unknown = pieces(path)
         number = {lang: k for k, lang in enumerate(languages)}
         used = np.zeros(chance.shape)
         for batch in batches:
@@ -165,7 +177,7 @@ def _expected(path: str, languages: list[str], chance: np.ndarray):
             rows = [(number[lang], w, n) for lang, w, n in zip(langs, words, counts, strict=True) if len(w) <= LONG]
             for at in range(0, len(rows), 20_000):
                 own, texts, times = zip(*rows[at : at + 20_000], strict=True)
-                lattice = Lattice(list(texts), vocabulary, longest)
+                lattice = Lattice(list(texts), vocabulary, unknown)
                 word = np.searchsorted(lattice.first, lattice.tail, "right") - 1
                 column = np.array(own)[word]
                 p = chance[lattice.piece, column]
@@ -180,15 +192,14 @@ def _expected(path: str, languages: list[str], chance: np.ndarray):
 
 def learn(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS):
     """(languages, log priors, piece probabilities by language) of rows (doc_id, lang, text)."""
-    vocabulary, _ = pieces(path)
+    size = pieces(path)[1] + 1
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     languages = sorted(counts, key=lambda x: x.encode())
     if not languages:
-        return [], np.zeros(0), np.zeros((len(vocabulary) + 1, 0))
+        return [], np.zeros(0), np.zeros((size, 0))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])[F.col("lang")]
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
     words = written(lexicon(chosen), "lexicon")
-    size = len(vocabulary) + 1
     chance = np.full((size, len(languages)), 1 / size)
     for _ in range(rounds):
         sums = words.mapInArrow(_expected(path, languages, chance), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -205,7 +216,7 @@ class Scorer:
     """Posterior of the best language for many texts; words seen before are not scored again."""
 
     def __init__(self, path, languages, prior, chance):
-        self.vocabulary, self.longest = pieces(path)
+        self.vocabulary, self.unknown = pieces(path)
         self.languages, self.prior, self.chance = languages, prior, chance
         self._forget()
 
@@ -217,7 +228,7 @@ class Scorer:
         letters = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
         start = len(self.known)
         self.known.update(zip(words, range(start, start + len(words)), strict=True))
-        new = word_scores(letters, self.vocabulary, self.longest, self.chance)
+        new = word_scores(letters, self.vocabulary, self.unknown, self.chance)
         new[[not w for w in letters]] = np.nan  # digits in disguise: no word
         if start + len(words) > len(self.scores):
             room = np.zeros((max(2 * len(self.scores), start + len(words)), len(self.languages)))
@@ -247,23 +258,13 @@ class Scorer:
         )
 
 
-_SCORERS: dict[str, Scorer] = {}  # the last model of this worker process
-
-
-def _scorer(key: str, path, languages, prior, chance) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(path, languages, prior, chance)
-    return _SCORERS[key]
-
-
 def predict(docs: DataFrame, path: str, model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``."""
     languages, prior, chance = model
     shared, key = docs.sparkSession.sparkContext.broadcast(chance), uuid.uuid4().hex  # pieces x languages
 
     def run(batches):
-        scorer = _scorer(key, path, languages, prior, shared.value) if languages else None
+        scorer = held(key, lambda: Scorer(path, languages, prior, shared.value)) if languages else None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             names, scores, at = [], [], 0

@@ -13,10 +13,11 @@ spaces between other characters, where the vocabulary's pre-tokenizer always cut
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.tables import held
+
 MOST = 1024  # ids of the longest sequence; a power of two
 SEPARATOR = 0
-CACHED = 800_000  # chunks of text a worker process remembers
-BATCH_TEXT = 4 << 20  # characters that are encoded at once
+CACHED = 900_000  # chunks of text a worker process remembers
+BATCH_TEXT = 1 << 20  # characters that are encoded at once
 
 IDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -42,6 +45,15 @@ def tokenizer(path: str):
     return own
 
 
+@lru_cache(maxsize=1)
+def spaced(path: str) -> np.ndarray:
+    """Which ids begin with a space (written as U+0120)."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[k for token, k in vocabulary.items() if token[0] == "\u0120"]] = True
+    return out
+
+
 class Encoder:
     """Ids of many texts; chunks that were seen before are not encoded again. The text is cut at
     single spaces; each chunk but the first stands for itself with the space before it."""
@@ -56,21 +68,27 @@ class Encoder:
         self.ends, self.n = np.zeros(1 << 14, np.int64), 0  # chunk k has the ids from ends[k] to ends[k + 1]
 
     def _learn(self, new: list[str]) -> None:
-        own = tokenizer(self.path)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            plain = [c[1:] if c[:1] == FIRST else " " + c for c in part]
-            ids, lengths = [], []
-            for code in own.encode_batch_fast(plain, add_special_tokens=False):
-                got = code.ids
-                ids += got
-                lengths.append(len(got))
-            self.ids = _room(self.ids, self.used, len(ids))
-            self.ends = _room(self.ends, self.n + 1, len(part))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.ends[self.n + 1 : self.n + 1 + len(part)] = self.used + np.cumsum(lengths)
-            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.used, self.n = self.used + len(ids), self.n + len(part)
+        alone = [c for c in new if c[:1] == FIRST or " " in c]
+        ids = [x.ids for x in tokenizer(self.path).encode_batch_fast([c[1:] if c[:1] == FIRST else " " + c for c in alone], add_special_tokens=False)]
+        self._keep(alone, np.array(list(chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids)), np.int64))
+        # of a chunk without a space inside, only the first id begins with a space
+        rest = [c for c in new if not (c[:1] == FIRST or " " in c)]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            (code,) = tokenizer(self.path).encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(code.ids, np.uint32)
+            begins = np.flatnonzero(spaced(self.path)[ids])
+            self._keep(part, ids, np.diff(np.append(begins, len(ids))))
+
+    def _keep(self, part: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        if len(part) != len(lengths):
+            raise ValueError("the vocabulary does not cut at single spaces")
+        self.ids = _room(self.ids, self.used, len(ids))
+        self.ends = _room(self.ends, self.n + 1, len(part))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(part)] = self.used + np.cumsum(lengths)
+        self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+        self.used, self.n = self.used + len(ids), self.n + len(part)
 
     def _cut(self, text: str, checked: bool) -> list[str]:
         if FIRST in text:
@@ -79,23 +97,28 @@ class Encoder:
         parts[0] = FIRST + parts[0]
         return parts
 
+    def _found(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids end."""
         if self.n > self.cached:
             self._forget()
         cut = [self._cut(t, False) for t in texts]
         flat = list(chain.from_iterable(cut))
-        at = list(map(self.known.get, flat))
-        if None in at:
-            new = {c for c, k in zip(flat, at, strict=True) if k is None}
+        at = self._found(flat)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = {flat[k] for k in unknown}
             odd = {c for c in new if _is_odd(c)}
             if odd:  # white space beside a space: those texts are cut where that is safe
                 cut = [self._cut(t, True) if not odd.isdisjoint(parts) else parts for t, parts in zip(texts, cut, strict=True)]
                 flat = list(chain.from_iterable(cut))
-                new = {c for c in flat if c not in self.known}
+                at = self._found(flat)
+                unknown = np.flatnonzero(at < 0)
+                new = {flat[k] for k in unknown}
             self._learn(list(new))
-            at = list(map(self.known.__getitem__, flat))
-        at = np.array(at, np.int64)
+            at[unknown] = self._found([flat[k] for k in unknown])
         starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -124,15 +147,10 @@ def piece_lengths(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
-    """One per worker process: what it has learnt serves the tasks that follow."""
-    return Encoder(path)
-
-
 def _pieces(path: str, most: int, with_ids: bool):
     def run(batches):
-        encoder, counts = encoder_of(path), np.zeros(most.bit_length(), np.int64)
+        gc.disable()  # strings and numbers form no cycles; searching them for some costs a fifth of the time
+        encoder, counts = held(("encoder", path), lambda: Encoder(path)), np.zeros(most.bit_length(), np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -144,6 +162,7 @@ def _pieces(path: str, most: int, with_ids: bool):
                     size += len(take[-1])
                 yield _packed(encoder, ids_of[at : at + len(take)], take, counts, task, most, with_ids)
                 at += len(take)
+        gc.enable()
 
     return run
 

@@ -18,6 +18,7 @@ table gives no rows; other columns pass through ``drop_near_copies``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.tables import components, written
+from panelwright.llm.tables import components, held, written
 
 BITS = 64
 SEED = 42
@@ -78,6 +79,7 @@ def fingerprints(docs: DataFrame, width: int, checks: int = 0, check_width: int
     further ones of ``check_width``-word shingles, as signed 64-bit numbers."""
 
     def run(batches):
+        held(None, dict)  # what earlier stages kept in this process is not needed
         for batch in batches:
             fps, more = [], []
             for text in batch.column(2):
@@ -189,15 +191,42 @@ def _mask(bits: list[int]) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
+def entry_table(parts) -> list[tuple[int, int]]:
+    """(part, flip) of every entry of a node."""
+    return [(k, flip) for k, (bits, t) in enumerate(parts) for flip in flips(bits, t)]
+
+
+class Met:
+    """Tells whether two rows of a bucket meet there first: a pair that shares several buckets
+    counts in the first of its parts, at one value of it."""
+
+    def __init__(self, parts):
+        table = entry_table(parts)
+        self.part = np.array([k for k, _ in table])
+        self.flip = np.array([f for _, f in table], np.uint64)
+        self.masks = np.array([_mask(bits) for bits, _ in parts], np.int64).view(np.uint64)
+        self.limits = np.array([t for _, t in parts])
+
+    def first(self, fp, entry, i, j):
+        differ = fp[i] ^ fp[j]
+        near = np.bitwise_count(differ[:, None] & self.masks) <= self.limits
+        k = self.part[entry[i]]
+        mask, limit = self.masks[k], self.limits[k]
+        own, there = fp[i] & mask, differ & mask
+        low = there & (~there + np.uint64(1))
+        value = np.where(np.bitwise_count(there) == 2, np.minimum(own ^ low, own ^ there ^ low), np.minimum(own, fp[j] & mask))
+        return (near.argmax(axis=1) == k) & ((limit > 2) | ((own ^ (self.flip[entry[i]] & mask)) == value))
+
+
 def entries(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows (bucket, fp, checks, id): each node under the values of its parts."""
-    values = []
-    for k, (bits, t) in enumerate(parts):
-        values += [(k, _mask(bits), _signed(flip)) for flip in flips(bits, t)]
+    """Rows (bucket, entry, fp, checks, id): each node under the values of its parts."""
     each = F.array(
-        *[F.xxhash64(F.lit(k), F.col("fp").bitwiseXOR(F.lit(flip)).bitwiseAND(F.lit(mask))) for k, mask, flip in values]
+        *[
+            F.xxhash64(F.lit(k), F.col("fp").bitwiseXOR(F.lit(_signed(flip))).bitwiseAND(F.lit(_mask(parts[k][0]))))
+            for k, flip in entry_table(parts)
+        ]
     )
-    return nodes.select(F.explode(each).alias("bucket"), "fp", "checks", "id")
+    return nodes.select(F.posexplode(each).alias("entry", "bucket"), "fp", "checks", "id")
 
 
 def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -231,43 +260,57 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = after
 
 
-def _close(fp, checks, i, j, radius, angle):
+@dataclass
+class Rows:
+    """Rows of whole parts, sorted by part; rows with equal labels are connected already."""
+
+    part: np.ndarray
+    fp: np.ndarray
+    ids: np.ndarray
+    checks: np.ndarray
+    entry: np.ndarray
+    label: np.ndarray | None = None
+
+
+def _close(rows: Rows, i, j, radius, angle):
     """The pairs within the radius and the angle, and how many check bits differ."""
-    near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+    near = np.bitwise_count(rows.fp[i] ^ rows.fp[j]) <= radius
+    if rows.label is not None:
+        near &= rows.label[i] != rows.label[j]
     i, j = i[near], j[near]
-    differ = np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1)
+    differ = np.bitwise_count(rows.checks[i] ^ rows.checks[j]).sum(axis=1)
     if angle is not None:
-        sure = differ <= angle * BITS * checks.shape[1]
+        sure = differ <= angle * BITS * rows.checks.shape[1]
         i, j, differ = i[sure], j[sure], differ[sure]
     return i, j, differ
 
 
-def close_pairs(part, fp, checks, radius, angle, few: int):
-    """For rows sorted by part, in portions: pairs of rows (i < j) of a part that are close, how
-    many check bits differ, and whether the part has more than ``few`` rows."""
-    n = len(part)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+def close_pairs(rows: Rows, radius, angle, few: int):
+    """In portions: pairs of rows (i < j) of a part that are close, how many check bits differ,
+    and whether the part has more than ``few`` rows."""
+    n = len(rows.part)
+    starts = np.flatnonzero(np.concatenate([[True], rows.part[1:] != rows.part[:-1]]))
     size = np.diff(np.append(starts, n))
     last = np.repeat(starts + size, size)
     alive, step = np.flatnonzero(np.repeat(size <= few, size)), 1
     while len(alive):
         alive = alive[alive + step < last[alive]]
-        yield *_close(fp, checks, alive, alive + step, radius, angle), False
+        yield *_close(rows, alive, alive + step, radius, angle), False
         step += 1
     for begin, count in zip(starts[size > few].tolist(), size[size > few].tolist(), strict=True):
-        rows = np.arange(begin, begin + count)
+        own = np.arange(begin, begin + count)
         for at in range(0, count, 256):
-            i, j = np.nonzero(np.bitwise_count(fp[rows[at : at + 256], None] ^ fp[None, rows[at:]]) <= radius)
-            i, j = rows[at + i], rows[at + j]
+            i, j = np.nonzero(np.bitwise_count(rows.fp[own[at : at + 256], None] ^ rows.fp[None, own[at:]]) <= radius)
+            i, j = own[at + i], own[at + j]
             less = i < j
-            yield *_close(fp, checks, i[less], j[less], radius, angle), True
+            yield *_close(rows, i[less], j[less], radius, angle), True
 
 
-def tree(part, fp, checks, radius, angle, few=256):
+def tree(rows: Rows, met: Met, radius, angle, few=256):
     """Edges that span what the close pairs connect."""
-    n = len(part)
+    n = len(rows.part)
     us, vs, held = [np.arange(0)], [np.arange(0)], 0
-    for i, j, *_ in close_pairs(part, fp, checks, radius, angle, few):
+    for i, j, *_ in close_pairs(rows, radius, angle, few):
         us.append(i)
         vs.append(j)
         held += len(i)
@@ -280,13 +323,14 @@ def tree(part, fp, checks, radius, angle, few=256):
     yield rest, label[rest]
 
 
-def nearest(part, fp, checks, radius, angle, few=64):
+def nearest(rows: Rows, met: Met, radius, angle, few=64):
     """All close pairs of small parts; in large ones each row's nearest row before it."""
-    n = len(part)
+    n = len(rows.part)
     best, partner = np.full(n, BITS * 64), np.zeros(n, np.int64)
-    for i, j, differ, large in close_pairs(part, fp, checks, radius, angle, few):
+    for i, j, differ, large in close_pairs(rows, radius, angle, few):
         if not large:
-            yield i, j
+            here = met.first(rows.fp, rows.entry, i, j)
+            yield i[here], j[here]
             continue
         order = np.lexsort((differ, j))
         i, j, differ = i[order], j[order], differ[order]
@@ -298,18 +342,30 @@ def nearest(part, fp, checks, radius, angle, few=64):
     yield partner[found], found
 
 
+def every(rows: Rows, met: Met, radius, angle):
+    """All close pairs."""
+    for i, j, *_ in close_pairs(rows, radius, angle, 256):
+        here = met.first(rows.fp, rows.entry, i, j)
+        yield i[here], j[here]
+
+
 EDGES = "a long, b long"
 
 
-def _edges(choose, radius, angle):
-    """Edges between ids of rows (part, fp, id, checks, ...), sorted by part; ``choose`` picks
-    them from whole parts."""
+def _edges(choose, met: Met, radius, angle):
+    """Edges between ids of rows (part, fp, id, checks, entry, label if there is one), sorted by
+    part; ``choose`` picks them from whole parts."""
+
+    def column(values, n):
+        if pa.types.is_list(values.type):
+            return values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        return values.to_numpy(zero_copy_only=False)
 
     def run(batches):
         rest = None
         for batch in _ended(batches):
             if batch is not None:
-                new = [c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                new = [column(c, batch.num_rows) for c in batch.columns]
                 rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last part may go on
                 rest, rows = [x[cut:] for x in rows], [x[:cut] for x in rows]
@@ -317,30 +373,24 @@ def _edges(choose, radius, angle):
                 rows, rest = rest, None
             if rows is None or not len(rows[0]):
                 continue
-            part, fp, ids, checks, *label = rows
-            for i, j in choose(part, fp.view(np.uint64), checks.view(np.uint64), radius, angle):
-                if label:  # already connected
-                    apart = label[0][i] != label[0][j]
-                    i, j = i[apart], j[apart]
+            part, fp, ids, checks, *more = rows
+            whole = Rows(part, fp.view(np.uint64), ids, checks.view(np.uint64), *more)
+            for i, j in choose(whole, met, radius, angle):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
     return run
 
 
-def every(part, fp, checks, radius, angle):
-    for i, j, *_ in close_pairs(part, fp, checks, radius, angle, 256):
-        yield i, j
-
-
-def links(rows: DataFrame, choose, radius: int, angle: float | None = None) -> DataFrame:
+def links(rows: DataFrame, choose, met: Met, radius: int, angle: float | None = None) -> DataFrame:
     """Edges (a, b) between the ids of close rows, chosen per part."""
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(choose, radius, angle), EDGES)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(choose, met, radius, angle), EDGES)
 
 
-def bucketed(nodes: DataFrame, radius: int, block: int) -> DataFrame:
-    """Rows (part, fp, id, checks) of the buckets that ``radius`` needs."""
+def bucketed(nodes: DataFrame, radius: int, block: int) -> tuple[DataFrame, Met]:
+    """Rows (part, fp, id, checks, entry) of the buckets that ``radius`` needs."""
     n, both = bit_counts(nodes)
-    return dealt(entries(nodes, allocate(both, n, radius)), block).select("part", "fp", "id", "checks")
+    parts = allocate(both, n, radius)
+    return dealt(entries(nodes, parts), block).select("part", "fp", "id", "checks", "entry"), Met(parts)
 
 
 def _ended(batches):
@@ -366,20 +416,22 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, block: int = B
     """One row per document: fingerprint and the smallest ``doc_id`` it is linked to."""
     prints = written(fingerprints(docs, width), "prints")
     nodes = numbered_prints(prints)
-    found = nodes.select("fp", F.col("least").alias("component_id")) if nodes.isEmpty() else with_component(
-        nodes, links(bucketed(nodes, radius, block), tree, radius)
-    )
+    if nodes.isEmpty():
+        found = nodes.select("fp", F.col("least").alias("component_id"))
+    else:
+        rows, met = bucketed(nodes, radius, block)
+        found = with_component(nodes, links(rows, tree, met, radius))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(found.select("fp", "component_id"), "fp").select("doc_id", text, "component_id")
 
 
 #: The stage's candidates: fingerprints of word pairs, of which an edit touches two instead of five.
 CANDIDATE_WIDTH, CANDIDATE_RADIUS = 2, 11
-SHINGLE, SIMILARITY, CHECKS = 5, 0.8, 2
+SHINGLE, SIMILARITY, CHECKS, FIRST = 5, 0.8, 16, 2
 FEW = 256  # rows of a bucket up to which all its pairs are verified at once
 
 
-def similar_angle(similarity: float, bits: int = CHECKS * BITS, sigmas: float = 2.0) -> float:
+def similar_angle(similarity: float, bits: int, sigmas: float) -> float:
     """Share of differing bits up to which two shingle sets may be similar: what is expected of
     equally large sets with this Jaccard similarity, and some standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -395,7 +447,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
 
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    own = texts.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    own = texts.join(wanted.hint("shuffle_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     return own.mapInArrow(run, "text_hash long, shingles array<long>")
 
 
@@ -416,26 +468,27 @@ def drop_near_copies(
 ) -> DataFrame:
     """One document of each group of near copies stays, with the columns of ``docs``: documents
     are linked if their sets of five-word shingles have ``similarity`` or more. Candidates are
-    fingerprints of word pairs within ``radius`` bits whose further fingerprints (128 bits of the
-    shingles) allow it; each candidate's shingle sets are compared. In large buckets each row
-    first meets its nearest one only; then the pairs that are still apart are compared too. The
-    smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
+    fingerprints of word pairs within ``radius`` bits whose further fingerprints (of the shingles)
+    allow it; each candidate's shingle sets are compared. In large buckets each row first meets
+    its nearest one only; then the pairs that are still apart are compared too, after a sharper
+    look at 1024 further bits. The smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
     prints = written(fingerprints(docs, CANDIDATE_WIDTH, CHECKS, SHINGLE), "prints")
     nodes = numbered_prints(prints)
     if nodes.isEmpty():
         return docs
-    rows, angle = bucketed(nodes, radius, block), similar_angle(similarity)
+    rows, met = bucketed(nodes.withColumn("checks", F.slice("checks", 1, FIRST)), radius, block)
     first = lambda *x: nearest(*x, few=few)
-    edges = verified(links(rows, first, radius, angle), nodes, docs, similarity, SHINGLE)
+    edges = verified(links(rows, first, met, radius, similar_angle(similarity, FIRST * BITS, 2.0)), nodes, docs, similarity, SHINGLE)
     large = written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("part"), "large")
     if not large.isEmpty():
-        roots = with_component(nodes, edges).select("id", "root")
-        apart = rows.join(large, "part").join(roots, "id").select("part", "fp", "id", "checks", "root")
-        edges = edges.unionByName(verified(links(apart, every, radius, angle), nodes, docs, similarity, SHINGLE))
+        known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
+        apart = rows.drop("checks").join(large, "part").join(known, "id").select("part", "fp", "id", "checks", "entry", "label")
+        angle = similar_angle(similarity, CHECKS * BITS, 1.0)
+        edges = edges.unionByName(verified(links(apart, every, met, radius, angle), nodes, docs, similarity, SHINGLE))
     found = with_component(nodes, edges)
     lost = prints.join(found, (prints["fp"] == found["fp"]) & (prints["checks"] == found["checks"])).filter(
         ~prints["doc_id"].eqNullSafe(F.col("component_id"))
     )
     gone = lost.select(prints["doc_id"].alias("_lost"), prints["text_hash"]).distinct()
     match = docs["doc_id"].cast("long").eqNullSafe(gone["_lost"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
-    return docs.join(gone, match, "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), match, "left_anti")

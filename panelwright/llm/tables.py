@@ -86,3 +86,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one large object that a worker process keeps between tasks (a model, a cache of
+    encoded words); another key replaces it, so that the stages of a pipeline do not pile up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -42,6 +42,8 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     """Per segment, sqrt(l) times mean and deviation: their inner products bound those of the vectors."""
+    if not v.shape[1]:
+        return np.zeros((len(v), 2))
     edges = np.linspace(0, v.shape[1], min(segments, v.shape[1]) + 1).astype(int)
     parts = [v[:, a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     means = [p.sum(axis=1) / np.sqrt(p.shape[1]) for p in parts]

@@ -5,7 +5,7 @@ and of its beginnings, so inflected forms of a learnt word stand near it. Filter
 one, two and three words are max-pooled over the whole text; a logistic layer gives the score.
 A bounded sample of labelled rows (``POSITIVE`` and ``NEGATIVE`` rows, chosen by a hash of
 ``doc_id``; the loss weighs them back to the true shares) trains the model; every fifth row of
-it is kept aside and sets the thresholds: one for all, which the scores are shifted to show as
+it is kept aside, if enough of them are toxic, and sets the thresholds (else all rows do): one for all, which the scores are shifted to show as
 ``CUT``, and one per language where enough rows of it are toxic. Language decides only which
 threshold a score is held against; it never enters the score.
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.tables import fresh, written
+from panelwright.llm.tables import fresh, held, written
 
 POSITIVE, NEGATIVE = 3000, 5000  # labelled rows that training uses at most, about
 BUCKETS, DIMENSIONS = 1 << 16, 16
@@ -36,12 +36,11 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)  # lengths of the beginnings
 START = 1e-6  # squared gradients that Adagrad starts from, which damps words seen once
 SCALE = 0.05
-PASSES, EPOCHS, BATCH, RATE = 24_000, (3, 8), 32, 0.1  # rows seen in training, epochs at least and most
+PASSES, EPOCHS, BATCH, RATE = 24_000, (3, 25), 32, 0.1  # rows seen in training, epochs at least and most
 CUT = 0.7
 ENOUGH = 25  # toxic rows kept aside that a language needs for a threshold of its own
-CACHED = 300_000  # words a worker process remembers
+CACHED = 200_000  # words a worker process remembers
 BATCH_TEXT = 2 << 20
-PAD = max(WIDTHS) - 1
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,6 +48,11 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
+def padding(words: int) -> int:
+    """Blank words after a text: every word begins a window, and an empty text has one too."""
+    return max(WIDTHS) - (1 if words else 0)
+
+
 def features(word: str) -> list[int]:
     """Buckets of the word and of its beginnings, by which inflected forms meet."""
     parts = ["=" + word, *(word[:n] for n in STEMS if len(word) > n)]
@@ -83,13 +87,16 @@ class Network:
         d = DIMENSIONS
         return np.concatenate([vectors @ f[k * d : (k + 1) * d] for w, f in zip(WIDTHS, self.filters, strict=True) for k in range(w)], axis=1)
 
-    def responses(self, rows: np.ndarray) -> np.ndarray:
-        """Filter outputs at every word; ``rows`` are projections, each text ending in padding."""
+    def responses(self, rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Filter outputs at every word; ``rows`` are projections, texts end at ``ends``, and no
+        window reaches beyond."""
         out, at = [], 0
         for w in WIDTHS:
             total = rows[:, at : at + FILTERS].copy()
             for k in range(1, w):
                 total[:-k] += rows[k:, at + k * FILTERS : at + (k + 1) * FILTERS]
+            for k in range(1, w):
+                total[ends - k] = -np.inf
             out.append(total)
             at += w * FILTERS
         return np.concatenate(out, axis=1)
@@ -112,7 +119,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
     flat = np.array([k for x in lists for k in x], np.int64)
     begin = np.cumsum(sizes) - sizes
     blank = len(vocabulary)  # the padding word, a zero vector
-    docs = [np.concatenate([d, np.full(PAD, blank)]) for d in docs]
+    docs = [np.concatenate([d, np.full(padding(len(d)), blank)]) for d in docs]
     state = {k: np.full(v.shape, START, np.float32) for k, v in (("v", net.vectors), ("b", net.bias), ("w", net.weights))}
     filter_state, shift_state, d = [np.full(f.shape, START, np.float32) for f in net.filters], START, DIMENSIONS
     for epoch in range(max(EPOCHS[0], min(EPOCHS[1], PASSES // max(1, len(docs))))):
@@ -130,7 +137,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
             vectors = np.zeros((len(used), d), np.float32)
             if len(real):
                 vectors[: len(real)] = np.add.reduceat(net.vectors[buckets], np.cumsum(n) - n, axis=0) / n[:, None]
-            outputs = net.responses(net.projected(vectors)[place])
+            outputs = net.responses(net.projected(vectors)[place], ends)
             pooled = np.maximum.reduceat(outputs, starts, axis=0)
             hidden = np.maximum(pooled + net.bias, 0)
             score = sigmoid(hidden @ net.weights + net.shift)
@@ -148,8 +155,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
                 r, c, g = rows[mine], columns[mine] - k * FILTERS, back[mine]
                 gradient = np.zeros_like(f)
                 for step in range(w):
-                    # a window that would pass the text's end stands on padding, whose vector is 0
-                    word = place[np.minimum(r + step, len(place) - 1)]
+                    word = place[r + step]
                     np.add.at(gradient[step * d : (step + 1) * d].T, c, vectors[word] * g[:, None])
                     np.add.at(d_vectors, word, f[step * d : (step + 1) * d].T[c] * g[:, None])
                 filter_state[k] += gradient**2
@@ -195,7 +201,8 @@ class Scorer:
         self.rows = np.zeros((1, FILTERS * sum(WIDTHS)), np.float32)
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        cut = [[*words_of(t), *[""] * PAD] for t in texts]
+        cut = [words_of(t) for t in texts]
+        cut = [[*words, *[""] * padding(len(words))] for words in cut]
         if len(self.known) > CACHED:
             self._forget()
         flat = [w for words in cut for w in words]
@@ -210,8 +217,8 @@ class Scorer:
             self.rows[start : start + len(new)] = self.net.projected(self.net.embedded(new))
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         lengths = np.array([len(words) for words in cut])
-        starts = np.cumsum(lengths) - lengths
-        pooled = np.maximum.reduceat(self.net.responses(self.rows[at]), starts, axis=0)
+        ends = np.cumsum(lengths)
+        pooled = np.maximum.reduceat(self.net.responses(self.rows[at], ends), ends - lengths, axis=0)
         return self.net.logits(pooled)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -240,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     texts = docs.select("doc_id", "lang", "text").join(sample, docs["doc_id"].cast("long") == sample["_id"])
     rows = sorted(texts.select("_id", "_toxic", "lang", "text").toArrow().to_pylist(), key=lambda r: (r["_id"], r["text"] or ""))
     toxic = np.array([r["_toxic"] for r in rows], np.float32)
-    aside = np.array([zlib.crc32(f"aside{r['_id']}".encode()) % 5 == 0 for r in rows])
+    apart = np.array([zlib.crc32(f"aside{r['_id']}".encode()) % 5 == 0 for r in rows], bool)
+    aside = apart & (toxic[apart].sum() >= ENOUGH)  # few toxic rows are all needed to learn from
     if not (toxic[~aside].any() and (toxic[~aside] == 0).any()):
         return None
     weight = np.where(toxic == 1, 1 / share[1], 1 / share[0]).astype(np.float32)
@@ -248,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     inside, text = np.flatnonzero(~aside), [r["text"] or "" for r in rows]
     net = train([text[i] for i in inside], toxic[inside], weight[inside])
     logits = Scorer(net).logits
-    held = np.flatnonzero(aside) if toxic[aside].sum() >= ENOUGH else np.arange(len(rows))
+    held = np.flatnonzero(aside) if aside.any() else np.arange(len(rows))
     found = np.concatenate([logits([text[i] for i in held[k : k + 500]]) for k in range(0, len(held), 500)])
     move = np.log(CUT / (1 - CUT)) - best_cut(found, toxic[held], weight[held])
     net.shift += move
@@ -259,16 +267,6 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     return net
 
 
-_SCORERS: dict[str, Scorer] = {}  # the last model of this worker process
-
-
-def _scorer(key: str, net: Network) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(net)
-    return _SCORERS[key]
-
-
 def scored(docs: DataFrame, net: Network | None, name: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text."""
     if net is None:
@@ -277,7 +275,7 @@ def scored(docs: DataFrame, net: Network | None, name: str = "score") -> DataFra
     text, plain = docs.columns.index("text"), [f"c{k}" for k in range(len(docs.columns))]
 
     def run(batches):
-        scorer = _scorer(key, shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             values = scorer.scores(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*plain, "score"])
