@@ -259,7 +259,7 @@ class PanelForecastModel:
         newest = latest_window(scaled_panel, c.spec, scaled, c.sequence_length, last_columns=tuple(codes))
         prepared = newest.withColumn("features", _vector(c, codes))
         steps = self.predict_prepared(prepared).withColumnRenamed("horizon", "step").filter(F.col("step") <= n)
-        seconds = seconds or c.spec.step
+        seconds = seconds or c.spec.step or 86400
         when = future_timestamps(newest.select(*c.spec.keys), c.spec.time, n, kind, seconds)
         return when.join(steps, [*c.spec.keys, "step"], "inner")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelwright.session import cut_lineage
-from panelwright.spec import PanelSpec
+from panelwright.spec import PanelSpec, order_value, unit_of
 
 # A cell table is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 500_000
@@ -97,11 +97,12 @@ class Feature:
 
 @dataclass(frozen=True)
 class CellTable:
-    """Rows per (group, cell); ``rows`` is its own size if it has been counted,
-    ``cell_steps`` the width its cells ended up with."""
+    """Rows per (group, cell); ``width`` and ``tie_width`` are the size of its cells, ``rows`` its
+    own size if it has been counted."""
 
     table: DataFrame
-    cell_steps: int
+    width: int
+    tie_width: int | None = None
     rows: int | None = None
 
 
@@ -123,8 +124,14 @@ def _edge(name: str, spec: PanelSpec, newest: bool) -> Column:
     return (F.max_by if newest else F.min_by)(F.col(name), by)
 
 
-def count_cells(df: DataFrame, spec: PanelSpec, features: Sequence[Feature] = ()) -> CellTable:
+DAYS = 4096  # width of a cell, in days, where nothing tells more
+
+
+def count_cells(
+    df: DataFrame, spec: PanelSpec, features: Sequence[Feature] = (), width: int | None = None, tie_width: int | None = None
+) -> CellTable:
     """Cell table of a panel, lazily. Carried columns bring their edge values along."""
+    width = width or spec.width(df) or DAYS * 86400 * unit_of(df, spec.time)
     last = sorted({c for f in features for c in f.carry_last})
     nxt = sorted({c for f in features for c in f.carry_next})
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -133,21 +140,42 @@ def count_cells(df: DataFrame, spec: PanelSpec, features: Sequence[Feature] = ()
     first = sorted({c for f in features for c in f.carry_first})
     order = F.col(spec.time) if not spec.tiebreak else F.struct(*spec.order)
     aggs += [F.min_by(F.col(c), order).alias(_carry_first(c)) for c in first]
-    cells = df.withColumn(_CELL, spec.cell_of(df)).groupBy(*spec.groups, _CELL).agg(*aggs)
-    return CellTable(cells, spec.cell_steps)
+    cells = df.withColumn(_CELL, spec.cell_of(df, width, tie_width)).groupBy(*spec.groups, _CELL).agg(*aggs)
+    return CellTable(cells, width, tie_width)
+
+
+def _spread(df: DataFrame, value: Column, spec: PanelSpec) -> int:
+    """Width at which evenly spread values would fill a quarter of a block per cell."""
+    low, high, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    return max(1, (high - low + 1) * spec.block_rows // (4 * n)) if n else 1
 
 
 def fit_cells(df: DataFrame, spec: PanelSpec, features: Sequence[Feature] = ()) -> CellTable:
     """Cell table written once to the shared folder and counted, so that its size is known
-    and small ones can be broadcast (the panel is then shuffled once, not twice). Where rows
-    are denser than the spec says and a cell holds more than a block, cells are narrowed and
-    counted again."""
+    and small ones can be broadcast (the panel is then shuffled once, not twice). Where a cell
+    holds more than a block, cells are narrowed and counted again: by time down to one unit,
+    then by an integer tiebreak. Rows without a time are one moment."""
+    width, tie_width = spec.width(df) or _spread(df, order_value(df, spec.time), spec), None
+    narrower = lambda now, widest: max(1, now * spec.block_rows // (2 * widest))
     while True:
-        table = cut_lineage(count_cells(df, spec, features).table)
-        rows, widest = table.agg(F.count(F.lit(1)), F.max("_rows")).first()
-        if spec.cell_steps == 1 or (widest or 0) <= spec.block_rows:
-            return CellTable(table, spec.cell_steps, rows)
-        spec = replace(spec, cell_steps=max(1, spec.cell_steps * spec.block_rows // (2 * widest)))
+        cells = count_cells(df, spec, features, width, tie_width)
+        table = cut_lineage(cells.table)
+        moment = F.col(f"{_CELL}.time") if tie_width else F.col(_CELL)
+        rows, widest, timeless = table.agg(
+            F.count(F.lit(1)), F.max(F.when(moment.isNotNull(), F.col("_rows"))), F.max(F.when(moment.isNull(), F.col("_rows")))
+        ).first()
+        widest, timeless = widest or 0, timeless or 0
+        if max(widest, timeless) <= spec.block_rows:
+            break
+        if widest > spec.block_rows and width > 1:
+            width = narrower(width, widest)
+        elif spec.tie(df) and tie_width is None:
+            tie_width = _spread(df, F.col(spec.tie(df)).cast("long"), spec)
+        elif tie_width and tie_width > 1:
+            tie_width = narrower(tie_width, max(widest, timeless))
+        else:
+            break
+    return replace(cells, table=table, rows=rows)
 
 
 def _placed_cells(cells: CellTable, spec: PanelSpec, before: int, after: int) -> DataFrame:
@@ -205,7 +233,6 @@ def over_blocks(
     before = max((f.before for f in features), default=0)
     after = max((f.after for f in features), default=0)
     cells = cells or (fit_cells if spec.count_first else count_cells)(df, spec, features)
-    spec = replace(spec, cell_steps=cells.cell_steps)
     placed = _placed_cells(cells, spec, before, after)
     if tail is not None:
         placed = placed.filter(F.col(_START) + F.col("_rows") > F.col(_SIZE) - (tail + before))
@@ -216,7 +243,7 @@ def over_blocks(
     if cells.rows is not None and cells.rows <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
 
-    rows = df.withColumn(_CELL, spec.cell_of(df))
+    rows = df.withColumn(_CELL, spec.cell_of(df, cells.width, cells.tie_width))
     match = reduce(and_, [rows[k].eqNullSafe(placed[f"_on_{k}"]) for k in key_names])
     extra = [c for c in kept if c not in ("_to", "_home")]
     spread = rows.join(placed, match, "inner").select(*df.columns, *extra, "_home", F.explode("_to").alias(_BLOCK))

@@ -60,22 +60,25 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 class PanelSpec:
     """Keys and order of a panel, and how its order is cut into bounded blocks.
 
-    ``step`` is the usual spacing of rows in units of the order column (seconds for
-    timestamps and dates, plain units for integers). ``cell_steps * step`` is the width of
-    a counting cell; consecutive cells are merged until a block holds about ``block_rows``
-    rows. Both only steer how work is spread, never what is computed. With ``count_first`` the
-    cells are counted by a small job of their own (two columns of the panel are read) before
-    the ordered pass; the cell table then has a known size, is broadcast if small, and the
-    panel is shuffled once instead of twice. Without it everything stays lazy.
+    Counting cells are stretches of the order column; consecutive cells are merged until a block
+    holds about ``block_rows`` rows. Their width is ``cell_steps * step``, ``step`` being the usual
+    spacing of rows (seconds for timestamps and dates, plain units for integers); without a
+    ``step`` it follows from the smallest and largest time and the number of rows. With
+    ``count_first`` the cells are counted by a small job of their own (two columns of the panel
+    are read) before the ordered pass: cells that hold more than a block are narrowed, down to a
+    microsecond and then by the first tiebreak if that is an integer; the cell table has a known
+    size and is broadcast if small, and the panel is shuffled once instead of twice. Without it
+    everything stays lazy, cells keep the width of the spec, and a wide cell is one task's work.
+    None of this changes what is computed.
     """
 
     time: str
     groups: tuple[str, ...] = ()
     tiebreak: tuple[str, ...] = ()
-    step: int = 86400
+    step: int | None = None
     cell_steps: int = 4096
     block_rows: int = 500_000
-    count_first: bool = False
+    count_first: bool = True
 
     def __post_init__(self):
         for field in ("groups", "tiebreak"):
@@ -96,24 +99,43 @@ class PanelSpec:
     def keys(self) -> list[str]:
         return [*self.groups, self.time]
 
-    def cell_of(self, df: DataFrame) -> Column:
-        """Cell number of a row: never decreasing along the panel order."""
-        width = self.step * self.cell_steps
-        return F.floor(epoch_value(df, self.time) / F.lit(width)).cast("long")
+    def width(self, df: DataFrame) -> int | None:
+        """Width of a cell in units of ``order_value``; None if the data must tell."""
+        return None if self.step is None else self.step * self.cell_steps * unit_of(df, self.time)
 
+    def tie(self, df: DataFrame) -> str | None:
+        """The tiebreak by which cells of one moment can be divided."""
+        first = self.tiebreak[0] if self.tiebreak else None
+        return first if first and isinstance(df.schema[first].dataType, T.IntegralType) else None
 
-def epoch_value(df: DataFrame, name: str) -> Column:
-    """Order column as a whole number, independent of the session time zone for
-    zone-less types."""
+    def cell_of(self, df: DataFrame, width: int, tie_width: int | None = None) -> Column:
+        """Cell of a row: never decreasing along the panel order, null times first."""
+        cell = F.floor(order_value(df, self.time) / F.lit(width)).cast("long")
+        if tie_width is None:
+            return cell
+        return F.struct(cell.alias("time"), F.floor(F.col(self.tie(df)) / F.lit(tie_width)).cast("long").alias("tie"))
+
+
+MICROS = 1_000_000
+
+
+def unit_of(df: DataFrame, name: str) -> int:
+    """What one second (or one unit of an integer) is in ``order_value``."""
+    return 1 if isinstance(df.schema[name].dataType, T.IntegralType) else MICROS
+
+
+def order_value(df: DataFrame, name: str) -> Column:
+    """Order column as a whole number (microseconds of times and dates), independent of the
+    session time zone for zone-less types."""
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.IntegralType):
         return c.cast("long")
     if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("long") * F.lit(86400)
+        return F.unix_date(c).cast("long") * F.lit(86400 * MICROS)
     if isinstance(kind, T.TimestampNTZType):
-        days = F.unix_date(c.cast("date")).cast("long") * F.lit(86400)
-        return days + F.hour(c) * F.lit(3600) + F.minute(c) * F.lit(60) + F.second(c)
+        minutes = F.unix_date(c.cast("date")).cast("long") * F.lit(1440) + F.hour(c) * F.lit(60) + F.minute(c)
+        return minutes * F.lit(60 * MICROS) + (F.date_part(F.lit("SECOND"), c) * F.lit(MICROS)).cast("long")
     if isinstance(kind, T.TimestampType):
-        return F.unix_seconds(c)
+        return F.unix_micros(c)
     raise TypeError(f"order column {name!r} must be a date, a timestamp or an integer, not {kind}")

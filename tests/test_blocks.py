@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwright.catalog import views
 from panelwright.operators.rolling import ewm_mean, rsi
-from panelwright.plans.blocks import Feature, fit_cells, over_blocks, with_position
+from panelwright.plans.blocks import Feature, _placed_cells, fit_cells, over_blocks, with_position
 from panelwright.spec import PanelSpec
 
 CUTS = [(60, 30, 50), (3600, 1, 3), (60, 1, 1), (86400, 7, 10_000)]
@@ -152,9 +152,31 @@ def test_dense_cells_are_narrowed(spark, sf):
     df = source(spark, sf)
     spec = PanelSpec("ts", ("g",), ("event_id",), step=3600, cell_steps=24 * 365, block_rows=30, count_first=True)
     cells = fit_cells(df, spec)
-    assert cells.cell_steps < 24 * 30 and cells.table.agg(F.max("_rows")).first()[0] <= 30
+    assert cells.width < 24 * 30 * 3600 * 10**6 and cells.table.agg(F.max("_rows")).first()[0] <= 30
     got = with_position(df, spec)
     w = Window.partitionBy("g").orderBy("ts", "event_id")
     want = df.withColumn("_pos", F.row_number().over(w).cast("long"))
     cols = want.columns
     assert got.select(cols).exceptAll(want).isEmpty() and got.count() == df.count()
+
+
+def blocks_of(df, spec, cells):
+    """Rows of every block (a block is one task's work)."""
+    placed = _placed_cells(cells, spec, 0, 0)
+    home = F.floor(F.col("_cell_start") / spec.block_rows)
+    return [r["rows"] for r in placed.groupBy(*spec.groups, home).agg(F.sum("_rows").alias("rows")).collect()]
+
+
+@pytest.mark.parametrize("spacing,tie", [("60000000", ()), ("50", ()), ("0", ("n",)), ("null", ("n",))])
+def test_a_bare_spec_divides_a_group_however_dense(spark, spacing, tie):
+    """Minute rows, 20,000 rows within a second, at one moment, and without a time."""
+    n, size = 20_000, 500
+    df = spark.range(n).selectExpr(
+        "'a' AS g", "id AS n", f"CAST(timestamp_micros(1700000000000000 + id * {spacing}) AS TIMESTAMP_NTZ) AS ts", "CAST(id % 7 AS DOUBLE) AS v"
+    )
+    spec = PanelSpec("ts", ("g",), tie, block_rows=size)
+    cells = fit_cells(df, spec)
+    assert max(blocks_of(df, spec, cells)) <= 2 * size
+    feature = Feature(lambda d, w: d.withColumn("s", F.sum("v").over(w.trailing(3))), before=2)
+    out = over_blocks(df, spec, feature, keep_position=True)
+    assert out.filter("_pos <> n + 1 OR s <> v + if(n > 0, (n - 1) % 7, 0) + if(n > 1, (n - 2) % 7, 0)").count() == 0 and out.count() == n
