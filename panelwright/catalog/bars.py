@@ -172,10 +172,16 @@ def b12(spark, sf):
 
 
 @query("b13_require_columns", f"""WITH {BARS_SQL}
-SELECT event_type, CAST(count(*) AS BIGINT) AS bars FROM bars GROUP BY 1""")
+SELECT event_type, CAST(count(*) AS BIGINT) AS bars, true AS refused FROM bars GROUP BY 1""")
 def b13(spark, sf):
+    """Complete bars pass; the same bars without two columns are refused by their names."""
     b = require_columns(bars(spark, sf), "event_type", "ts", "open", "high", "low", "close", "volume")
-    return b.groupBy("event_type").agg(F.count(F.lit(1)).alias("bars"))
+    try:
+        require_columns(b.drop("low", "volume"), *b.columns)
+        refused = False
+    except ValueError as error:
+        refused = "missing columns ['low', 'volume']" in str(error)
+    return b.groupBy("event_type").agg(F.count(F.lit(1)).alias("bars")).withColumn("refused", F.lit(refused))
 
 
 @query("b14_validate_returns", f"""WITH {BARS_SQL}, f AS (
@@ -275,23 +281,38 @@ def e1_two(spark, sf):
     return targets.shift_targets(d, spec, "revenue", 1)
 
 
+def _odd_prices(b):
+    """The bars' closes, zero every sixth hour and negative three hours later."""
+    hour = F.hour("ts") % 6
+    return b.select("event_type", "ts", F.when(hour == 0, 0.0).when(hour == 3, -F.abs("close")).otherwise(F.col("close")).alias("close"))
+
+
+def _ratio_sql(a, b):
+    """Division with 0/0 null and x/0 infinite."""
+    zero = f"CASE WHEN {a} > 0 THEN 'Infinity'::DOUBLE WHEN {a} < 0 THEN '-Infinity'::DOUBLE END"
+    return f"CASE WHEN {b} = 0 THEN {zero} ELSE {a} / {b} END"
+
+
 def _returns_sql(kind):
-    one = "(lead(close, {h}) OVER w - close) / close * 100" if kind == "percentage" else "ln(lead(close, {h}) OVER w / close) * 100"
-    cols = ", ".join(f"{R(one.format(h=h))} AS return_{h}d" for h in range(1, 6))
-    return f"""WITH {BARS_SQL} SELECT event_type, ts, close, {cols} FROM bars WHERE close > 0
-WINDOW w AS (PARTITION BY event_type ORDER BY ts)"""
+    ratio = _ratio_sql("(a{h} - close)", "close") if kind == "percentage" else _ratio_sql("a{h}", "close")
+    log = "CASE WHEN r{h} = 0 THEN '-Infinity'::DOUBLE WHEN r{h} > 0 THEN ln(r{h}) END"
+    value = "r{h} * 100" if kind == "percentage" else f"({log}) * 100"
+    of = lambda text: ", ".join(text.format(h=h) for h in range(1, 6))
+    return f"""WITH {BARS_SQL}, odd AS (
+  SELECT event_type, ts, CASE hour(ts) % 6 WHEN 0 THEN 0.0::DOUBLE WHEN 3 THEN -abs(close) ELSE close END AS close FROM bars
+), ahead AS (SELECT *, {of("lead(close, {h}) OVER w AS a{h}")} FROM odd WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+ratios AS (SELECT event_type, ts, close, {of(ratio + " AS r{h}")} FROM ahead)
+SELECT event_type, ts, close, {of(R(value) + " AS return_{h}d")} FROM ratios"""
 
 
 @query("e2_forward_returns", _returns_sql("percentage"))
 def e2(spark, sf):
-    b = bars(spark, sf).filter("close > 0").select("event_type", "ts", "close")
-    return rounded(over_blocks(b, BAR, targets.forward_returns("close")))
+    return rounded(over_blocks(_odd_prices(bars(spark, sf)), BAR, targets.forward_returns("close")))
 
 
 @query("e2_forward_returns_log", _returns_sql("log"))
 def e2_log(spark, sf):
-    b = bars(spark, sf).filter("close > 0").select("event_type", "ts", "close")
-    return rounded(over_blocks(b, BAR, targets.forward_returns("close", kind="log")))
+    return rounded(over_blocks(_odd_prices(bars(spark, sf)), BAR, targets.forward_returns("close", kind="log")))
 
 
 @query("e3_return_columns", f"""WITH {BARS_SQL}, f AS (

@@ -221,7 +221,7 @@ for _id, _kind in (("d2a", "standard"), ("d2b", "minmax"), ("d2c", "robust"), ("
 
     def _scaler(spark, sf, kind=_kind):
         li = table(spark, sf, "lineitem")
-        model = scale.fit_scaler(li, kind, _LINE_COLUMNS, ["l_returnflag", "l_linestatus"], spread=["l_orderkey"])
+        model = scale.fit_scaler(li, kind, _LINE_COLUMNS, ["l_returnflag", "l_linestatus"])
         return rounded(model.long(), 4)
 
     query(f"{_id}_fit_scaler_{_kind}", _scaler_sql(_kind))(_scaler)
@@ -242,21 +242,24 @@ _STANDARD_CTE = f"""{STORE_DAILY_SQL}, p AS (SELECT Store, avg(Sales) AS m, stdd
 def c2(spark, sf):
     d = store_daily(spark, sf).select("Store", "Date", "Sales")
     model = scale.fit_scaler(d, "standard", ["Sales"], ["Store"]).materialize()
-    return rounded(model.attach(d, spread=["Date"]).drop("Sales"), 2)
+    return rounded(model.attach(d).drop("Sales"), 2)
 
 
 @query("e17_scale", f"WITH {_STANDARD_CTE} SELECT Store, Date, {R('(Sales - m) / s')} AS Sales FROM z")
 def e17(spark, sf):
     d = store_daily(spark, sf).select("Store", "Date", "Sales")
-    return rounded(scale.fit_scaler(d, "standard", ["Sales"], ["Store"]).materialize().transform(d, spread=["Date"]))
+    return rounded(scale.fit_scaler(d, "standard", ["Sales"], ["Store"]).materialize().transform(d))
 
 
-@query("e17_inverse_scale", f"WITH {STORE_DAILY_SQL} SELECT Store, Date, {R('Sales', 3)} AS Sales FROM store_daily")
+@query("e17_inverse_scale", f"""WITH {STORE_DAILY_SQL}, q AS (
+  SELECT Store, quantile_cont(Sales, 0.5) AS m, quantile_cont(Sales, 0.75) - quantile_cont(Sales, 0.25) AS s FROM store_daily GROUP BY 1)
+SELECT d.Store, Date, {R('(Sales - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} AS Scaled, {R('Sales', 3)} AS Sales
+FROM store_daily d JOIN q ON d.Store = q.Store""")
 def e17_inverse(spark, sf):
     d = store_daily(spark, sf).select("Store", "Date", "Sales")
-    model = scale.fit_scaler(d, "robust", ["Sales"], ["Store"], spread=["Date"]).materialize()
-    there = model.transform(d, spread=["Date"])
-    return rounded(model.inverse(there, {"Sales": "Sales"}, spread=["Date"]), 3)
+    model = scale.fit_scaler(d, "robust", ["Sales"], ["Store"]).materialize()
+    there = model.transform(d).withColumn("Scaled", F.round("Sales", 6))
+    return model.inverse(there, {"Sales": "Sales"}).withColumn("Sales", F.round("Sales", 3))
 
 
 @query("e17_scale_global", f"""WITH {STORE_DAILY_SQL}, p AS (SELECT min(Sales) AS lo, max(Sales) AS hi FROM store_daily)
@@ -280,7 +283,7 @@ JOIN {_codes_sql("p_size", "part")} s ON CAST(p_size AS VARCHAR) = s.label""")
 def h13(spark, sf):
     part = table(spark, sf, "part")
     labels = encode.fit_labels(part, ["p_brand", "p_type", "p_size"])
-    out = labels.encode(part, spread=["p_partkey"])
+    out = labels.encode(part)
     return out.select("p_partkey", "p_brand_code", "p_type_code", "p_size_code")
 
 
@@ -290,7 +293,7 @@ def h13_large(spark, sf):
     """A dictionary as large as its table, numbered in range partitions."""
     customer = table(spark, sf, "customer")
     labels = encode.fit_labels(customer, ["c_name", "c_mktsegment"])
-    return labels.encode(customer, spread=["c_custkey"]).select("c_custkey", "c_name_code", "c_mktsegment_code")
+    return labels.encode(customer).select("c_custkey", "c_name_code", "c_mktsegment_code")
 
 
 @query("c4_label_map", f"""SELECT p_partkey, p_brand AS decoded, code AS p_brand_code FROM part
@@ -298,8 +301,8 @@ JOIN {_codes_sql("p_brand", "part")} b ON p_brand = b.label""")
 def c4(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
     labels = encode.fit_labels(part, ["p_brand"])
-    coded = labels.encode(part, spread=["p_partkey"])
-    return labels.decode(coded, "p_brand", "p_brand_code", "decoded", spread=["p_partkey"]).drop("p_brand")
+    coded = labels.encode(part)
+    return labels.decode(coded, "p_brand", "p_brand_code", "decoded").drop("p_brand")
 
 
 @query("h12_group_key", """WITH k AS (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)
@@ -319,7 +322,7 @@ SELECT p_partkey, coalesce(code, (SELECT CAST(count(*) AS INTEGER) FROM c)) AS p
 def h20(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_type")).alias("p_type"))
     labels = encode.fit_labels(part, ["p_type"], null_label=None)
-    return labels.encode(part, unseen="keep", spread=["p_partkey"]).select("p_partkey", "p_type_code")
+    return labels.encode(part, unseen="keep").select("p_partkey", "p_type_code")
 
 
 @query("g2_unseen_labels", """SELECT 'customer' AS "column", CAST(c_custkey AS VARCHAR) AS label FROM customer
@@ -418,5 +421,5 @@ def h21(spark, sf):
     "(round(CAST(unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.9])) AS DOUBLE), 4) + 0.0)",
     "unnest(list_transform(quantile_cont(l_extendedprice, [0.1, 0.5, 0.9]), lambda q: round(q, 4) + 0.0))"))
 def d2_quantiles(spark, sf):
-    q = exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], ["l_extendedprice"], [0.1, 0.5, 0.9], spread=["l_orderkey"])
+    q = exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], ["l_extendedprice"], [0.1, 0.5, 0.9])
     return rounded(q, 4)

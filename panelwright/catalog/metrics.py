@@ -148,37 +148,38 @@ def a6(spark, sf):
 
 
 _CUT = "2000-01-01"
-_PARTS_SQL = f"""{ALIGNED_SQL}, one AS (SELECT Store, Date, actual, prediction FROM aligned WHERE horizon = 1)"""
+_PARTS_SQL = f"""{ALIGNED_SQL}, one AS (SELECT Store, Date, horizon, actual, prediction FROM aligned)"""
 
 
-def _one_step(spark, sf):
-    one = aligned(spark, sf).filter("horizon = 1").select("Store", "Date", "actual", "prediction")
+def _parts(spark, sf):
+    """Predictions of every horizon before and after a day."""
+    one = aligned(spark, sf).select("Store", "Date", "horizon", "actual", "prediction")
     cut = F.lit(_CUT).cast("timestamp_ntz")
     return one.filter(F.col("Date") < cut), one.filter(F.col("Date") >= cut)
 
 
 @query("a8_write_predictions_with_split", f"""WITH {_PARTS_SQL}
-SELECT Store, Date, actual, prediction, CASE WHEN Date < DATE '{_CUT}' THEN 'train' ELSE 'test' END AS dataset,
+SELECT Store, Date, horizon, actual, prediction, CASE WHEN Date < DATE '{_CUT}' THEN 'train' ELSE 'test' END AS dataset,
        {R("abs(actual - prediction)", 2)} AS error, {R("CASE WHEN actual <> 0 THEN abs(actual - prediction) / actual * 100 END")} AS error_pct FROM one""")
 def a8(spark, sf):
-    train, test = _one_step(spark, sf)
+    train, test = _parts(spark, sf)
     path = new_table_path(spark, "predictions-split")
     sinks.write_predictions_with_split(train, test, path, STORE)
-    schema = "Store int, Date timestamp_ntz, actual double, prediction double, dataset string, error double, error_pct double"
+    schema = "Store int, Date timestamp_ntz, horizon int, actual double, prediction double, dataset string, error double, error_pct double"
     return _read(spark, path, schema).withColumns({"error": F.round("error", 2), "error_pct": F.round("error_pct", 6)})
 
 
 @query("a9_write_combined_intraday", f"""WITH {_PARTS_SQL}
-SELECT Store, Date, actual, prediction, CASE WHEN Date < DATE '{_CUT}' THEN 'train' ELSE 'validation' END AS data_split FROM one
-UNION ALL SELECT Store, max(Date) + INTERVAL '1 day', NULL, arg_max(Sales, Date), 'future' FROM store_daily GROUP BY Store""")
+SELECT Store, Date, horizon, actual, prediction, CASE WHEN Date < DATE '{_CUT}' THEN 'train' ELSE 'validation' END AS data_split FROM one
+UNION ALL SELECT Store, max(Date) + INTERVAL '1 day', NULL, NULL, arg_max(Sales, Date), 'future' FROM store_daily GROUP BY Store""")
 def a9(spark, sf):
-    train, validation = _one_step(spark, sf)
+    train, validation = _parts(spark, sf)
     last = store_daily(spark, sf).groupBy("Store").agg(
         (F.max("Date") + F.expr("INTERVAL '1' DAY")).alias("Date"), F.max_by("Sales", "Date").alias("prediction")
     )
     path = new_table_path(spark, "combined")
     sinks.write_combined_intraday({"train": train, "validation": validation, "future": last}, path, ev.regression_metrics(train))
-    schema = "Store int, Date timestamp_ntz, actual double, prediction double, data_split string"
+    schema = "Store int, Date timestamp_ntz, horizon int, actual double, prediction double, data_split string"
     return _read(spark, f"{path}/predictions", schema)
 
 
@@ -191,9 +192,9 @@ def a10(spark, sf):
     return _read(spark, path, "Id int, Sales double")
 
 
-_SALES_ERRORS = f"""Store, Date, actual AS "Actual_Sales", prediction AS "Predicted_Sales", {R("actual - prediction", 2)} AS "Error",
+_SALES_ERRORS = f"""Store, Date, horizon, actual AS "Actual_Sales", prediction AS "Predicted_Sales", {R("actual - prediction", 2)} AS "Error",
  {R("abs(actual - prediction)", 2)} AS "Abs_Error", {R("CASE WHEN actual = 0 THEN 0 ELSE (actual - prediction) / actual * 100 END")} AS "Pct_Error" """
-_ERROR_SCHEMA = "Store int, Date timestamp_ntz, Actual_Sales double, Predicted_Sales double, Error double, Abs_Error double, Pct_Error double"
+_ERROR_SCHEMA = "Store int, Date timestamp_ntz, horizon int, Actual_Sales double, Predicted_Sales double, Error double, Abs_Error double, Pct_Error double"
 
 
 def _round_errors(df):
@@ -203,18 +204,18 @@ def _round_errors(df):
 
 @query("a11_write_errors", f"""WITH {_PARTS_SQL} SELECT {_SALES_ERRORS}, 'val' AS "Dataset" FROM one""")
 def a11(spark, sf):
-    one = aligned(spark, sf).filter("horizon = 1")
+    one = aligned(spark, sf)
     path = new_table_path(spark, "errors")
-    sinks.write_errors(one, path, ["Store", "Date"], "val")
+    sinks.write_errors(one, path, ["Store", "Date", "horizon"], "val")
     return _round_errors(_read(spark, path, f"{_ERROR_SCHEMA}, Dataset string"))
 
 
 @query("a12_write_errors_rmspe", f"""WITH {_PARTS_SQL} SELECT {_SALES_ERRORS},
  {R("CASE WHEN actual = 0 THEN 0 ELSE ((actual - prediction) / actual) ** 2 END")} AS "RMSPE_Contribution" FROM one""")
 def a12(spark, sf):
-    one = aligned(spark, sf).filter("horizon = 1")
+    one = aligned(spark, sf)
     path = new_table_path(spark, "errors-rmspe")
-    sinks.write_errors_rmspe(one, path, ["Store", "Date"])
+    sinks.write_errors_rmspe(one, path, ["Store", "Date", "horizon"])
     return _round_errors(_read(spark, path, f"{_ERROR_SCHEMA}, RMSPE_Contribution double"))
 
 
@@ -222,7 +223,7 @@ def a12(spark, sf):
   SELECT CASE WHEN Date < DATE '{_CUT}' THEN 'train' ELSE 'val' END AS "Dataset" FROM one)
 SELECT "Dataset", count(*) AS rows FROM c GROUP BY 1""")
 def a13(spark, sf):
-    train, val = _one_step(spark, sf)
+    train, val = _parts(spark, sf)
     paths = {"train": new_table_path(spark, "train"), "val": new_table_path(spark, "val")}
     sinks.write_errors(train, paths["train"], ["Store", "Date"], "train")
     sinks.write_errors_rmspe(val, paths["val"], ["Store", "Date"])  # carries no Dataset label

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.arithmetic import unit_bucket
-from panelwright.plans.lookup import key_lookup
+from panelwright.plans.lookup import key_lookup, row_bytes
 from panelwright.session import cut_lineage
 from panelwright.spec import require_columns
 
@@ -29,11 +29,18 @@ class LabelMap:
     columns: tuple[str, ...]
     table: DataFrame
     null_label: str | None = NULL_LABEL
-    rows: int | None = None
+    sizes: dict | None = None  # bytes of each column's labels, once measured
 
     def materialize(self) -> "LabelMap":
-        table = cut_lineage(self.table)
-        return replace(self, table=table, rows=table.count())
+        return replace(self, table=cut_lineage(self.table)).sized()
+
+    def sized(self) -> "LabelMap":
+        """Measures each column's labels by themselves (a job that returns a row per column)."""
+        rows = self.table.groupBy("column").agg(F.sum(row_bytes(self.table)).alias("n")).collect()
+        return replace(self, sizes=dict.fromkeys(self.columns, 0) | {r["column"]: r["n"] for r in rows})
+
+    def _size(self, column: str) -> int | None:
+        return None if self.sizes is None else self.sizes.get(column, 0)
 
     @staticmethod
     def _numbered(labels: DataFrame) -> DataFrame:
@@ -56,7 +63,7 @@ class LabelMap:
         one = self.table.filter(F.col("column") == column)
         return one.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
 
-    def encode(self, df: DataFrame, suffix: str = "_code", unseen: str = "error", spread=None) -> DataFrame:
+    def encode(self, df: DataFrame, suffix: str = "_code", unseen: str = "error") -> DataFrame:
         """Adds ``{column}{suffix}``. ``unseen``: raise (error), null (null) or the code after
         the last one (keep), which is also the code of null when nulls have no label."""
         require_columns(df, *self.columns)
@@ -66,7 +73,7 @@ class LabelMap:
         for c in self.columns:
             codes = self._codes_of(c)
             df = df.withColumn("_label", _label(c, self.null_label))
-            df = key_lookup(df, codes, ["_label"], rows=self.rows, spread=spread)
+            df = key_lookup(df, codes, ["_label"], size=self._size(c))
             code = F.col("_code")
             if unseen == "error":
                 complain = F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.coalesce("_label", F.lit("null"))))
@@ -77,10 +84,10 @@ class LabelMap:
             df = df.withColumn(f"{c}{suffix}", code).drop("_label", "_code")
         return df
 
-    def decode(self, df: DataFrame, column: str, code_column: str, out: str, spread=None) -> DataFrame:
+    def decode(self, df: DataFrame, column: str, code_column: str, out: str) -> DataFrame:
         """Adds the label of a code; unknown codes give null."""
         labels = self._codes_of(column).select(F.col("_code").alias(code_column), F.col("_label").alias(out))
-        return key_lookup(df, labels, [code_column], rows=self.rows, spread=spread)
+        return key_lookup(df, labels, [code_column], size=self._size(column))
 
     def unseen(self, df: DataFrame) -> DataFrame:
         """Labels of ``df`` without a code, as ``(column, label)``."""

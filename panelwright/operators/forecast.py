@@ -38,6 +38,7 @@ from panelwright.operators.targets import (
     target_names,
 )
 from panelwright.plans.blocks import over_blocks
+from panelwright.plans.lookup import bytes_of
 from panelwright.spec import OHLCV, PanelSpec, require_columns
 
 # name -> (features column, label column, prediction column) -> estimator
@@ -153,7 +154,7 @@ class PanelForecaster:
         features = choose_features(panel, c)
         if not features:
             raise ValueError("no numeric feature is left to learn from")
-        scaler = fit_scaler(panel, c.scaler, [*features, *names], groups, spread=[c.spec.time]).materialize()
+        scaler = fit_scaler(panel, c.scaler, [*features, *names], groups).materialize()
         model = PanelForecastModel(c, tuple(features), labels, scaler, {})
         train = model.prepare(panel, with_targets=True).select("features", *[f"{n}_scaled" for n in names])
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
@@ -178,14 +179,13 @@ class PanelForecastModel:
         return target_names(list(self.config.targets), self.config.horizon)
 
     def _encoded_scaled(self, df: DataFrame, with_targets: bool = False) -> tuple[DataFrame, list[str], list[str]]:
-        spread = [self.config.spec.time]
         df = with_fitted_features(df, list(self.features))
         codes = []
         if self.labels is not None:
-            df = self.labels.encode(df, suffix="_code", spread=spread)
+            df = self.labels.encode(df, suffix="_code")
             codes = [f"{c}_code" for c in self.labels.columns]
         columns = [*self.features, *(self.targets if with_targets else [])]
-        df = self.scaler.transform(df, columns, suffix="_scaled", spread=spread)
+        df = self.scaler.transform(df, columns, suffix="_scaled")
         return df, [f"{c}_scaled" for c in self.features], codes
 
     def prepare(self, panel: DataFrame, with_targets: bool) -> DataFrame:
@@ -212,7 +212,7 @@ class PanelForecastModel:
         for n in self.targets:
             scored = self.regressors[n].transform(scored)
         raw = {f"{n}_raw": n for n in self.targets}
-        back = self.scaler.inverse(scored.drop("features"), raw, spread=[c.spec.time])
+        back = self.scaler.inverse(scored.drop("features"), raw)
         rows = [
             F.struct(F.lit(t).alias("target"), F.lit(h).alias("horizon"), F.col(f"{target_name(t, h)}_raw").alias("prediction"))
             for t in c.targets
@@ -288,19 +288,19 @@ class PanelForecastModel:
 
         def table(part):
             t = spark.read.parquet(f"{path}/{part}")
-            return t, t.count()
+            return t, bytes_of(t)
 
-        params, n_params = table("scaler")
+        params, size = table("scaler")
         labels = None
         if c.encoded:
-            t, n = table("labels")
-            labels = LabelMap(tuple(c.encoded), t, rows=n)
+            t, _ = table("labels")
+            labels = LabelMap(tuple(c.encoded), t).sized()
         loader = _LOADERS[c.regressor]
         return PanelForecastModel(
             c,
             tuple(doc["features"]),
             labels,
-            ScalerModel(c.scaler, (*doc["features"], *names), groups, params, n_params),
+            ScalerModel(c.scaler, (*doc["features"], *names), groups, params, size),
             {n: loader.load(f"{path}/regressors/{n}") for n in names},
         )
 

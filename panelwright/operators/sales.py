@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.arithmetic import distance_bin, in_promo_month, months_since, sales_per_customer
 from panelwright.operators.clean import fill_zero, filter_rows
 from panelwright.operators.encode import categories_of, one_hot
-from panelwright.plans.lookup import key_lookup
+from panelwright.plans.lookup import bytes_of, key_lookup
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,10 @@ class SalesConfig:
     remove_zero_sales: bool = False
 
 
-def merge_store_data(df: DataFrame, store: DataFrame, store_rows: int | None = None, spread=("Date",)) -> DataFrame:
-    """Left join of the fact rows with the store dimension. ``store_rows`` is the counted
-    size of the dimension; without it the rows of a store are spread by date."""
-    spread = [c for c in spread if c in df.columns]
-    return key_lookup(df, store, ["Store"], rows=store_rows, spread=spread)
+def merge_store_data(df: DataFrame, store: DataFrame, store_bytes: int | None = None) -> DataFrame:
+    """Left join of the fact rows with the store dimension, which is measured (a one-row job)
+    unless its size is given."""
+    return key_lookup(df, store, ["Store"], size=bytes_of(store) if store_bytes is None else store_bytes)
 
 
 def distance_fill(df: DataFrame, method: str, column: str = "CompetitionDistance") -> DataFrame:
@@ -101,11 +100,11 @@ class SalesPreprocessor:
     store: DataFrame
     categories: dict
     fill: DataFrame
-    store_rows: int | None = None
+    store_bytes: int | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         c = self.config
-        out = merge_store_data(df, self.store, self.store_rows)
+        out = merge_store_data(df, self.store, self.store_bytes)
         out = competition_features(out, c, self.fill)
         out = promotion_features(out, c)
         present = {k: v for k, v in self.categories.items() if k in out.columns}
@@ -119,7 +118,7 @@ def fit_store_preprocess(
     store: DataFrame,
     config: SalesConfig = SalesConfig(),
     categories: dict[str, list[str]] | None = None,
-    store_rows: int | None = None,
+    store_bytes: int | None = None,
 ) -> SalesPreprocessor:
     """Categories may be given; otherwise they are read from the training rows and the
     dimension."""
@@ -131,8 +130,8 @@ def fit_store_preprocess(
             for c in ("StoreType", "Assortment"):
                 if c in store.columns:
                     categories[c] = categories_of(store, c)
-    fill = distance_fill(merge_store_data(df, store, store_rows), config.fill_distance_missing)
-    return SalesPreprocessor(config, store, categories, fill, store_rows)
+    fill = distance_fill(merge_store_data(df, store, store_bytes), config.fill_distance_missing)
+    return SalesPreprocessor(config, store, categories, fill, store_bytes)
 
 
 def store_preprocess(df: DataFrame, store: DataFrame, config: SalesConfig = SalesConfig(), **kw) -> DataFrame:

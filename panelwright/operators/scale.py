@@ -12,9 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.plans.lookup import key_lookup
+from panelwright.plans.lookup import key_lookup, measured
 from panelwright.plans.quantiles import exact_quantiles
-from panelwright.session import cut_lineage
 from panelwright.spec import require_columns
 
 # kind -> (center aggregate, scale aggregate) of a column
@@ -54,12 +53,12 @@ class ScalerModel:
     columns: tuple[str, ...]
     groups: tuple[str, ...]
     params: DataFrame
-    rows: int | None = None  # counted size of ``params``
+    size: int | None = None  # bytes of ``params``, once measured
 
     def materialize(self) -> "ScalerModel":
-        """Write the parameters once to the shared folder and count them."""
-        params = cut_lineage(self.params)
-        return replace(self, params=params, rows=params.count())
+        """Write the parameters once to the shared folder and measure them."""
+        params, size = measured(self.params)
+        return replace(self, params=params, size=size)
 
     def long(self) -> DataFrame:
         """Parameter table ``(groups..., column, center, scale)``."""
@@ -69,7 +68,7 @@ class ScalerModel:
         ]
         return self.params.select(*self.groups, F.inline(F.array(*cells)))
 
-    def attach(self, df: DataFrame, spread: list[str] | None = None, strict: bool = True) -> DataFrame:
+    def attach(self, df: DataFrame, strict: bool = True) -> DataFrame:
         """Rows with the parameter columns of their group. With ``strict`` a group that was
         not seen when fitting raises."""
         if not self.groups:
@@ -79,27 +78,27 @@ class ScalerModel:
             out = df.withColumn("_params", packed)
             return out.select(*df.columns, *[F.col(f"_params.{n}").alias(n) for n in names])
         known = self.params.withColumn("_known", F.lit(True))
-        out = key_lookup(df, known, list(self.groups), rows=self.rows, spread=spread)
+        out = key_lookup(df, known, list(self.groups), size=self.size)
         if strict:
             shown = F.concat_ws(", ", *[F.col(g).cast("string") for g in self.groups])
             complain = F.raise_error(F.concat(F.lit("group without fitted scaler: "), shown)).cast("boolean")
             out = out.filter(F.coalesce(F.col("_known"), complain))
         return out.drop("_known")
 
-    def transform(self, df: DataFrame, columns: list[str] | None = None, suffix: str = "", spread=None, strict=True):
+    def transform(self, df: DataFrame, columns: list[str] | None = None, suffix: str = "", strict=True):
         """(x - center) / scale, in place or under ``{column}{suffix}``."""
         names = list(columns or self.columns)
         require_columns(df, *names, *self.groups)
-        out = self.attach(df, spread, strict)
+        out = self.attach(df, strict)
         new = {
             f"{c}{suffix}": (F.col(c).cast("double") - F.col(center(c))) / F.col(scale_of(c)) for c in names
         }
         return out.withColumns(new).drop(*[n for c in self.columns for n in (center(c), scale_of(c))])
 
-    def inverse(self, df: DataFrame, columns: dict[str, str], spread=None, strict=True) -> DataFrame:
+    def inverse(self, df: DataFrame, columns: dict[str, str], strict=True) -> DataFrame:
         """``columns`` maps a scaled column of ``df`` to the fitted column whose parameters
         undo the scaling: p * scale + center."""
-        out = self.attach(df, spread, strict)
+        out = self.attach(df, strict)
         new = {p: F.col(p) * F.col(scale_of(c)) + F.col(center(c)) for p, c in columns.items()}
         return out.withColumns(new).drop(*[n for c in self.columns for n in (center(c), scale_of(c))])
 
@@ -112,20 +111,17 @@ def fit_scaler(
     *,
     quantile_range: tuple[float, float] = (25.0, 75.0),
     approximate: bool = False,
-    spread: list[str] | None = None,
 ) -> ScalerModel:
     """Parameters of ``kind`` for every column, per group or over all rows, lazily.
 
     A scale of 0 becomes 1. ``robust`` uses exact quantiles with linear interpolation;
-    ``approximate=True`` takes sketch quantiles in a single aggregate instead. ``spread``
-    names columns that vary inside a group (the time column): it divides a hot group's rows
-    when they meet their quantile brackets.
+    ``approximate=True`` takes sketch quantiles in a single aggregate instead.
     """
     kind = kind.lower()
     groups = list(groups or [])
     require_columns(df, *columns, *groups)
     if kind == "robust":
-        params = _robust(df, columns, groups, quantile_range, approximate, spread)
+        params = _robust(df, columns, groups, quantile_range, approximate)
     elif kind in _AGGREGATES:
         typed = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
         aggs = []
@@ -138,7 +134,7 @@ def fit_scaler(
     return ScalerModel(kind, tuple(columns), tuple(groups), params)
 
 
-def _robust(df, columns, groups, quantile_range, approximate, spread) -> DataFrame:
+def _robust(df, columns, groups, quantile_range, approximate) -> DataFrame:
     low, high = (q / 100.0 for q in quantile_range)
     wanted = [low, 0.5, high]
     if approximate:
@@ -149,7 +145,7 @@ def _robust(df, columns, groups, quantile_range, approximate, spread) -> DataFra
             *[F.col(c)[1].alias(center(c)) for c in columns],
             *[_nonzero(F.col(c)[2] - F.col(c)[0]).alias(scale_of(c)) for c in columns],
         )
-    q = exact_quantiles(df, groups, columns, wanted, spread=spread)
+    q = exact_quantiles(df, groups, columns, wanted)
 
     def pick(c: str, p: float) -> Column:
         return F.max(F.when((F.col("column") == c) & (F.col("probability") == p), F.col("value")))

@@ -5,42 +5,42 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.plans.blocks import BROADCAST_ROWS
-
-
-def key_lookup(
-    df: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    *,
-    rows: int | None = None,
-    spread: list[str] | None = None,
-    salts: int = 64,
-    how: str = "left",
-) -> DataFrame:
-    """Join ``table`` (one row per key) to ``df``; null keys match null keys.
-
-    * ``rows`` is the counted size of ``table``: when small enough it is broadcast.
-    * otherwise, if ``spread`` names columns that vary inside a key (usually the time
-      column), every key is divided over ``salts`` shuffle buckets, so a key holding a third
-      of all rows does not land in one task. The table is repeated ``salts`` times, the rows
-      are not.
-    * otherwise Spark chooses from the sizes it sees at run time.
-    """
+from panelwright.session import cut_lineage
+
+# A table is broadcast only when it was measured and takes no more than this.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row, measured on its text form."""
+    return F.octet_length(F.to_json(F.struct("*"))).cast("long") if df.columns else F.lit(0).cast("long")
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Size of a table, by a job that returns one row."""
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table written once to the shared folder, and its size."""
+    table = cut_lineage(df)
+    return table, bytes_of(table)
+
+
+def key_lookup(df: DataFrame, table: DataFrame, keys: list[str], *, size: int | None = None, how: str = "left") -> DataFrame:
+    """Join ``table`` (one row per key) to ``df``; null keys match null keys. ``size`` is the
+    table's measured size in bytes: when small enough it is broadcast. Otherwise Spark joins by
+    the sizes it sees at run time and splits the rows of a hot key over several tasks; the table
+    is not repeated."""
     right = table
     for k in keys:
         right = right.withColumnRenamed(k, f"_on_{k}")
     if not keys:
         raise ValueError("key_lookup needs at least one key")
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if size is not None and size <= BROADCAST_BYTES:
         right = F.broadcast(right)
-    elif spread:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-        right = right.withColumn("_on__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        keys = [*keys, "_salt"]
     match = reduce(and_, [df[k].eqNullSafe(right[f"_on_{k}"]) for k in keys])
-    out = df.join(right, match, how)
-    return out.drop("_salt", *[f"_on_{k}" for k in keys])
+    return df.join(right, match, how).drop(*[f"_on_{k}" for k in keys])

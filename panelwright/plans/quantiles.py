@@ -16,12 +16,13 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.plans.lookup import key_lookup
+from panelwright.plans.lookup import key_lookup, measured
 
 
-def _attach(df: DataFrame, table: DataFrame, groups: list[str], spread: list[str]) -> DataFrame:
+def _attach(df: DataFrame, table: DataFrame, groups: list[str]) -> DataFrame:
     if groups:
-        return key_lookup(df, table, groups, spread=spread, how="inner")
+        table, size = measured(table)
+        return key_lookup(df, table, groups, size=size, how="inner")
     names = table.columns
     packed = df.withColumn("_all", table.select(F.struct(*names)).scalar())
     return packed.select(*df.columns, *[F.col(f"_all.{n}").alias(n) for n in names])
@@ -34,22 +35,19 @@ def exact_quantiles(
     probabilities: list[float],
     *,
     accuracy: int = 100_000,
-    spread: list[str] | None = None,
 ) -> DataFrame:
     """Rows ``(groups..., column, probability, value)``; nulls and NaN are left out."""
-    spread = [c for c in (spread or []) if c not in groups]
     n_probs = len(probabilities)
     v = [f"_v{i}" for i in range(len(columns))]
-    carried = [F.col(c).alias(f"_by{i}") for i, c in enumerate(spread)]
     numbers = [F.col(c).cast("double").alias(n) for c, n in zip(columns, v)]
-    values = df.select(*groups, *carried, *numbers)
+    values = df.select(*groups, *numbers)
     values = values.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in v})
 
     margin = 3.0 / accuracy
     low = [max(p - margin, 0.0) for p in probabilities]
     high = [min(p + margin, 1.0) for p in probabilities]
     sketch = values.groupBy(*groups).agg(*[F.percentile_approx(n, low + high, accuracy).alias(f"_edges{n}") for n in v])
-    placed = _attach(values, sketch, groups, [f"_by{i}" for i in range(len(spread))])
+    placed = _attach(values, sketch, groups)
 
     def edges(n: str, i: int) -> tuple[Column, Column]:
         return F.col(f"_edges{n}")[i], F.col(f"_edges{n}")[n_probs + i]

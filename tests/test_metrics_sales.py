@@ -94,7 +94,7 @@ def test_train_and_test_get_the_same_columns(spark):
         "Store int, StoreType string, Assortment string, CompetitionDistance int, CompetitionOpenSinceMonth int, "
         "CompetitionOpenSinceYear int, Promo2 int, Promo2SinceWeek double, Promo2SinceYear double, PromoInterval string",
     )
-    fitted = sales.fit_store_preprocess(train, store, store_rows=2)
+    fitted = sales.fit_store_preprocess(train, store, store_bytes=200)
     a = fitted.transform(train)
     b = fitted.transform(train.drop("Sales", "Customers").withColumn("StateHoliday", F.lit("zzz")))
     only_train = {"Sales", "Customers", "SalesPerCustomer", "HasCustomerData"}

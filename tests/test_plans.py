@@ -51,10 +51,27 @@ def test_counted_dimension_is_broadcast(spark, sf):
 
     facts, dim = views.table(spark, sf, "orders").withColumnRenamed("o_custkey", "Store"), views.table(spark, sf, "customer")
     dim = dim.withColumnRenamed("c_custkey", "Store")
-    assert "BroadcastHashJoin" in plan(merge_store_data(facts, dim, store_rows=dim.count(), spread=["o_orderdate"]))
+    assert "BroadcastHashJoin" in plan(merge_store_data(facts, dim))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        p = plan(merge_store_data(facts, dim, spread=["o_orderdate"]))
-        assert "Broadcast" not in p and "_salt" in p
+        assert "BroadcastHashJoin" in plan(merge_store_data(facts, dim))  # measured, not guessed
+        p = plan(merge_store_data(facts, dim, store_bytes=1 << 40))
+        assert "Broadcast" not in p and "Generate" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_labels_are_broadcast_by_the_size_of_their_own_column(spark, monkeypatch):
+    from panelwright.operators import encode
+    from panelwright.plans import lookup
+
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 10_000)
+    df = spark.range(20_000).selectExpr("concat('label ', id) AS many", "concat('kind ', id % 5) AS few")
+    labels = encode.fit_labels(df, ["many", "few"])
+    assert labels.sizes["few"] < 1000 < 10_000 < labels.sizes["many"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(labels.encode(df))
+        assert p.count("BroadcastHashJoin") == 1 and p.count("SortMergeJoin") == 1 and "Generate" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

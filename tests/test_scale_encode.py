@@ -18,9 +18,9 @@ def frame(spark):
 @pytest.mark.parametrize("kind", ["standard", "minmax", "robust", "maxabs", "onlymax"])
 @pytest.mark.parametrize("groups", [["g"], []])
 def test_inverse_undoes_scaling(frame, kind, groups):
-    model = scale.fit_scaler(frame, kind, ["x", "y"], groups, spread=["i"]).materialize()
-    there = model.transform(frame, suffix="_s", spread=["i"])
-    back = model.inverse(there, {"x_s": "x", "y_s": "y"}, spread=["i"])
+    model = scale.fit_scaler(frame, kind, ["x", "y"], groups).materialize()
+    there = model.transform(frame, suffix="_s")
+    back = model.inverse(there, {"x_s": "x", "y_s": "y"})
     assert back.filter((F.abs(F.col("x") - F.col("x_s")) > 1e-9) | (F.abs(F.col("y") - F.col("y_s")) > 1e-9)).isEmpty()
     assert back.count() == frame.count()
 
@@ -85,8 +85,8 @@ def test_exact_quantiles_equal_numpy(spark, accuracy):
 def test_lookup_ways_agree(spark):
     facts = spark.range(500).select((F.col("id") % 7).alias("k"), F.col("id").alias("t")).withColumn("k", F.when(F.col("k") < 6, F.col("k")))
     table = spark.createDataFrame([(i, i * 10) for i in range(5)] + [(None, -1)], "k long, v long")
-    want = sorted((r.k is None, r.k, r.t, r.v) for r in key_lookup(facts, table, ["k"], rows=6).collect())
-    for kw in ({}, {"spread": ["t"], "salts": 8}):
+    want = sorted((r.k is None, r.k, r.t, r.v) for r in key_lookup(facts, table, ["k"], size=100).collect())
+    for kw in ({}, {"size": 1 << 40}):
         got = sorted((r.k is None, r.k, r.t, r.v) for r in key_lookup(facts, table, ["k"], **kw).collect())
         assert got == want and len(got) == 500
 
