@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "panelwright
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,21 +27,48 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "panelwright
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``. Only a local master without that setting gets a folder of its
-    own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``,
+    else the context's checkpoint directory. Only a local master with neither gets a folder of
+    its own, which goes when Python ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     own = os.path.join(tempfile.gettempdir(), f"panelwright-{spark.sparkContext.applicationId}")
-    os.makedirs(own, exist_ok=True)
+    if not os.path.isdir(own):
+        os.makedirs(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
+_written: list[str] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """Path of a table to write in the shared folder; ``remove_tables`` deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_at_exit, spark)
+    _written.append(path)
+    return path
+
+
+def remove_tables(spark: SparkSession) -> int:
+    """Deletes the tables written so far, once no DataFrame that reads them is needed; returns
+    how many there were."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def _remove_at_exit(spark: SparkSession) -> None:
+    try:
+        remove_tables(spark)
+    except Exception:  # the session has ended before: its folder is the cluster's to clear
+        _written.clear()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

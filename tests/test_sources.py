@@ -139,3 +139,33 @@ def test_format_comes_from_the_last_part_of_the_path(spark, tmp_path, name, kind
     else:
         os.rename(path, str(target))
     assert [(int(r.n), r.s) for r in readers.read_table(spark, str(target) + ("/" if name.endswith("/") else "")).collect()] == [(1, "a")]
+
+
+def test_written_tables_can_be_removed(spark):
+    from panelwright import session
+
+    session.remove_tables(spark)
+    path = session.new_table_path(spark, "kept-shortly")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file:")) and session.remove_tables(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:")) and session.remove_tables(spark) == 0
+
+
+def test_the_contexts_checkpoint_directory_is_honoured(spark):
+    from panelwright import session
+
+    class Context:
+        master = "spark://elsewhere"
+
+        def __init__(self, folder):
+            self.getCheckpointDir = lambda: folder
+
+    class Session:
+        def __init__(self, folder, named=None):
+            self.sparkContext = Context(folder)
+            self.conf = {"spark.checkpoint.dir": named}
+
+    assert session.shared_folder(Session("hdfs://x/y")) == "hdfs://x/y"
+    assert session.shared_folder(Session("hdfs://x/y", "s3://b/z/")) == "s3://b/z"
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session(None))
