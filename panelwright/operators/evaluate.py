@@ -159,15 +159,15 @@ def sales_metrics(actual: str = "actual", predicted: str = "prediction") -> list
 
 def evaluate(predictions: DataFrame, actuals: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
     """Aligned predictions -> metrics per target and horizon, and per group if wanted."""
-    aligned = with_direction(align(predictions, actuals, spec), spec)
-    return metrics_by(aligned, list(spec.groups) if per_group else [])
+    return evaluate_aligned(align(predictions, actuals, spec), spec, per_group)
+
+
+def evaluate_aligned(aligned: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
+    """Rows with prediction and actual -> metrics per target and horizon, and per group if wanted."""
+    return metrics_by(with_direction(aligned, spec), list(spec.groups) if per_group else [])
 
 
 def sales_levels(aligned: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
     """All levels of ``metrics_by`` with RMSPE in the same aggregate."""
     extra = [rmspe("actual", "prediction").alias("RMSPE")]
     return metrics_by(with_direction(aligned, spec), list(spec.groups) if per_group else [], extra)
-
-
-def evaluate_sales(predictions: DataFrame, actuals: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
-    return sales_levels(align(predictions, actuals, spec), spec, per_group)

@@ -204,21 +204,25 @@ class PanelForecastModel:
             panel = shift_targets(panel, c.spec, list(c.targets), c.horizon)
         return self.prepare(panel, with_targets=not inference)
 
-    def predict_prepared(self, prepared: DataFrame) -> DataFrame:
+    def predict_prepared(self, prepared: DataFrame, actual: bool = False) -> DataFrame:
         """Score prepared windows: ``(group..., time, target, horizon, prediction)`` on the
-        original scale."""
+        original scale; ``actual`` adds what came, from the targets that stand on the same rows,
+        and leaves out rows where nothing did."""
         c = self.config
-        scored = prepared.select(*c.spec.keys, "features")
+        came = self.targets if actual else []
+        scored = prepared.select(*c.spec.keys, "features", *came)
         for n in self.targets:
             scored = self.regressors[n].transform(scored)
         raw = {f"{n}_raw": n for n in self.targets}
         back = self.scaler.inverse(scored.drop("features"), raw)
-        rows = [
-            F.struct(F.lit(t).alias("target"), F.lit(h).alias("horizon"), F.col(f"{target_name(t, h)}_raw").alias("prediction"))
-            for t in c.targets
-            for h in range(1, c.horizon + 1)
-        ]
-        return back.select(*c.spec.keys, F.inline(F.array(*rows)))
+
+        def row(t: str, h: int):
+            name = target_name(t, h)
+            cells = [F.lit(t).alias("target"), F.lit(h).alias("horizon"), F.col(f"{name}_raw").alias("prediction")]
+            return F.struct(*cells, *([F.col(name).cast("double").alias("actual")] if actual else []))
+
+        out = back.select(*c.spec.keys, F.inline(F.array(*[row(t, h) for t in c.targets for h in range(1, c.horizon + 1)])))
+        return out.filter(F.col("actual").isNotNull()) if actual else out
 
     def predict(self, df: DataFrame, inference: bool = False) -> DataFrame:
         return self.predict_prepared(self.prepare_data(df, inference))
@@ -229,24 +233,21 @@ class PanelForecastModel:
         return ev.actuals_long(panel, c.spec, list(c.targets), c.horizon)
 
     def evaluate(self, df: DataFrame, per_group: bool = False, predictions: DataFrame | None = None) -> DataFrame:
-        predictions = self.predict(df) if predictions is None else predictions
-        return ev.evaluate(predictions, self.actuals(df), self.config.spec, per_group)
+        """Metrics of the forecasts of ``df``; only predictions from outside are joined to what came."""
+        if predictions is not None:
+            return ev.evaluate(predictions, self.actuals(df), self.config.spec, per_group)
+        return ev.evaluate_aligned(self.predicted_and_actual(df), self.config.spec, per_group)
 
     def evaluate_prepared(self, prepared: DataFrame, per_group: bool = False) -> DataFrame:
         """Evaluate windows that already carry their shifted targets."""
-        c = self.config
-        actuals = ev.actuals_long(prepared, c.spec, list(c.targets), c.horizon)
-        return ev.evaluate(self.predict_prepared(prepared), actuals, c.spec, per_group)
+        return ev.evaluate_aligned(self.predict_prepared(prepared, actual=True), self.config.spec, per_group)
 
     def evaluate_sales(self, df: DataFrame, per_group: bool = False) -> DataFrame:
         return ev.sales_levels(self.predicted_and_actual(df), self.config.spec, per_group)
 
     def predicted_and_actual(self, df: DataFrame) -> DataFrame:
-        """Predictions joined with what came, from one preparation of the rows."""
-        c = self.config
-        prepared = self.prepare_data(df)
-        actuals = ev.actuals_long(prepared, c.spec, list(c.targets), c.horizon)
-        return ev.align(self.predict_prepared(prepared), actuals, c.spec)
+        """Predictions beside what came, from one preparation of the rows."""
+        return self.predict_prepared(self.prepare_data(df), actual=True)
 
     def predict_next(self, df: DataFrame, n: int | None = None, kind: str = "bar", seconds: int | None = None) -> DataFrame:
         """Next ``n`` (at most the horizon) values of every target for every group from its

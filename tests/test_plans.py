@@ -75,3 +75,8 @@ def test_labels_are_broadcast_by_the_size_of_their_own_column(spark, monkeypatch
         assert p.count("BroadcastHashJoin") == 1 and p.count("SortMergeJoin") == 1 and "Generate" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_evaluation_joins_no_predictions_to_actuals(spark, sf):
+    p = plan(catalog.queries()["i8_evaluate"](spark, sf))
+    assert "SortMergeJoin" not in p
