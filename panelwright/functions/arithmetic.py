@@ -18,12 +18,6 @@ def divide(a: Column | str, b: Column | str) -> Column:
     return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
 
 
-def clean_nan(c: Column | str) -> Column:
-    """NaN becomes null, which every operator treats as missing."""
-    c = col(c)
-    return F.when(~F.isnan(c), c)
-
-
 def clip_lower(c: Column | str, bound: float = 0.0) -> Column:
     """Values below the bound become the bound; null stays null."""
     c = col(c)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.plans.blocks import CellTable, Feature, over_blocks
-from panelwright.spec import OHLC, OHLCV, PanelSpec, market, require_columns
+from panelwright.spec import OHLC, PanelSpec, market, require_columns
 
 
 def clean_ohlc_daily(df: DataFrame, spec: PanelSpec, cells: CellTable | None = None) -> DataFrame:
@@ -165,7 +165,3 @@ def limit_groups(df: DataFrame, group: str, n: int, *others: DataFrame):
     small = F.broadcast(kept) if n <= 100_000 else kept
     result = [d.join(small, group, "left_semi") for d in (df, *others)]
     return result[0] if not others else tuple(result)
-
-
-def ohlcv_present(df: DataFrame) -> list[str]:
-    return [c for c in OHLCV if c in df.columns]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,8 +121,21 @@ def group_code(groups: list[str]) -> Column:
     return F.struct(*groups)
 
 
+def one_hot_vector(df: DataFrame, labels: LabelMap, column: str, out: str) -> DataFrame:
+    """Adds a sparse 0/1 vector of any number of categories: position ``code`` of the label map is
+    1, a label that was not fitted has one position more. Nothing but the number of categories
+    comes to the driver."""
+    coded = replace(labels, columns=(column,)).encode(df, suffix="_one_hot_code", unseen="keep")
+    code = f"{column}_one_hot_code"
+    n = labels.table.filter(F.col("column") == column).count()
+    sizes = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias(code))
+    encoder = OneHotEncoder(inputCols=[code], outputCols=[out], dropLast=False).fit(sizes)
+    return encoder.transform(coded).drop(code)
+
+
 def categories_of(df: DataFrame, column: str, limit: int = ONE_HOT_LIMIT) -> list[str]:
-    """Sorted distinct texts of a column (one small job); refuses more than ``limit``."""
+    """Sorted distinct texts of a column (one small job); refuses more than ``limit``, which are
+    better kept in one sparse vector (``one_hot_vector``) than in as many columns."""
     rows = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} categories; use a label map")

@@ -63,7 +63,7 @@ def available_regressors() -> list[str]:
 
 def _linear(features: str, label: str, prediction: str):
     return LinearRegression(
-        featuresCol=features, labelCol=label, predictionCol=prediction, solver="normal", regParam=0.0, standardization=False
+        featuresCol=features, labelCol=label, predictionCol=prediction, solver="auto", regParam=0.0, standardization=False
     )
 
 

@@ -142,3 +142,13 @@ def test_experiment_ids_count_up(spark, tmp_path):
     assert [(r["experiment_id"], r["val_rmspe"]) for r in out] == [("exp_001", 0.2), ("exp_002", 0.17)]
     with pytest.raises(ValueError, match="no such"):
         append_experiment(spark, path, colour="red")
+
+
+def test_linear_regressor_takes_more_inputs_than_the_normal_equation(spark):
+    """240 rows of 18 features, the lookback of minute bars: 4,320 inputs."""
+    from pyspark.ml.functions import array_to_vector
+
+    values = F.array(*[((F.col("id") * (k % 97 + 1)) % 11).cast("double") for k in range(240 * 18)])
+    train = spark.range(12).select(array_to_vector(values).alias("features"), F.col("id").cast("double").alias("y"))
+    model = fc._REGRESSORS["linear"]("features", "y", "p").fit(train)
+    assert model.numFeatures == 4320 and model.transform(train).count() == 12

@@ -134,3 +134,17 @@ def test_cardinality_exact_and_approximate(spark):
     assert {r["column"]: r.categories for r in profile.cardinality(df, ["a", "b"]).collect()} == {"a": 10, "b": 1000}
     approx = {r["column"]: r.categories for r in profile.cardinality(df, ["a", "b"], approximate=True).collect()}
     assert approx["a"] == 10 and abs(approx["b"] - 1000) < 100
+
+
+def test_one_hot_vector_has_room_for_any_number_of_categories(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    train = spark.range(5000).selectExpr("lpad(id, 5, '0') AS c")
+    labels = encode.fit_labels(train, ["c"])
+    rows = spark.createDataFrame([("00000",), ("04999",), ("other",), (None,)], "c string")
+    out = encode.one_hot_vector(rows, labels, "c", "hot")
+    assert out.columns == ["c", "hot"]
+    got = {r.c: r.hot for r in out.collect()}
+    assert {v.size for v in got.values()} == {5001}
+    assert {c: list(v.indices) for c, v in got.items()} == {"00000": [0], "04999": [4999], "other": [5000], None: [5000]}
+    assert out.select(vector_to_array("hot")[0].alias("first")).agg(F.sum("first")).first()[0] == 1.0
