@@ -8,8 +8,8 @@ transforms.
 2. Segments that occur again as a whole are repeated altogether.
 3. The other segments meet the distinct segments of their anchor. Their bytes are dealt into
    shards; each shard's suffixes are sorted once and give its Burrows-Wheeler transform and LF
-   mapping. The transforms are merged by refining their interleave: a step puts two more symbols
-   in front of every suffix, taken from the transforms alone, and splits the blocks of suffixes
+   mapping. The transforms are merged by refining their interleave: a step puts eight more
+   symbols in front of every suffix, taken from the transforms alone, and splits the blocks of suffixes
    that agree so far. Suffixes alone in a block are settled and leave. Blocks that are left after
    200 symbols are the repeated intervals: their common prefix is 200 bytes or more.
 4. Anchors with more than ``CLASS`` distinct segments would gather in one task; their windows are
@@ -38,7 +38,7 @@ from panelwright.llm.tables import fresh, written
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1  # grams of a window
 CHUNK = 2 << 20  # bytes that are hashed at once
-CLASS = 256
+CLASS = 4096
 MERGED = 1 << 20  # bytes of segments whose transforms are merged at once
 SHARDS = 4
 END = 0xFF  # no byte of UTF-8; ends every segment
@@ -155,54 +155,69 @@ def _rows_of_segments(batches):
             )
 
 
+def _eight(symbols: np.ndarray, hop) -> np.ndarray:
+    """Eight symbols in one number: each one's own, then those that ``hop`` leads to."""
+    wide = symbols.astype(np.uint64)
+    for k in range(3):
+        wide = wide << np.uint64(8 << k) | wide[hop(1 << k)]
+    return wide
+
+
 def shard_transform(strings: list[bytes]):
     """Burrows-Wheeler transform of the strings (each ended), LF mapping, and the text position
-    of every sorted suffix. Suffixes are sorted by doubling; ties beyond 256 symbols stay tied."""
+    of every sorted suffix. Suffixes are sorted by eight symbols, then by doubling; ties beyond
+    256 symbols stay tied."""
     text = np.frombuffer(b"".join(s + bytes([END]) for s in strings), np.uint8)
-    n = len(text)
-    rank, width, order = text.astype(np.int64), 1, None
-    while width <= 256:
-        both = rank * (int(rank.max()) + 1) + np.roll(rank, -width // 2) if width > 1 else rank
-        order = np.argsort(both, kind="stable")
-        sorted_keys = both[order]
-        new = np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])])
+    n, place = len(text), np.arange(sum(map(len, strings)) + len(strings))
+    keys, width = _eight(text, lambda k: (place + k) % n), 8
+    while True:
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+        if new[-1] == n - 1 or width >= 256:
+            break
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if new[-1] == n - 1:
-            break
-        width *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return text[order - 1], place[order - 1], order
+        keys, width = rank * (int(new[-1]) + 1) + np.roll(rank, -width), 2 * width
+    row = np.empty(n, np.int64)
+    row[order] = place
+    return text[order - 1], row[order - 1], order
 
 
 def repeated_places(shards: list[list[bytes]], length: int = LENGTH) -> list[np.ndarray]:
     """For every shard, the text positions (strings joined by one end each) where strings of
-    ``length`` start that start elsewhere too."""
+    ``length`` (a multiple of eight) start that start elsewhere too."""
     transforms = [shard_transform(s) for s in shards]
-    sizes = [len(t[0]) for t in transforms]
-    base = np.cumsum([0, *sizes])
+    base = np.cumsum([0, *(len(t[0]) for t in transforms)])
     bwt = np.concatenate([t[0] for t in transforms])
-    lf = np.concatenate([t[1] + b for t, b in zip(transforms, base[:-1], strict=True)])
-    # two symbols a step: what stands before a suffix, and before that
-    symbol = bwt[lf].astype(np.uint16) << 8 | bwt
-    ended = (bwt == END) | (bwt[lf] == END)
-    jump = lf[lf]
-    suffix, block = np.arange(len(bwt)), np.zeros(len(bwt), np.int32)
-    for _ in range(length // 2):
+    steps = [np.concatenate([t[1] + b for t, b in zip(transforms, base[:-1], strict=True)])]
+    for _ in range(3):
+        steps.append(steps[-1][steps[-1]])  # LF once, twice, four and eight times
+    symbols, jump = _eight(bwt, lambda k: steps[k.bit_length() - 1]), steps[3].astype(np.int32)
+    ended = bwt == END
+    for k in range(3):
+        ended = ended | ended[steps[k]]
+    suffix, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    for _ in range(length // 8):
         inside = ~ended[suffix]
         suffix, block = suffix[inside], block[inside]
-        front = symbol[suffix]
-        order = np.argsort(front, kind="stable")
-        suffix, block, front = suffix[order], block[order], front[order]
+        front = symbols[suffix]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        sizes = np.diff(np.append(starts, len(block)))
+        # blocks whose suffixes now differ are put in order; the others stay as they are
+        differ = np.logical_or.reduceat(front != np.repeat(front[starts], sizes), starts) if len(starts) else np.zeros(0, bool)
+        mixed = np.flatnonzero(np.repeat(differ, sizes))
+        if len(mixed):
+            order = mixed[np.lexsort((front[mixed], block[mixed]))]
+            suffix[mixed], front[mixed] = suffix[order], front[order]
         split = np.ones(len(suffix) + 1, bool)  # where a block begins
         split[1:-1] = (front[1:] != front[:-1]) | (block[1:] != block[:-1])
         shared = ~(split[:-1] & split[1:])
         suffix = jump[suffix[shared]]
         block = np.cumsum(split[:-1][shared], dtype=np.int32)
     out = []
-    for k, (b, t) in enumerate(zip(base[:-1], transforms, strict=True)):
-        out.append(np.sort(t[2][suffix[(suffix >= b) & (suffix < base[k + 1])] - b]))
+    for b, e, t in zip(base[:-1], base[1:], transforms, strict=True):
+        out.append(np.sort(t[2][suffix[(suffix >= b) & (suffix < e)] - b]))
     return out
 
 
