@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, limit: int = CLASS) -> Dat
     """(key, crc, spans): the byte ranges of every text that repeated strings cover. ``texts`` are
     the keyed documents as the caller has dealt them."""
     found = written(keyed(docs).mapInArrow(_rows_of_segments, SEGMENTS), "segments")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "again")
     place = F.struct("key", "crc", "start", "n")
     candidates = written(found.join(again, "anchor"), "candidates")
     distinct = candidates.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("place"))
