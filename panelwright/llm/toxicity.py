@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -114,9 +115,12 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
     net, random = Network.untrained(seed), np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-    lists = [features(w) for w in vocabulary] + [[]]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([k for x in lists for k in x], np.int64)
+    sizes, flat = array("q"), array("q")  # lists of lists would take most of the driver's memory
+    for word in vocabulary:
+        found = features(word)
+        sizes.append(len(found))
+        flat.extend(found)
+    sizes, flat = np.array([*sizes, 0], np.int64), np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64)
     begin = np.cumsum(sizes) - sizes
     blank = len(vocabulary)  # the padding word, a zero vector
     docs = [np.concatenate([d, np.full(padding(len(d)), blank)]) for d in docs]
