@@ -55,9 +55,30 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+REGISTERED = (
+    op1_toxicity,
+    op2_repeated_spans,
+    op3_top_k,
+    op4_pack,
+    op5_license_scan,
+    op6_language_id,
+    op7_simhash,
+    op8_suffix_dedup,
+    op9_exact_dedup,
+    op10_mix_sources,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_top_k, op4_pack, op5_license_scan, op6_language_id, op7_simhash, op8_suffix_dedup, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql():
-    return {"op2_repeated_spans": spans.SQL, "op3_top_k": topk.SQL, "op5_license_scan": licenses.SQL, "op9_exact_dedup": exact.SQL, "op10_mix_sources": mixing.SQL}
+    """Where SQL can express the query."""
+    return {
+        "op2_repeated_spans": spans.SQL,
+        "op3_top_k": topk.SQL,
+        "op5_license_scan": licenses.SQL,
+        "op9_exact_dedup": exact.SQL,
+        "op10_mix_sources": mixing.SQL,
+    }

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.tables import components, held, written
@@ -95,7 +95,9 @@ def fingerprints(docs: DataFrame, width: int, checks: int = 0, check_width: int
                 ["doc_id", "text_hash", "fp", "checks"],
             )
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    thin = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
+    )
     return thin.mapInArrow(run, "doc_id long, text_hash long, fp long, checks array<long>")
 
 

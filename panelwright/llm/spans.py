@@ -75,7 +75,8 @@ def span_hashes(docs: DataFrame) -> DataFrame:
             )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, RUNS)
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return thin.mapInArrow(run, RUNS)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -126,7 +127,8 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
             new = [pa.array(totals, pa.int32()), pa.array(gone, pa.int32()), pa.array(sources, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *new], [*names, "n_sentences", "n_removed", "copied_from"])
 
-    kinds = ", ".join(f"{n} {f.dataType.simpleString() if k != text else 'string'}" for k, (n, f) in enumerate(zip(names, docs.schema.fields, strict=True)))
+    types = ["string" if k == text else f.dataType.simpleString() for k, f in enumerate(docs.schema.fields)]
+    kinds = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
     out = joined.mapInArrow(run, f"{kinds}, n_sentences int, n_removed int, copied_from array<long>")
     return out.toDF(*docs.columns, *extra)
 

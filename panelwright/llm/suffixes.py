@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.tables import fresh, written
+from panelwright.llm.tables import written
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1  # grams of a window
@@ -304,7 +304,7 @@ def document_key(doc_id):
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, limit: int = CLASS) -> DataFrame:
     """(key, crc, spans): the byte ranges of every text that repeated strings cover. ``texts`` are
-    the keyed documents as the caller has dealt them."""
+    the keyed documents."""
     found = written(keyed(docs).mapInArrow(_rows_of_segments, SEGMENTS), "segments")
     again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "again")
     place = F.struct("key", "crc", "start", "n")
@@ -362,19 +362,15 @@ def removal_report(docs: DataFrame, limit: int = CLASS) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    texts = dealt_texts(docs)
+    texts = keyed(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     joined = texts.join(written(repeated_spans(docs, texts, limit), "spans"), ["key", "crc"], "left")
     return joined.select("key", "text", "spans").mapInArrow(run, schema)
 
 
-def dealt_texts(docs: DataFrame) -> DataFrame:
-    return keyed(docs)
-
-
 def drop_repeated_bytes(docs: DataFrame, limit: int = CLASS) -> DataFrame:
     """``docs`` with the remaining bytes of every text (characters cut in two become U+FFFD)."""
-    spans = written(repeated_spans(docs, dealt_texts(docs), limit), "spans").withColumnsRenamed({"key": "_key", "crc": "_crc", "spans": "_spans"})
+    spans = written(repeated_spans(docs, keyed(docs), limit), "spans").withColumnsRenamed({"key": "_key", "crc": "_crc", "spans": "_spans"})
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     match = (document_key(docs["doc_id"]) == spans["_key"]) & (F.crc32(text.cast("binary")) == spans["_crc"])
     names, at = [f"c{k}" for k in range(len(docs.columns))], docs.columns.index("text")

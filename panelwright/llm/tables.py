@@ -84,7 +84,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # ... then a node and its smaller neighbours do
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        to_low = [F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in ("a", "b")]
+        small = large.join(low, "a").select(F.explode(F.array(*to_low)).alias("e"))
         now = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
 
 

@@ -301,7 +301,7 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, **op
     predicted, threshold, rejected)."""
     fold = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
     net = fit(docs, labels.filter(fold(F.col("doc_id")) != out), **options)
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("lang", "text")])
     cut = threshold(F.col("lang"), net)
     return scored(thin, net).select(
         "doc_id",
