@@ -57,6 +57,38 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(long).all() and (long < short).all()
 
 
+@pytest.mark.parametrize("n", range(36, 51))
+def test_unseen_letters_do_not_underflow(n):
+    pieces, unknown = language.pieces(PATH)
+    chance = np.full((unknown + 1, 2), 1e-3)
+    chance[:, 0] = 5e-9  # this language saw none of it
+    word = "漢字仮名" * 13
+    got = language.word_scores([word[:n]], pieces, unknown, chance)[0]
+    assert np.isfinite(got).all() and np.allclose(got, language.long_word(word[:n], pieces, unknown, chance))
+
+
+def test_a_text_is_scored_the_same_beside_any_others():
+    pieces, unknown = language.pieces(PATH)
+    chance = np.random.default_rng(3).random((unknown + 1, 2)) * 1e-9 + 1e-10
+    chance[[k for p, k in pieces.items() if k >= 0 and p.lstrip(language.START).isascii()], 1] = 1e-3
+    texts = ["", "漢字仮名" * 11, "plain words", "12", "漢字仮名" * 12, "", "more plain words", ""]
+    together = language.Scorer(PATH, ["aa", "bb"], np.log([0.5, 0.5]), chance).score(texts)
+    alone = [language.Scorer(PATH, ["aa", "bb"], np.log([0.5, 0.5]), chance).score([t]) for t in texts]
+    assert together == ([x[0][0] for x in alone], [x[1][0] for x in alone])
+    assert [together[0][k] for k in (0, 2, 3, 6, 7)] == ["und", "bb", "und", "bb", "und"]
+    assert np.isfinite(together[1]).all()
+
+
+def test_learning_from_a_long_word_of_rare_letters():
+    import pyarrow as pa
+
+    pieces, unknown = language.pieces(PATH)
+    chance = np.full((unknown + 1, 1), 1e-8)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array(["漢字仮名" * 12]), pa.array([1])], ["lang", "word", "n"])
+    (got,) = language._expected(PATH, ["x"], chance)([batch])
+    assert np.isfinite(got.column(1).to_numpy()).all() and got.column(1).to_numpy().sum() > 1
+
+
 def test_prediction_and_defined_results(spark):
     importable(spark)
     rows = [(i, lang, " ".join([TEXTS[lang]] * 3)) for i, lang in enumerate([*TEXTS] * 20)]
