@@ -75,30 +75,34 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, checks: int = 0, check_width: int = 5) -> DataFrame:
-    """(doc_id, text_hash, fp, checks): the fingerprint of ``width``-word shingles and ``checks``
-    further ones of ``check_width``-word shingles, as signed 64-bit numbers."""
+    """(doc_id, text_hash, fp, checks, set_hash): the fingerprint of ``width``-word shingles, as a
+    signed 64-bit number. With ``checks``, that many further ones of ``check_width``-word shingles
+    and a hash of their set; all fingerprints are then taken over distinct shingles."""
 
     def run(batches):
         held(None, dict)  # what earlier stages kept in this process is not needed
         for batch in batches:
-            fps, more = [], []
+            fps, more, sets = [], [], []
             for text in batch.column(2):
                 words = words_of(text.as_py())
-                fps.append(_signed(majority(shingle_hashes(words, width))))
+                narrow = shingle_hashes(words, width)
                 if checks:
-                    wide = shingle_hashes(words, check_width)
+                    narrow, wide = np.unique(narrow), np.unique(shingle_hashes(words, check_width))
                     more.append([_signed(majority(_mixed(wide, k))) for k in range(checks)])
+                    sets.append(_signed(xxhash.xxh3_64_intdigest(wide.tobytes())))
                 else:
                     more.append([])
+                    sets.append(0)
+                fps.append(_signed(majority(narrow)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "fp", "checks"],
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(sets, pa.int64())],
+                ["doc_id", "text_hash", "fp", "checks", "set_hash"],
             )
 
     thin = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
     )
-    return thin.mapInArrow(run, "doc_id long, text_hash long, fp long, checks array<long>")
+    return thin.mapInArrow(run, "doc_id long, text_hash long, fp long, checks array<long>, set_hash long")
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -401,8 +405,8 @@ def _ended(batches):
 
 
 def numbered_prints(prints: DataFrame) -> DataFrame:
-    """One row per fingerprint: id, smallest ``doc_id``, the hash of one of its texts."""
-    sums = prints.groupBy("fp", "checks").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
+    """One row per fingerprint and shingle set: id, smallest ``doc_id``, the hash of one of its texts."""
+    sums = prints.groupBy("fp", "checks", "set_hash").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
     return written(sums.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
 
@@ -471,7 +475,8 @@ def drop_near_copies(
     """One document of each group of near copies stays, with the columns of ``docs``: documents
     are linked if their sets of five-word shingles have ``similarity`` or more. Candidates are
     fingerprints of word pairs within ``radius`` bits whose further fingerprints (of the shingles)
-    allow it; each candidate's shingle sets are compared. In large buckets each row first meets
+    allow it; each candidate's shingle sets are compared. Only documents with the same set are one
+    node from the start. In large buckets each row first meets
     its nearest one only; then the pairs that are still apart are compared too, after a sharper
     look at 1024 further bits. The smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
     prints = written(fingerprints(docs, CANDIDATE_WIDTH, CHECKS, SHINGLE), "prints")
@@ -488,9 +493,8 @@ def drop_near_copies(
         angle = similar_angle(similarity, CHECKS * BITS, 1.0)
         edges = edges.unionByName(verified(links(apart, every, met, radius, angle), nodes, docs, similarity, SHINGLE))
     found = with_component(nodes, edges)
-    lost = prints.join(found, (prints["fp"] == found["fp"]) & (prints["checks"] == found["checks"])).filter(
-        ~prints["doc_id"].eqNullSafe(F.col("component_id"))
-    )
+    same = [prints[c] == found[c] for c in ("fp", "checks", "set_hash")]
+    lost = prints.join(found, same).filter(~prints["doc_id"].eqNullSafe(F.col("component_id")))
     gone = lost.select(prints["doc_id"].alias("_lost"), prints["text_hash"]).distinct()
     match = docs["doc_id"].cast("long").eqNullSafe(gone["_lost"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
     return docs.join(gone.hint("shuffle_hash"), match, "left_anti")

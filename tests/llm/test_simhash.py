@@ -95,6 +95,15 @@ def test_stage_links_by_similarity_of_shingle_sets(spark, few):
     assert kept.filter("doc_id = 900").count() == 2  # repeated rows stay or go together
 
 
+def test_texts_that_share_one_frequent_shingle_are_compared(spark):
+    rng = random.Random(11)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(4)]
+    rows = [(k, own[k] + " pad" * 260) for k in range(3)]
+    rows += [(10, own[3] + " pad" * 260), (11, own[3] + " pad" * 300), (12, own[3] + " pad" * 9)]  # equal sets
+    kept = simhash.drop_near_copies(documents(spark, rows))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {0, 1, 2, 10}
+
+
 def test_empty_table(spark):
     docs = documents(spark, [(1, "a")]).limit(0)
     assert simhash.near_groups(docs).count() == 0 and simhash.drop_near_copies(docs).count() == 0
