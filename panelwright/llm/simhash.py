@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +76,15 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, checks: int = 0, check_width: int = 5) -> DataFrame:
-    """(doc_id, text_hash, fp, checks, set_hash): the fingerprint of ``width``-word shingles, as a
-    signed 64-bit number. With ``checks``, that many further ones of ``check_width``-word shingles
-    and a hash of their set; all fingerprints are then taken over distinct shingles."""
+    """(doc_id, text_hash, fp, checks, set_hash, probes): the fingerprint of ``width``-word shingles,
+    as a signed 64-bit number. With ``checks``, that many further ones of ``check_width``-word
+    shingles, a hash of their set, and ``PROBES`` independent ones of ``width``-word shingles (the
+    first is ``fp``); all fingerprints are then taken over distinct shingles."""
 
     def run(batches):
         held(None, dict)  # what earlier stages kept in this process is not needed
         for batch in batches:
-            fps, more, sets = [], [], []
+            fps, more, sets, probes = [], [], [], []
             for text in batch.column(2):
                 words = words_of(text.as_py())
                 narrow = shingle_hashes(words, width)
@@ -94,15 +96,16 @@ def fingerprints(docs: DataFrame, width: int, checks: int = 0, check_width: int
                     more.append([])
                     sets.append(0)
                 fps.append(_signed(majority(narrow)))
+                probes.append([fps[-1], *(_signed(majority(_mixed(narrow, k))) for k in range(1, PROBES))] if checks else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(sets, pa.int64())],
-                ["doc_id", "text_hash", "fp", "checks", "set_hash"],
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(sets, pa.int64()), pa.array(probes, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "fp", "checks", "set_hash", "probes"],
             )
 
     thin = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
     )
-    return thin.mapInArrow(run, "doc_id long, text_hash long, fp long, checks array<long>, set_hash long")
+    return thin.mapInArrow(run, "doc_id long, text_hash long, fp long, checks array<long>, set_hash long, probes array<long>")
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -406,7 +409,8 @@ def _ended(batches):
 
 def numbered_prints(prints: DataFrame) -> DataFrame:
     """One row per fingerprint and shingle set: id, smallest ``doc_id``, the hash of one of its texts."""
-    sums = prints.groupBy("fp", "checks", "set_hash").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
+    one = [F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("probes").alias("probes")]
+    sums = prints.groupBy("fp", "checks", "set_hash").agg(*one)
     return written(sums.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
 
@@ -434,6 +438,10 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, block: int = B
 #: The stage's candidates: fingerprints of word pairs, of which an edit touches two instead of five.
 CANDIDATE_WIDTH, CANDIDATE_RADIUS = 2, 11
 SHINGLE, SIMILARITY, CHECKS, FIRST = 5, 0.8, 16, 2
+#: Candidates are near in one of so many independent fingerprints: one alone loses a fifth of the
+#: pairs near the threshold that differ by a block or an end.
+PROBES = 3
+SIGMAS = 2.0  # of the further fingerprints' bits, in buckets of any size
 FEW = 256  # rows of a bucket up to which all its pairs are verified at once
 
 
@@ -474,8 +482,8 @@ def drop_near_copies(
 ) -> DataFrame:
     """One document of each group of near copies stays, with the columns of ``docs``: documents
     are linked if their sets of five-word shingles have ``similarity`` or more. Candidates are
-    fingerprints of word pairs within ``radius`` bits whose further fingerprints (of the shingles)
-    allow it; each candidate's shingle sets are compared. Only documents with the same set are one
+    within ``radius`` bits in one of ``PROBES`` fingerprints of word pairs, if their further
+    fingerprints (of the shingles) allow it; each candidate's shingle sets are compared. Only documents with the same set are one
     node from the start. In large buckets each row first meets
     its nearest one only; then the pairs that are still apart are compared too, after a sharper
     look at 1024 further bits. The smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
@@ -483,15 +491,24 @@ def drop_near_copies(
     nodes = numbered_prints(prints)
     if nodes.isEmpty():
         return docs
-    rows, met = bucketed(nodes.withColumn("checks", F.slice("checks", 1, FIRST)), radius, block)
+    short = nodes.withColumn("checks", F.slice("checks", 1, FIRST))
+    probes = [bucketed(short.withColumn("fp", F.col("probes")[k]), radius, block) for k in range(PROBES)]
+    nodes = nodes.drop("probes")
     first = lambda *x: nearest(*x, few=few)
-    edges = verified(links(rows, first, met, radius, similar_angle(similarity, FIRST * BITS, 2.0)), nodes, docs, similarity, SHINGLE)
-    large = written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("part"), "large")
-    if not large.isEmpty():
-        known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
+    angle = similar_angle(similarity, FIRST * BITS, SIGMAS)
+    pairs = reduce(DataFrame.unionByName, [links(rows, first, met, radius, angle) for rows, met in probes])
+    edges = verified(pairs, nodes, docs, similarity, SHINGLE)
+    known, angle, pairs = None, similar_angle(similarity, CHECKS * BITS, SIGMAS), []
+    for rows, met in probes:
+        large = written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("part"), "large")
+        if large.isEmpty():
+            continue
+        if known is None:
+            known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
         apart = rows.drop("checks").join(large, "part").join(known, "id").select("part", "fp", "id", "checks", "entry", "label")
-        angle = similar_angle(similarity, CHECKS * BITS, 1.0)
-        edges = edges.unionByName(verified(links(apart, every, met, radius, angle), nodes, docs, similarity, SHINGLE))
+        pairs.append(links(apart, every, met, radius, angle))
+    if pairs:
+        edges = edges.unionByName(verified(reduce(DataFrame.unionByName, pairs), nodes, docs, similarity, SHINGLE))
     found = with_component(nodes, edges)
     same = [prints[c] == found[c] for c in ("fp", "checks", "set_hash")]
     lost = prints.join(found, same).filter(~prints["doc_id"].eqNullSafe(F.col("component_id")))

@@ -104,6 +104,30 @@ def test_texts_that_share_one_frequent_shingle_are_compared(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {0, 1, 2, 10}
 
 
+def changed(rng, kind, words):
+    new = [f"v{rng.randrange(10**6)}" for _ in range(72)]
+    if kind == "block":
+        n, at = rng.randint(19, 28), rng.randrange(40, 200)
+        return words[:at] + new[:n] + words[at + n :]
+    return words + new[: rng.randint(50, 72)] if kind == "appended" else words[: -rng.randint(42, 58)]
+
+
+@pytest.mark.parametrize("few", [1, simhash.FEW])
+def test_recall_of_block_append_and_truncation_pairs(spark, few):
+    rng, rows, kinds = random.Random(5), [], ("block", "appended", "truncated")
+    for k in range(450):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed(rng, kinds[k % 3], words)))]
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        a, b = shingles(a[1]), shingles(b[1])
+        assert 0.8 <= len(a & b) / len(a | b) < 0.87
+    kept = {r.doc_id for r in simhash.drop_near_copies(documents(spark, rows), few=few).select("doc_id").collect()}
+    assert kept >= {i for i, _ in rows[::2]}
+    found = {kind: sum(2 * k + 1 not in kept for k in range(j, 450, 3)) / 150 for j, kind in enumerate(kinds)}
+    print(few, found)
+    assert min(found.values()) >= 0.95
+
+
 def test_empty_table(spark):
     docs = documents(spark, [(1, "a")]).limit(0)
     assert simhash.near_groups(docs).count() == 0 and simhash.drop_near_copies(docs).count() == 0
