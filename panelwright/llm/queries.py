@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import exact, language, licenses, mixing, packing, simhash, spans, suffixes, topk, toxicity
+from panelwright.llm import collocations, exact, language, licenses, mixing, packing, simhash, spans, suffixes, topk, toxicity
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 REGISTERED = (
     op1_toxicity,
     op2_repeated_spans,
@@ -66,6 +70,7 @@ REGISTERED = (
     op8_suffix_dedup,
     op9_exact_dedup,
     op10_mix_sources,
+    op13_collocations,
 )
 
 
@@ -81,4 +86,5 @@ def oracle_sql():
         "op5_license_scan": licenses.SQL,
         "op9_exact_dedup": exact.SQL,
         "op10_mix_sources": mixing.SQL,
+        "op13_collocations": collocations.SQL,
     }
