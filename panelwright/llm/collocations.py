@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.tables import written
 
 LONGEST, LEAST, BEST, CONTAINED = 3, 10, 2000, 50
-BLOCK = 16 << 20  # bytes of text that are sorted at once
+BLOCK = 4 << 20  # bytes of text that are sorted at once
 BUCKET = 16 << 20  # bytes of text whose phrases share a routing bucket
 
 #: The characters that end a piece, and the white space between words.
@@ -100,7 +100,7 @@ def suffixes(langs: pa.Array, texts: pa.Array, longest: int):
     places = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(packed)]).dictionary_encode()
     doc = np.searchsorted(ends, at, "right") - 1
-    stops = np.cumsum(kind == 2)[at]
+    stops = np.cumsum(kind == 2, dtype=np.int32 if len(body) < 2**31 else np.int64)[at]
     ids = words.indices.to_numpy().astype(np.int32)
     names = langs.dictionary_encode()
     keys = np.full((len(ids), longest + 1), -1, np.int32)
@@ -243,7 +243,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         raise ValueError("phrases have one to seven words")
     thin = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     size = thin.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    entries = written(thin.mapInArrow(_blocks(longest, size // BUCKET + 1), ENTRIES), "entries")
+    entries = thin.mapInArrow(_blocks(longest, size // BUCKET + 1), ENTRIES)
     routed = entries.repartition("bucket").sortWithinPartitions("bucket")
     frequent = routed.mapInArrow(_summed(longest, least), FREQUENT)
     return written(frequent.withColumn("phrase", F.array_join("parts", " ")), "phrases")
