@@ -5,10 +5,9 @@ pointers of its texts by language, first, second, third word: a segment of point
 pivot word into less, equal and greater, and the equal part goes on with the next word. All
 segments of a block are split at once, in numpy. The size of an equal part is the count of its
 leading words, so the sorted block yields every phrase once, with its count. These entries are
-routed by all their words (an entry is one per phrase and block, so that no word or pair is hot),
-sorted likewise by their new task, where the sizes become sums; parts that weigh less than
-``least`` are abandoned there, whole. What is left are the exact counts of the frequent phrases,
-from which Spark joins the parts of every cut.
+routed by their first two words and sorted likewise in their buckets, where sizes become sums;
+parts that weigh less than ``least`` are abandoned there, whole. What is left are the exact counts
+of the frequent phrases, from which Spark joins the parts of every cut.
 
 Defined results: a null text is empty; a null language is ``und``; a repeated row counts again;
 an empty table gives no rows; other columns are not read; texts are read whole, in blocks of
@@ -17,6 +16,8 @@ about ``BLOCK`` bytes (one longer text is one block).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +30,7 @@ from panelwright.llm.tables import written
 LONGEST, LEAST, BEST, CONTAINED = 3, 10, 2000, 50
 BLOCK = 4 << 20  # bytes of text that are sorted at once
 BUCKET = 16 << 20  # bytes of text whose phrases share a routing bucket
+HELD = 4_000_000  # entries of a bucket that are held before they are summed
 
 #: The characters that end a piece, and the white space between words.
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -116,43 +118,114 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)  # mixes the words' hashes in their order
 
 
 def _hashes(values: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(v.as_py()) for v in values], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(v) for v in values.to_pylist()], np.uint64)
+
+
+def _code(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after a byte that tells."""
+    size = 1 if not len(values) else next(w for w in (1, 2, 4, 8) if int(values.max()) < 1 << 8 * w)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _decode(code: bytes) -> np.ndarray:
+    return np.frombuffer(code, f"<u{code[0]}", offset=1).astype(np.int64)
+
+
+@dataclass
+class Entries:
+    """Counted phrases: their language and words (-1 beyond the phrase) by number, and counts. A
+    phrase without words is the number of all words of the language."""
+
+    langs: pa.Array
+    words: pa.Array
+    lang: np.ndarray
+    ids: np.ndarray
+    n: np.ndarray
+
+    @property
+    def length(self) -> np.ndarray:
+        return (self.ids >= 0).sum(axis=1)
+
+    def routed(self, buckets: int) -> np.ndarray:
+        """Bucket of each entry, by its language and its first two words."""
+        of_lang, of_word = _hashes(self.langs), _hashes(self.words)
+        mixed = of_lang[self.lang]
+        for k in range(min(2, self.ids.shape[1])):
+            there = self.ids[:, k] >= 0
+            step = (mixed ^ (mixed >> np.uint64(29))) * _ODD + of_word[np.where(there, self.ids[:, k], 0)] if len(of_word) else mixed
+            mixed = np.where(there, step, mixed)
+        return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+    def packed(self, buckets: int):
+        """Rows (bucket, langs, words, codes) of the buckets: longer phrases stand behind their
+        first two words, which are written once."""
+        bucket, length = self.routed(buckets), self.length
+        order = np.lexsort((length, self.ids[:, 1] if self.ids.shape[1] > 1 else length, self.ids[:, 0], self.lang, bucket))
+        bucket, length, lang, ids, n = (x[order] for x in (bucket, length, self.lang, self.ids, self.n))
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, size, head = ids[a:b], length[a:b], length[a:b] <= 2
+            names = lang[a:b][head] * 4 + size[head]
+            place = np.arange(own.shape[1])
+            used = (place < size[:, None]) & (head[:, None] | (place >= 2))
+            flat = pa.array(own[used]).dictionary_encode()
+            behind = np.diff(np.append(np.flatnonzero(head), len(head))) - 1
+            words = b"\n".join(self.words.take(flat.dictionary).to_pylist())
+            codes = [names, behind, size[~head] - 2, flat.indices.to_numpy(), n[a:b]]
+            yield int(bucket[a]), self.langs, words, [_code(c) for c in codes]
+
+    @staticmethod
+    def unpacked(langs: pa.Array, words: bytes, codes: list[bytes], longest: int) -> Entries:
+        names, behind, more, flat, n = map(_decode, codes)
+        head = np.zeros(len(n), bool)
+        head[np.cumsum(behind + 1) - behind - 1] = True
+        own = np.cumsum(head) - 1  # the head of every entry
+        length = names[own] % 4
+        length[~head] += more
+        place = np.arange(longest)
+        ids = np.full((len(n), longest), -1, np.int64)
+        ids[(place < length[:, None]) & (head[:, None] | (place >= 2))] = flat
+        ids[:, :2] = ids[np.flatnonzero(head)[own], :2]
+        spelt = pa.array(words.split(b"\n") if len(flat) else [], pa.large_binary())
+        return Entries(langs, spelt, names[own] // 4, ids, n)
+
+    @staticmethod
+    def together(parts: list[Entries]) -> Entries:
+        """All entries, by one numbering of languages and words."""
+
+        def joined(arrays, numbers):
+            whole = pa.chunked_array(arrays).combine_chunks().dictionary_encode()
+            new = whole.indices.to_numpy().astype(np.int64)
+            starts = np.cumsum([0, *map(len, arrays[:-1])])
+            return whole.dictionary, np.concatenate([np.where(x >= 0, new[np.maximum(x, 0) + s] if len(new) else x, -1) for x, s in zip(numbers, starts, strict=True)])
+
+        langs, lang = joined([p.langs for p in parts], [p.lang for p in parts])
+        words, ids = joined([p.words for p in parts], [p.ids for p in parts])
+        return Entries(langs, words, lang, ids, np.concatenate([p.n for p in parts]))
+
+    def summed(self, least: int) -> Entries:
+        """Entries of the same phrase as one; those that weigh less than ``least`` are abandoned."""
+        length = self.length
+        # entries of one length are parts of their own
+        keys = np.column_stack([self.lang * 8 + length, self.ids])
+        row, depth, n = (np.concatenate(c) for c in zip(*equal_parts(keys, self.n, least), strict=True))
+        whole = depth == length[row]
+        row = row[whole]
+        return Entries(self.langs, self.words, self.lang[row], self.ids[row], n[whole])
+
+
+def _counted(langs: pa.Array, texts: pa.Array, longest: int) -> Entries | None:
+    """All phrases of a block of texts."""
+    names, words, keys = suffixes(langs, texts, longest)
+    if not len(keys):
+        return None
+    row, depth, n = (np.concatenate(c) for c in zip(*equal_parts(keys), strict=True))
+    ids = keys[row, 1:]
+    ids[np.arange(longest) >= depth[:, None]] = -1
+    return Entries(names, words, keys[row, 0], ids, n)
 
 
-def _counted(langs: pa.Array, texts: pa.Array, longest: int, buckets: int):
-    """Rows (bucket, langs, lead, words, flat, n) with the phrases of a block: an entry is
-    ``lead`` = 8 * language + words, its words in ``flat`` and its count. An entry without words
-    is the number of all words of the language."""
-    names, words, keys = suffixes(langs, texts, longest)
-    parts = [np.concatenate(c) for c in zip(*equal_parts(keys), strict=True)]
-    if not parts:
-        return
-    row, length, n = parts
-    entry = keys[row]
-    of_lang, of_word = _hashes(names), _hashes(words)
-    routed = of_lang[entry[:, 0]] + length.astype(np.uint64)
-    for k in range(1, longest + 1):
-        mixed = (routed ^ (routed >> np.uint64(29))) * _ODD + of_word[np.maximum(entry[:, k], 0)]
-        routed = np.where(length >= k, mixed, routed)
-    bucket = ((routed ^ (routed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, entry, length, n = bucket[order], entry[order], length[order], n[order]
-    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        inside = np.arange(longest) < length[a:b, None]
-        own = pa.array(entry[a:b, 1:][inside]).dictionary_encode()
-        yield {
-            "bucket": int(bucket[a]),
-            "langs": names,
-            "lead": entry[a:b, 0] * 8 + length[a:b],
-            "words": words.take(own.dictionary).cast(pa.binary()),
-            "flat": own.indices.to_numpy(),
-            "n": n[a:b],
-        }
-
-
-ENTRIES = "bucket long, langs array<string>, lead array<int>, words array<binary>, flat array<int>, n array<long>"
-_KINDS = {"langs": pa.string(), "lead": pa.int32(), "words": pa.binary(), "flat": pa.int32(), "n": pa.int64()}
+ENTRIES = "bucket long, langs array<string>, words binary, codes array<binary>"
 
 
 def _blocks(longest: int, buckets: int):
@@ -167,10 +240,11 @@ def _blocks(longest: int, buckets: int):
                 if not held or (part is not None and size < BLOCK):
                     continue
                 langs, texts = (pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in (0, 1))
-                for entry in _counted(langs, texts, longest, buckets):
-                    columns = [pa.array([entry["bucket"]], pa.int64())]
-                    columns += [pa.array([entry[c]], pa.list_(kind)) for c, kind in _KINDS.items()]
-                    yield pa.RecordBatch.from_arrays(columns, ["bucket", *_KINDS])
+                found = _counted(langs, texts, longest)
+                for bucket, *rest in found.packed(buckets) if found else ():
+                    kinds = [pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary())]
+                    columns = [pa.array([bucket], pa.int64()), *[pa.array([x], k) for x, k in zip(rest, kinds, strict=True)]]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "langs", "words", "codes"])
                 held, size = [], 0
 
     return run
@@ -187,49 +261,37 @@ def _ended(batches):
 
 
 def _summed(longest: int, least: int):
-    """Frequent phrases of whole buckets; rows come sorted by bucket."""
+    """Frequent phrases of whole buckets; rows come sorted by bucket. What is held of a bucket is
+    summed when it has grown to twice its last size, so that a hot pair of words costs its
+    different phrases and not its rows."""
 
     def run(batches):
-        held, bucket = [], None
+        held, size, limit, bucket = [], 0, HELD, None
         for batch in _ended(batches):
-            rows = [None] if batch is None else [batch.slice(k, 1) for k in range(batch.num_rows)]
-            for row in rows:
-                now = None if row is None else row.column(0)[0].as_py()
+            for k in [None] if batch is None else range(batch.num_rows):
+                now = None if k is None else batch.column(0)[k].as_py()
                 if held and now != bucket:
-                    yield _frequent(held, longest, least)
-                    held = []
+                    yield _phrases(Entries.together(held).summed(least))
+                    held, size, limit = [], 0, HELD
                 bucket = now
-                if row is not None:
-                    held.append(row)
+                if k is None:
+                    continue
+                langs, words, codes = (batch.column(c)[k] for c in (1, 2, 3))
+                held.append(Entries.unpacked(langs.values, words.as_py(), codes.as_py(), longest))
+                size += len(held[-1].n)
+                if size > limit:
+                    held = [Entries.together(held).summed(1)]
+                    size = len(held[0].n)
+                    limit = max(HELD, 2 * size)
 
     return run
 
 
-def _frequent(rows: list, longest: int, least: int) -> pa.RecordBatch:
-    def all_of(name):
-        lists = [r.column(r.schema.get_field_index(name)) for r in rows]
-        return pa.chunked_array([x.flatten() for x in lists]).combine_chunks(), np.array([len(x.flatten()) for x in lists])
-
-    langs, of_langs = all_of("langs")
-    words, of_words = all_of("words")
-    langs, words = langs.dictionary_encode(), words.dictionary_encode()
-    lead, of_lead = all_of("lead")
-    flat, of_flat = all_of("flat")
-    lead, n = lead.to_numpy(), all_of("n")[0].to_numpy()
-    places = lambda sizes, per: np.repeat(np.cumsum(sizes) - sizes, per)
-    length = lead % 8
-    lang = langs.indices.to_numpy()[lead // 8 + places(of_langs, of_lead)]
-    ids = words.indices.to_numpy()[flat.to_numpy() + places(of_words, of_flat)]
-    keys = np.full((len(lead), longest + 1), -1, np.int64)
-    keys[:, 0] = lang * 8 + length  # entries of one length are parts of their own
-    keys[:, 1:][np.arange(longest) < length[:, None]] = ids
-    parts = [np.concatenate(c) for c in zip(*equal_parts(keys, n, least), strict=True)] or [np.zeros(0, np.int64)] * 3
-    row, depth, weight = parts
-    whole = depth == length[row]
-    row, weight = row[whole], weight[whole]
-    spelt = words.dictionary.cast(pa.string()).take(pa.array(keys[row, 1:][np.arange(longest) < length[row][:, None]]))
-    parts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[row])), pa.int32()), spelt)
-    out = [langs.dictionary.take(pa.array(lang[row])), pa.array(length[row], pa.int32()), parts, pa.array(weight, pa.int64())]
+def _phrases(found: Entries) -> pa.RecordBatch:
+    length = found.length
+    spelt = found.words.cast(pa.string()).take(pa.array(found.ids[found.ids >= 0]))
+    parts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), spelt)
+    out = [found.langs.take(pa.array(found.lang)), pa.array(length, pa.int32()), parts, pa.array(found.n, pa.int64())]
     return pa.RecordBatch.from_arrays(out, ["lang", "words", "parts", "f"])
 
 

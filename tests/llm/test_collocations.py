@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from panelwright.llm import collocations as co
 from panelwright.llm.tables import importable
@@ -70,6 +71,39 @@ def test_small_blocks_and_many_buckets(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("longest", [1, 2, 3, 5])
+def test_entries_survive_packing_and_summing(longest):
+    langs, bodies = (pa.array(c, pa.string()) for c in zip(*[(a or "und", b) for a, b in texts(8, 40)], strict=True))
+    whole = co._counted(langs, bodies, longest)
+    parts = [co.Entries.unpacked(a, b, c, longest) for k in (0, 20) for _, a, b, c in co._counted(langs[k : k + 20], bodies[k : k + 20], longest).packed(7)]
+
+    def plain(e):
+        return sorted((e.langs[a].as_py(), tuple(e.words[i].as_py() for i in ids if i >= 0), n) for a, ids, n in zip(e.lang.tolist(), e.ids.tolist(), e.n.tolist(), strict=True))
+
+    assert plain(co.Entries.together(parts).summed(1)) == plain(whole)
+    assert plain(co.Entries.together(parts).summed(5)) == [x for x in plain(whole) if x[2] >= 5]
+    buckets = {}
+    for bucket, a, b, c in whole.packed(7):
+        for lang, words, _ in plain(co.Entries.unpacked(a, b, c, longest)):
+            assert buckets.setdefault((lang, words[:2]), bucket) == bucket
+
+
+def test_a_hot_bucket_is_summed_on_the_way(spark, monkeypatch):
+    importable(spark)
+    rows = texts(6, 60)
+    langs, bodies = (pa.array(c, pa.string()) for c in zip(*[(a or "und", b) for a, b in rows], strict=True))
+    monkeypatch.setattr(co, "HELD", 50)
+    batches = []
+    for k in range(0, 60, 6):
+        for bucket, a, b, c in co._counted(langs[k : k + 6], bodies[k : k + 6], 3).packed(1):
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary())]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, a, b, c), kinds, strict=True)], ["bucket", "langs", "words", "codes"]))
+    (out,) = co._summed(3, 2)(iter(batches))
+    whole = co._phrases(co._counted(langs, bodies, 3).summed(2))
+    key = lambda r: (r["lang"], r["parts"])
+    assert sorted(out.to_pylist(), key=key) == sorted(whole.to_pylist(), key=key)
+
+
 def test_texts_that_touch_stay_apart(spark):
     rows = [("en", "left")] * 12 + [("en", "right")] * 12
     assert found(spark, rows) == []
