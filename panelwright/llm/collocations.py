@@ -16,6 +16,7 @@ about ``BLOCK`` bytes (one longer text is one block).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +30,8 @@ from panelwright.llm.tables import written
 
 LONGEST, LEAST, BEST, CONTAINED = 3, 10, 2000, 50
 BLOCK = 4 << 20  # bytes of text that are sorted at once
-BUCKET = 16 << 20  # bytes of text whose phrases share a routing bucket
-HELD = 4_000_000  # entries of a bucket that are held before they are summed
+BUCKET = 6 << 20  # bytes of text whose phrases share a routing bucket
+HELD = 2_000_000  # entries of a bucket that are held before they are summed
 
 #: The characters that end a piece, and the white space between words.
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -46,7 +47,7 @@ def equal_parts(keys: np.ndarray, weights: np.ndarray | None = None, least: int
     them. Parts that weigh less than ``least`` are abandoned with all that is in them."""
     n, width = keys.shape
     flat = keys.ravel()
-    rows = np.arange(n)
+    rows = np.arange(n, dtype=np.int32 if keys.size < 1 << 31 else np.int64)
     starts, depth = np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)
     while len(rows):
         sizes = np.diff(np.append(starts, len(rows)))
@@ -131,6 +132,24 @@ def _decode(code: bytes) -> np.ndarray:
     return np.frombuffer(code, f"<u{code[0]}", offset=1).astype(np.int64)
 
 
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """Order of the rows by columns of whole numbers from 0, in one number where that has room."""
+    sizes = [int(c.max(initial=0)) + 1 for c in columns]
+    if math.prod(sizes) >= 1 << 62:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.int64)
+    for column, size in zip(columns, sizes, strict=True):
+        key = key * size + column
+    return np.argsort(key)
+
+
+def _lines(text: bytes, some: bool) -> pa.Array:
+    body = np.frombuffer(text + b"\n" if some else b"", np.uint8)
+    ends = np.flatnonzero(body == 10)
+    places = np.append(0, ends - np.arange(len(ends))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(body[body != 10])])
+
+
 @dataclass
 class Entries:
     """Counted phrases: their language and words (-1 beyond the phrase) by number, and counts. A
@@ -160,7 +179,8 @@ class Entries:
         """Rows (bucket, langs, words, codes) of the buckets: longer phrases stand behind their
         first two words, which are written once."""
         bucket, length = self.routed(buckets), self.length
-        order = np.lexsort((length, self.ids[:, 1] if self.ids.shape[1] > 1 else length, self.ids[:, 0], self.lang, bucket))
+        second = self.ids[:, 1] if self.ids.shape[1] > 1 else np.full(len(bucket), -1)
+        order = _order(bucket, self.lang, self.ids[:, 0] + 1, second + 1, length > 2)
         bucket, length, lang, ids, n = (x[order] for x in (bucket, length, self.lang, self.ids, self.n))
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -183,11 +203,10 @@ class Entries:
         length = names[own] % 4
         length[~head] += more
         place = np.arange(longest)
-        ids = np.full((len(n), longest), -1, np.int64)
+        ids = np.full((len(n), longest), -1, np.int32)
         ids[(place < length[:, None]) & (head[:, None] | (place >= 2))] = flat
         ids[:, :2] = ids[np.flatnonzero(head)[own], :2]
-        spelt = pa.array(words.split(b"\n") if len(flat) else [], pa.large_binary())
-        return Entries(langs, spelt, names[own] // 4, ids, n)
+        return Entries(langs, _lines(words, len(flat) > 0), (names // 4).astype(np.int32)[own], ids, n)
 
     @staticmethod
     def together(parts: list[Entries]) -> Entries:
@@ -195,9 +214,10 @@ class Entries:
 
         def joined(arrays, numbers):
             whole = pa.chunked_array(arrays).combine_chunks().dictionary_encode()
-            new = whole.indices.to_numpy().astype(np.int64)
-            starts = np.cumsum([0, *map(len, arrays[:-1])])
-            return whole.dictionary, np.concatenate([np.where(x >= 0, new[np.maximum(x, 0) + s] if len(new) else x, -1) for x, s in zip(numbers, starts, strict=True)])
+            new = np.append(whole.indices.to_numpy(), -1).astype(np.int32)  # the last one is of the number -1
+            starts = np.cumsum([0, *map(len, arrays)])
+            parts = zip(numbers, starts[:-1], starts[1:], strict=True)
+            return whole.dictionary, np.concatenate([np.append(new[a:b], np.int32(-1))[x] for x, a, b in parts])
 
         langs, lang = joined([p.langs for p in parts], [p.lang for p in parts])
         words, ids = joined([p.words for p in parts], [p.ids for p in parts])
@@ -207,7 +227,7 @@ class Entries:
         """Entries of the same phrase as one; those that weigh less than ``least`` are abandoned."""
         length = self.length
         # entries of one length are parts of their own
-        keys = np.column_stack([self.lang * 8 + length, self.ids])
+        keys = np.column_stack([(self.lang * 8 + length).astype(np.int32), self.ids])
         row, depth, n = (np.concatenate(c) for c in zip(*equal_parts(keys, self.n, least), strict=True))
         whole = depth == length[row]
         row = row[whole]
