@@ -44,11 +44,21 @@ _LOWER[65:91] += 32
 def equal_parts(keys: np.ndarray, weights: np.ndarray | None = None, least: int = 1):
     """Multikey quicksort of the rows of ``keys`` (-1: the row has ended): (row, depth, weight)
     of every part of rows that agree in their first ``depth`` + 1 keys, ``row`` being one of
-    them. Parts that weigh less than ``least`` are abandoned with all that is in them."""
+    them. Parts that weigh less than ``least`` are abandoned with all that is in them. The first
+    key (a language) has few values: its parts are dealt by counting."""
     n, width = keys.shape
     flat = keys.ravel()
-    rows = np.arange(n, dtype=np.int32 if keys.size < 1 << 31 else np.int64)
-    starts, depth = np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)
+    lead = keys[:, 0]
+    rows = np.argsort(lead.astype(np.int16) if n and lead.max() < 1 << 15 else lead, kind="stable")
+    starts = np.flatnonzero(np.diff(lead[rows], prepend=-1))
+    weight = np.add.reduceat(weights[rows], starts) if weights is not None and n else np.diff(np.append(starts, n))
+    kept = weight >= least
+    yield rows[starts[kept]], np.zeros(int(kept.sum()), np.int64), weight[kept]
+    if width == 1:
+        return
+    rows = rows[np.repeat(kept, np.diff(np.append(starts, n)))]
+    sizes = np.diff(np.append(starts, n))[kept]
+    starts, depth = np.cumsum(sizes) - sizes, np.ones(len(sizes), np.int64)
     while len(rows):
         sizes = np.diff(np.append(starts, len(rows)))
         key = flat[rows * width + np.repeat(depth, sizes)]
@@ -67,13 +77,19 @@ def equal_parts(keys: np.ndarray, weights: np.ndarray | None = None, least: int
         rows = moved
         sizes, starts, weight = counts.ravel(), first.ravel(), counts.ravel()
         if weights is not None:
-            ends = np.concatenate([[0], np.cumsum(weights[rows])])
-            weight = ends[starts + sizes] - ends[starts]
+            sums = np.concatenate([[0], np.cumsum(weights[rows])])
+            weight = sums[starts + sizes] - sums[starts]
         equal = np.tile([False, True, False], len(depth))
         found = equal & (weight >= least) & np.repeat(pivot >= 0, 3)
         yield rows[starts[found]], np.repeat(depth, 3)[found], weight[found]
         depth = np.repeat(depth, 3) + equal
         kept = (sizes > 0) & (weight >= least) & (~equal | (found & (depth < width)))
+        single = kept & (sizes == 1)  # a row alone is all its further parts
+        alone, at, own = rows[starts[single]], depth[single], weight[single]
+        for k in range(width):
+            here = (at <= k) & (keys[alone, k] >= 0)
+            yield alone[here], np.full(int(here.sum()), k), own[here]
+        kept &= ~single
         rows = rows[np.repeat(kept, sizes)]
         sizes, depth = sizes[kept], depth[kept]
         starts = np.cumsum(sizes) - sizes
@@ -190,7 +206,8 @@ class Entries:
             used = (place < size[:, None]) & (head[:, None] | (place >= 2))
             flat = pa.array(own[used]).dictionary_encode()
             behind = np.diff(np.append(np.flatnonzero(head), len(head))) - 1
-            words = b"\n".join(self.words.take(flat.dictionary).to_pylist())
+            taken = self.words.take(flat.dictionary).cast(pa.binary())
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), b"\n")[0].as_py()
             codes = [names, behind, size[~head] - 2, flat.indices.to_numpy(), n[a:b]]
             yield int(bucket[a]), self.langs, words, [_code(c) for c in codes]
 
