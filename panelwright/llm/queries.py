@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import collocations, exact, language, licenses, mixing, packing, simhash, spans, suffixes, topk, toxicity
+from panelwright.llm import alignment, collocations, exact, language, licenses, mixing, packing, simhash, spans, suffixes, topk, toxicity
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ REGISTERED = (
     op8_suffix_dedup,
     op9_exact_dedup,
     op10_mix_sources,
+    op11_cross_tokenizer,
     op13_collocations,
 )
 
