@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from panelwright.llm.packing import tokenizer
 from panelwright.llm.tables import held, written
 
-BLOCK = 2 << 20  # characters of text whose tokens are aligned at once
-CACHED = 600_000  # pieces of text a worker process remembers
+BLOCK = 1 << 20  # characters of text whose tokens are aligned at once
+CACHED = 250_000  # pieces of text a worker process remembers
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
