@@ -38,7 +38,7 @@ from panelwright.llm.packing import tokenizer
 from panelwright.llm.tables import held, written
 
 BLOCK = 1 << 20  # characters of text whose tokens are aligned at once
-CACHED = 250_000  # pieces of text a worker process remembers
+CACHED = 400_000  # pieces of text a worker process remembers
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
