@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import alignment, collocations, exact, language, licenses, mixing, packing, simhash, spans, suffixes, topk, toxicity
+from panelwright.llm import alignment, collocations, exact, language, licenses, mixing, neighbours, packing, simhash, spans, suffixes, topk, toxicity
 from panelwright.llm.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op11_cross_tokenizer(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_embedding_near(spark, sf_dir):
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ REGISTERED = (
     op9_exact_dedup,
     op10_mix_sources,
     op11_cross_tokenizer,
+    op12_embedding_near,
     op13_collocations,
 )
 
