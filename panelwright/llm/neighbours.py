@@ -218,7 +218,6 @@ def _lists(edges: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 def descend(edges: DataFrame, reps: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
     """Refines the lists (id, nbr, sim, room) through neighbours of neighbours until few change
     and none is saturated."""
-    still = 0
     for k in range(rounds):
         lists = written(_lists(edges, reps, similarity), "lists")
         two_way = edges.select("id", "nbr", "fresh").unionByName(edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh"))
@@ -234,9 +233,8 @@ def descend(edges: DataFrame, reps: DataFrame, similarity: float, rounds: int =
         rooms = reps.select("id").join(lists.select("id", "room"), "id", "left").withColumn("room", F.coalesce("room", F.lit(NEAREST)))
         old = edges.select("id", "nbr", "sim", F.lit(0).alias("fresh"))
         edges = written(_shortened(old.unionByName(better.withColumn("fresh", F.lit(1))), rooms), "graph")
-        total, fresh, wide = edges.agg(F.count(F.lit(1)), F.sum("fresh")).crossJoin(lists.agg(F.count_if("wide"))).first()
-        still = (fresh or 0) <= STILL * (total or 1) and not wide
-        if still:
+        total, fresh = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum("fresh"), F.lit(0))).first()
+        if fresh <= STILL * total and lists.filter("wide").isEmpty():
             break
     return edges
 
