@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.catalog import bars, features, forecasts, metrics, sources  # noqa: F401
+from panelwright.catalog import bars, features, forecasts, grouped, metrics, sources  # noqa: F401
 from panelwright.catalog.registry import ORACLE, QUERIES
 
 

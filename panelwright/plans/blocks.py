@@ -217,21 +217,18 @@ def _placed_cells(cells: CellTable, spec: PanelSpec, before: int, after: int) ->
     return counted.select(*counted.columns, home.alias("_home"), F.sequence(first, last).alias("_to")).drop("_widest")
 
 
-def over_blocks(
+def spread_blocks(
     df: DataFrame,
     spec: PanelSpec,
-    *features: Feature,
+    before: int = 0,
+    after: int = 0,
+    features: Sequence[Feature] = (),
     cells: CellTable | None = None,
-    keep_position: bool = False,
     tail: int | None = None,
 ) -> DataFrame:
-    """Run all ``features`` in one block pass and return the panel with their columns.
-
-    ``keep_position`` keeps ``_pos`` (1-based) and ``_group_rows``. ``tail`` asks for the last
-    rows of every group only: older cells are dropped before the shuffle (rows just before
-    the tail may remain, filter on the position)."""
-    before = max((f.before for f in features), default=0)
-    after = max((f.after for f in features), default=0)
+    """The panel's rows in their blocks, each block with up to ``before`` and ``after`` rows of its
+    neighbours: ``_own`` tells the block's own rows, ``_pos`` the position in the group and
+    ``_group_rows`` its size. Rows are partitioned by group and block and come in order."""
     cells = cells or (fit_cells if spec.count_first else count_cells)(df, spec, features)
     placed = _placed_cells(cells, spec, before, after)
     if tail is not None:
@@ -250,7 +247,26 @@ def over_blocks(
 
     frame = BlockFrame(spec)
     position = F.first(_START).over(frame.running()) + F.row_number().over(frame.ordered)
-    out = spread.withColumns({_OWN: F.col(_BLOCK) == F.col("_home"), _POS: position.cast("long")})
+    return spread.withColumns({_OWN: F.col(_BLOCK) == F.col("_home"), _POS: position.cast("long")})
+
+
+def over_blocks(
+    df: DataFrame,
+    spec: PanelSpec,
+    *features: Feature,
+    cells: CellTable | None = None,
+    keep_position: bool = False,
+    tail: int | None = None,
+) -> DataFrame:
+    """Run all ``features`` in one block pass and return the panel with their columns.
+
+    ``keep_position`` keeps ``_pos`` (1-based) and ``_group_rows``. ``tail`` asks for the last
+    rows of every group only: older cells are dropped before the shuffle (rows just before
+    the tail may remain, filter on the position)."""
+    before = max((f.before for f in features), default=0)
+    after = max((f.after for f in features), default=0)
+    frame = BlockFrame(spec)
+    out = spread_blocks(df, spec, before, after, features, cells, tail)
     for f in features:
         out = f.build(out, frame)
     inner = {_BLOCK, _OWN, _START, "_home", *([] if keep_position else [_POS, _SIZE])}

@@ -26,6 +26,19 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "panelwright
     )
 
 
+#: Folder that holds this library.
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets the Python workers import this library where it stands at the same path as here; on
+    other clusters it comes with ``--py-files``."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if HOME not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in [HOME, *paths] if p)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``,
     else the context's checkpoint directory. Only a local master with neither gets a folder of
