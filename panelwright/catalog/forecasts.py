@@ -15,6 +15,7 @@ from panelwright.operators import split
 from panelwright.operators.experiments import read_experiments, run_experiment
 from panelwright.operators.forecast import ForecastConfig, PanelForecaster, PanelForecastModel, score_in_pandas
 from panelwright.operators.evaluate import METRICS
+from panelwright.plans.blocks import Feature, over_blocks
 from panelwright.session import new_table_path
 
 
@@ -101,6 +102,85 @@ def i5(spark, sf):
     return spark.createDataFrame(rows, "target string, previous double, current double, intercept double")
 
 
+_MANY = [(t, h) for t in ("close", "high") for h in (1, 2, 3)]
+
+
+def _many_sql() -> str:
+    """Least squares with a mark per category equals least squares within the categories."""
+    leads = ", ".join(f"lead({t}, {h}) OVER w AS {t}{h}" for t, h in _MANY)
+    means = ", ".join(f"avg({c}) OVER (PARTITION BY event_type) AS m_{c}" for c in ["close", "volume", *[f"{t}{h}" for t, h in _MANY]])
+    sums = ", ".join(f"sum(x1 * ({t}{h} - m_{t}{h})) AS c1_{t}{h}, sum(x2 * ({t}{h} - m_{t}{h})) AS c2_{t}{h}" for t, h in _MANY)
+    rows = " UNION ALL ".join(
+        f"""SELECT event_type, ts, '{t}' AS target, CAST({h} AS INTEGER) AS horizon, m_{t}{h}
+ + x1 * (c1_{t}{h} * v22 - c2_{t}{h} * v12) / (v11 * v22 - v12 * v12) + x2 * (c2_{t}{h} * v11 - c1_{t}{h} * v12) / (v11 * v22 - v12 * v12) AS prediction
+ FROM d, s"""
+        for t, h in _MANY
+    )
+    return f"""WITH {BARS_SQL}, f AS (SELECT * FROM (SELECT event_type, ts, close, volume, {leads} FROM bars
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts)) WHERE close3 IS NOT NULL AND high3 IS NOT NULL),
+ m AS (SELECT *, {means} FROM f), d AS (SELECT *, close - m_close AS x1, volume - m_volume AS x2 FROM m),
+ s AS (SELECT sum(x1 * x1) AS v11, sum(x2 * x2) AS v22, sum(x1 * x2) AS v12, {sums} FROM d)
+SELECT event_type, ts, target, horizon, {R("prediction", 4)} AS prediction FROM ({rows})"""
+
+
+@query("i5_fit_many_targets", _many_sql())
+def i5_many(spark, sf):
+    """Two targets at three horizons from two features and a mark per event type, fitted in one
+    pass over the rows."""
+    b = bars(spark, sf).select("event_type", "ts", "close", "high", "volume")
+    c = ForecastConfig(
+        spec=BAR, targets=("close", "high"), horizon=3, sequence_length=1, features=("close", "volume"), scale_per_group=False
+    )
+    return _round4(PanelForecaster(c).fit(b).predict(b))
+
+
+_ROUNDS, _PATIENCE, _GAIN = 60, 5, 1e-4
+
+
+def _rounds_sql() -> str:
+    """Gradient steps as a recursive query: each round's weights, loss, and the best so far."""
+    n1, n2 = "b1 + (c1 - v11 * b1 - v12 * b2) / (v11 + v22)", "b2 + (c2 - v12 * b1 - v22 * b2) / (v11 + v22)"
+    return f"""WITH RECURSIVE {STORE_DAILY_SQL}, trend AS (
+  SELECT Store, Date, Sales, avg(Sales) OVER (PARTITION BY Store ORDER BY Date ROWS 6 PRECEDING) AS Trend FROM store_daily),
+ n AS (SELECT Store, Date, Sales, Trend, row_number() OVER (PARTITION BY Store ORDER BY Date DESC) AS back, count(*) OVER (PARTITION BY Store) AS n FROM trend),
+ tr AS (SELECT * FROM (SELECT *, lead(Trend) OVER (PARTITION BY Store ORDER BY Date) AS h1 FROM n WHERE n >= 44 AND back > 30) WHERE h1 IS NOT NULL),
+ va AS (SELECT * FROM (SELECT *, lead(Trend) OVER (PARTITION BY Store ORDER BY Date) AS h1 FROM n WHERE n >= 44 AND back <= 31) WHERE h1 IS NOT NULL),
+ par AS (SELECT Store, avg(Sales) AS m1, stddev_pop(Sales) AS s1, avg(Trend) AS m2, stddev_pop(Trend) AS s2,
+   avg(h1) AS my, stddev_pop(h1) AS sy FROM tr GROUP BY 1),
+ zt AS (SELECT (Sales - m1) / s1 AS x1, (Trend - m2) / s2 AS x2, (h1 - my) / sy AS y FROM tr JOIN par USING (Store)),
+ zv AS (SELECT (Sales - m1) / s1 AS x1, (Trend - m2) / s2 AS x2, (h1 - my) / sy AS y FROM va JOIN par USING (Store)),
+ mom AS (SELECT var_pop(x1) AS v11, var_pop(x2) AS v22, covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2,
+   avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay FROM zt),
+ held AS (SELECT * FROM zv, (SELECT a1, a2, ay FROM mom)),
+ hm AS (SELECT avg((y - ay) ** 2) AS vyy, avg((y - ay) * (x1 - a1)) AS cy1, avg((y - ay) * (x2 - a2)) AS cy2, avg((x1 - a1) ** 2) AS w11,
+   avg((x1 - a1) * (x2 - a2)) AS w12, avg((x2 - a2) ** 2) AS w22 FROM held),
+ step AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2, loss, loss AS best, 0 AS kept FROM (SELECT vyy AS loss FROM hm)
+  UNION ALL
+  SELECT k, b1, b2, loss, CASE WHEN loss < best - {_GAIN} THEN loss ELSE best END, CASE WHEN loss < best - {_GAIN} THEN k ELSE kept END FROM (
+   SELECT k + 1 AS k, {n1} AS b1, {n2} AS b2, best, kept,
+    vyy - 2 * (b1n * cy1 + b2n * cy2) + b1n * b1n * w11 + 2 * b1n * b2n * w12 + b2n * b2n * w22 AS loss
+   FROM (SELECT step.*, mom.*, hm.*, {n1} AS b1n, {n2} AS b2n FROM step, mom, hm WHERE k < {_ROUNDS} AND k - kept < {_PATIENCE})))
+SELECT CAST(max(k) AS INTEGER) AS rounds, CAST(max(kept) AS INTEGER) AS best_round, {R("min(best)")} AS val_loss,
+ {R("max(b1) FILTER (WHERE k = (SELECT max(kept) FROM step))")} AS weight_sales, {R("max(b2) FILTER (WHERE k = (SELECT max(kept) FROM step))")} AS weight_trend FROM step"""
+
+
+@query("i5_fit_with_validation", _rounds_sql())
+def i5_validation(spark, sf):
+    """Rounds that end when the loss on held-out rows does; the best round is kept."""
+    trend = Feature(lambda d, w: d.withColumn("Trend", F.avg("Sales").over(w.trailing(7))), before=6)
+    labelled = split.split_time_series(over_blocks(_sales(spark, sf), STORE, trend), STORE, test_size=0, val_size=30, sequence_length=2)
+    train, val = (labelled.filter(F.col("split") == s).drop("split", "is_context") for s in ("train", "val"))
+    c = ForecastConfig(
+        spec=STORE, targets=("Trend",), sequence_length=1, features=("Sales", "Trend"), encode_groups=False, rounds=_ROUNDS, patience=_PATIENCE,
+        least_gain=_GAIN,
+    )
+    model = PanelForecaster(c).fit(train, val)
+    (course,), (own,) = model.history.values(), model.regressors.values()
+    row = (len(course.losses) - 1, course.kept, round(course.losses[course.kept], 6), *[float(round(w, 6)) for w in own.coefficients])
+    return spark.createDataFrame([row], "rounds int, best_round int, val_loss double, weight_sales double, weight_trend double")
+
+
 @query("i6_predict", _predictions_sql(_ALL))
 def i6(spark, sf):
     b = _bars(spark, sf)

@@ -1,7 +1,9 @@
 """Fitting direct multi-horizon forecasters on lookback windows and scoring with them.
 
-One MLlib regressor per target and horizon; all preparation is lazy, only the fitted
-parameters (label codes, scales, coefficients) are materialised.
+The linear forecaster is fitted for all targets and horizons in one pass over the blocks of the
+panel and scores block by block (see ``least_squares``); others are one MLlib regressor per
+target and horizon. All preparation is lazy, only the fitted parameters (label codes, scales,
+coefficients) are materialised.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import json
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import date_features, future_timestamps
 from panelwright.operators import evaluate as ev
+from panelwright.operators import least_squares as ls
 from panelwright.operators.clean import numeric_features, with_fitted_features
 from panelwright.operators.encode import LabelMap, fit_labels
 from panelwright.operators.rolling import technical_features
@@ -41,6 +45,9 @@ from panelwright.plans.blocks import over_blocks
 from panelwright.plans.lookup import bytes_of
 from panelwright.spec import OHLCV, PanelSpec, require_columns
 
+#: More inputs than this (their products are a square table) are left to MLlib's iterative solver.
+ONE_PASS_INPUTS = 4096
+
 # name -> (features column, label column, prediction column) -> estimator
 _REGRESSORS: dict[str, Callable] = {}
 _LOADERS = {}
@@ -95,6 +102,9 @@ class ForecastConfig:
     date_cycles: bool | None = None  # True: with time of day, False: dates only, None: none
     regressor: str = "linear"
     features: tuple[str, ...] | None = None
+    rounds: int = 200  # of a fit with held-out rows, at most
+    patience: int = 10  # rounds without a gain on the held-out rows that end such a fit
+    least_gain: float = 1e-6  # of the loss (mean square of scaled errors), to count as one
     hooks: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=(), compare=False)
 
     @property
@@ -134,18 +144,26 @@ def _vector(config: ForecastConfig, codes: list[str]):
 class PanelForecaster:
     config: ForecastConfig
 
-    def fit(self, df: DataFrame) -> "PanelForecastModel":
-        require_columns(df, *self.config.spec.keys)
-        panel = shift_targets(
-            base_features(df, self.config), self.config.spec, list(self.config.targets), self.config.horizon
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+    def _panel(self, df: DataFrame) -> DataFrame:
+        c = self.config
+        require_columns(df, *c.spec.keys)
+        return shift_targets(base_features(df, c), c.spec, list(c.targets), c.horizon)
+
+    def fit(self, df: DataFrame, val_df: DataFrame | None = None) -> "PanelForecastModel":
+        """Fit on ``df``. With held-out rows ``val_df`` the fit goes by rounds (gradient steps of
+        the linear forecaster, trees of ``gbt``), at most ``config.rounds`` of them: it ends when
+        ``config.patience`` rounds have not lowered the loss on the held-out rows, and the best
+        round is kept (``model.history``)."""
+        frames = [self._panel(d).persist(StorageLevel.MEMORY_AND_DISK) for d in (df, val_df) if d is not None]
         try:
-            return self.fit_prepared(panel)
+            return self.fit_prepared(*frames)
         finally:
-            panel.unpersist()
+            for frame in frames:
+                frame.unpersist()
 
-    def fit_prepared(self, panel: DataFrame) -> "PanelForecastModel":
-        """Fit on a panel that already has its features and shifted targets."""
+    def fit_prepared(self, panel: DataFrame, val_panel: DataFrame | None = None) -> "PanelForecastModel":
+        """Fit on a panel that already has its features and shifted targets. Codes and scales are
+        learnt on the training rows alone."""
         c = self.config
         names = target_names(list(c.targets), c.horizon)
         require_columns(panel, *names)
@@ -156,14 +174,71 @@ class PanelForecaster:
             raise ValueError("no numeric feature is left to learn from")
         scaler = fit_scaler(panel, c.scaler, [*features, *names], groups).materialize()
         model = PanelForecastModel(c, tuple(features), labels, scaler, {})
-        train = model.prepare(panel, with_targets=True).select("features", *[f"{n}_scaled" for n in names])
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        if c.regressor == "linear":
+            design = model.design()
+            if design.width <= ONE_PASS_INPUTS:
+                return self._fit_linear(model, design, panel, val_panel)
+            if val_panel is not None:
+                raise ValueError(f"{design.width} inputs are too many for rounds on held-out rows ({ONE_PASS_INPUTS})")
+        return self._fit_by_target(model, panel, val_panel)
+
+    def _fit_linear(self, model, design: ls.Design, panel: DataFrame, val_panel: DataFrame | None) -> "PanelForecastModel":
+        """All targets and horizons from one pass over the rows."""
+        c, names = self.config, model.targets
+        scaled = [f"{n}_scaled" for n in names]
+        sums = ls.moments(model._encoded_scaled(panel, True)[0], c.spec, design, scaled)
+        if val_panel is None:
+            return replace(model, regressors=ls.by_target(design, sums.solved(), names))
+        held_out = ls.moments(model._encoded_scaled(val_panel, True, unseen="null")[0], c.spec, design, scaled)
+        weights, course = ls.descend(sums, held_out, c.rounds, c.patience, c.least_gain)
+        return replace(model, regressors=ls.by_target(design, weights, names), history={n: course for n in names})
+
+    def _fit_by_target(self, model, panel: DataFrame, val_panel: DataFrame | None) -> "PanelForecastModel":
+        c, names = self.config, model.targets
+
+        def windows(d):
+            return model.prepare(d, with_targets=True).select("features", *[f"{n}_scaled" for n in names]).persist(StorageLevel.MEMORY_AND_DISK)
+
+        train = windows(panel)
+        val = windows(val_panel) if val_panel is not None else None
+        fitted, history = {}, {}
         try:
-            build = _REGRESSORS[c.regressor]
-            fitted = {n: build("features", f"{n}_scaled", f"{n}_raw").fit(train) for n in names}
+            for n in names:
+                estimator = _REGRESSORS[c.regressor]("features", f"{n}_scaled", f"{n}_raw")
+                if val is None:
+                    fitted[n] = estimator.fit(train)
+                else:
+                    fitted[n], history[n] = _by_rounds(estimator, train, val, c)
         finally:
             train.unpersist()
-        return replace(model, regressors=fitted)
+            if val is not None:
+                val.unpersist()
+        return replace(model, regressors=fitted, history=history)
+
+
+def _by_rounds(estimator, train: DataFrame, val: DataFrame, config: ForecastConfig):
+    """A boosted regressor with as many rounds as serve the held-out rows, and its losses there. Trees
+    are grown ``patience`` or more at a time; those of a round do not depend on later ones."""
+    if not hasattr(estimator, "setMaxIter") or not estimator.hasParam("lossType"):
+        raise ValueError("only the linear and boosted regressors are fitted by rounds")
+    rounds, patience = config.rounds, config.patience
+    grown = min(rounds, max(2 * patience, 8))
+    while True:
+        model = estimator.copy({estimator.maxIter: grown}).fit(train)
+        losses = model.evaluateEachIteration(val, "squared")
+        best, kept = float("inf"), 0
+        for k, loss in enumerate(losses):
+            if loss < best - config.least_gain:
+                best, kept = loss, k
+            elif k - kept >= patience:
+                losses = losses[: k + 1]
+                break
+        if len(losses) < grown or grown >= rounds:
+            break
+        grown = min(rounds, 2 * grown)
+    if kept + 1 < grown:
+        model = estimator.copy({estimator.maxIter: kept + 1}).fit(train)
+    return model, ls.Rounds(tuple(losses), kept + 1)
 
 
 @dataclass(frozen=True)
@@ -173,16 +248,36 @@ class PanelForecastModel:
     labels: LabelMap | None
     scaler: ScalerModel
     regressors: dict
+    history: dict = field(default_factory=dict)  # of each target, if it was fitted by rounds
 
     @property
     def targets(self) -> list[str]:
         return target_names(list(self.config.targets), self.config.horizon)
 
-    def _encoded_scaled(self, df: DataFrame, with_targets: bool = False) -> tuple[DataFrame, list[str], list[str]]:
+    def design(self) -> ls.Design:
+        """Inputs of the linear forecaster; each category is a mark of its own."""
+        codes, sizes = (), ()
+        if self.labels is not None:
+            counts = {r["column"]: r["categories"] for r in self.labels.cardinalities().collect()}  # a row per column
+            codes = tuple(f"{c}_code" for c in self.labels.columns)
+            sizes = tuple(counts.get(c, 0) for c in self.labels.columns)
+        return ls.Design(tuple(f"{f}_scaled" for f in self.features), self.config.sequence_length, codes, sizes)
+
+    def _linear(self) -> tuple[ls.Design, np.ndarray] | None:
+        """Design and weights of all targets, if the forecaster is the one-pass linear one."""
+        models = [self.regressors.get(n) for n in self.targets]
+        if not models or not all(isinstance(m, ls.LinearWeights) for m in models):
+            return None
+        codes = tuple(f"{c}_code" for c in self.labels.columns) if self.labels is not None else ()
+        sizes = tuple(map(len, models[0].categories))
+        design = ls.Design(tuple(f"{f}_scaled" for f in self.features), self.config.sequence_length, codes, sizes)
+        return design, np.stack([np.concatenate([m.coefficients, *m.categories, [m.intercept]]) for m in models], axis=1)
+
+    def _encoded_scaled(self, df: DataFrame, with_targets: bool = False, unseen: str = "error") -> tuple[DataFrame, list[str], list[str]]:
         df = with_fitted_features(df, list(self.features))
         codes = []
         if self.labels is not None:
-            df = self.labels.encode(df, suffix="_code")
+            df = self.labels.encode(df, suffix="_code", unseen=unseen)
             codes = [f"{c}_code" for c in self.labels.columns]
         columns = [*self.features, *(self.targets if with_targets else [])]
         df = self.scaler.transform(df, columns, suffix="_scaled")
@@ -213,8 +308,12 @@ class PanelForecastModel:
         scored = prepared.select(*c.spec.keys, "features", *came)
         for n in self.targets:
             scored = self.regressors[n].transform(scored)
-        raw = {f"{n}_raw": n for n in self.targets}
-        back = self.scaler.inverse(scored.drop("features"), raw)
+        return self._unscaled(scored.drop("features"), actual)
+
+    def _unscaled(self, scored: DataFrame, actual: bool) -> DataFrame:
+        """Long form of scored rows, on the original scale."""
+        c = self.config
+        back = self.scaler.inverse(scored, {f"{n}_raw": n for n in self.targets})
 
         def row(t: str, h: int):
             name = target_name(t, h)
@@ -225,7 +324,19 @@ class PanelForecastModel:
         return out.filter(F.col("actual").isNotNull()) if actual else out
 
     def predict(self, df: DataFrame, inference: bool = False) -> DataFrame:
-        return self.predict_prepared(self.prepare_data(df, inference))
+        return self._scored(df, inference, False)
+
+    def _scored(self, df: DataFrame, inference: bool, actual: bool) -> DataFrame:
+        """From raw rows to predictions; the linear forecaster builds no windows."""
+        c, linear = self.config, self._linear()
+        if linear is None:
+            return self.predict_prepared(self.prepare_data(df, inference), actual)
+        panel = base_features(df, c)
+        if not inference:
+            panel = shift_targets(panel, c.spec, list(c.targets), c.horizon)
+        rows = self._encoded_scaled(panel)[0]
+        raw = [f"{n}_raw" for n in self.targets]
+        return self._unscaled(ls.scores(rows, c.spec, *linear, raw, self.targets if actual else []), actual)
 
     def actuals(self, df: DataFrame) -> DataFrame:
         c = self.config
@@ -247,7 +358,7 @@ class PanelForecastModel:
 
     def predicted_and_actual(self, df: DataFrame) -> DataFrame:
         """Predictions beside what came, from one preparation of the rows."""
-        return self.predict_prepared(self.prepare_data(df), actual=True)
+        return self._scored(df, False, True)
 
     def predict_next(self, df: DataFrame, n: int | None = None, kind: str = "bar", seconds: int | None = None) -> DataFrame:
         """Next ``n`` (at most the horizon) values of every target for every group from its
@@ -270,11 +381,16 @@ class PanelForecastModel:
         c = self.config
         spark = self.scaler.params.sparkSession
         settings = {k: v for k, v in asdict(replace(c, hooks=())).items() if k not in ("hooks", "spec")}
-        doc = {"config": settings, "spec": asdict(c.spec), "features": list(self.features)}
+        doc = {"config": settings, "spec": asdict(c.spec), "features": list(self.features), "one_pass": self._linear() is not None}
         spark.createDataFrame([(json.dumps(doc),)], "value string").write.mode("overwrite").text(f"{path}/settings")
         self.scaler.params.write.mode("overwrite").parquet(f"{path}/scaler")
         if self.labels is not None:
             self.labels.table.write.mode("overwrite").parquet(f"{path}/labels")
+        linear = self._linear()
+        if linear is not None:
+            rows = [(n, m.coefficients.tolist(), [w.tolist() for w in m.categories], m.intercept) for n, m in self.regressors.items()]
+            spark.createDataFrame(rows, _WEIGHTS).write.mode("overwrite").parquet(f"{path}/weights")
+            return
         for name, model in self.regressors.items():
             model.write().overwrite().save(f"{path}/regressors/{name}")
 
@@ -296,16 +412,28 @@ class PanelForecastModel:
         if c.encoded:
             t, _ = table("labels")
             labels = LabelMap(tuple(c.encoded), t).sized()
-        loader = _LOADERS[c.regressor]
+        if doc["one_pass"]:
+            regressors = {
+                r["target"]: ls.LinearWeights(
+                    np.array(r["coefficients"]), tuple(map(np.array, r["categories"])), r["intercept"], "features", f"{r['target']}_raw"
+                )
+                for r in spark.read.parquet(f"{path}/weights").collect()  # a row per target and horizon
+            }
+        else:
+            loader = _LOADERS[c.regressor]
+            regressors = {n: loader.load(f"{path}/regressors/{n}") for n in names}
         return PanelForecastModel(
             c,
             tuple(doc["features"]),
             labels,
             ScalerModel(c.scaler, (*doc["features"], *names), groups, params, size),
-            {n: loader.load(f"{path}/regressors/{n}") for n in names},
+            regressors,
         )
 
 
+_WEIGHTS = "target string, coefficients array<double>, categories array<array<double>>, intercept double"
+
+
 def return_forecast_features(df: DataFrame, spec: PanelSpec, horizons=(1, 2, 3, 4, 5)) -> DataFrame:
     """Indicators and forward returns in one pass, reduced to the inputs of a return model;
     rows in the warm-up or without a complete future are dropped."""

@@ -152,3 +152,101 @@ def test_linear_regressor_takes_more_inputs_than_the_normal_equation(spark):
     train = spark.range(12).select(array_to_vector(values).alias("features"), F.col("id").cast("double").alias("y"))
     model = fc._REGRESSORS["linear"]("features", "y", "p").fit(train)
     assert model.numFeatures == 4320 and model.transform(train).count() == 12
+
+
+@pytest.fixture(scope="module")
+def shops(spark):
+    """Three shops whose level depends on the shop in no order of their names."""
+    rng = np.random.default_rng(4)
+    level = {"a": 5.0, "b": -20.0, "c": 11.0}
+    data = []
+    for s, base in level.items():
+        x = rng.normal(0, 1, 80)
+        for i in range(80):
+            data.append((s, D0 + dt.timedelta(days=i), float(base + 0.2 * x[i] - 2 * x[i - 1] + 0.1 * rng.normal()), float(x[i]), float(rng.normal())))
+    return spark.createDataFrame(data, "symbol string, date timestamp_ntz, y double, x double, z double").cache()
+
+
+def test_categories_are_marks_and_not_slopes(shops):
+    c = config(targets=("y",), horizon=1, sequence_length=2, features=("x", "z"), scale_per_group=False)
+    m = fc.PanelForecaster(c).fit(shops)
+    pdf = shops.toPandas().sort_values(["symbol", "date"])
+    xs, ys = [], []
+    for s, part in pdf.groupby("symbol"):
+        part = part.reset_index(drop=True)
+        for i in range(1, 79):
+            xs.append([part.x[i - 1], part.z[i - 1], part.x[i], part.z[i], s == "a", s == "b", s == "c"])
+            ys.append(part.y[i + 1])
+    x = np.array(xs, float)
+    want = x @ np.linalg.lstsq(x, np.array(ys), rcond=None)[0]
+    got = [r.prediction for r in m.predict(shops).orderBy("symbol", "date").collect()]
+    assert got == pytest.approx(want.tolist(), abs=1e-8)
+    prepared = m.predict_prepared(m.prepare_data(shops)).orderBy("symbol", "date").collect()
+    assert [r.prediction for r in prepared] == pytest.approx(got, abs=1e-8)
+
+
+def test_one_pass_serves_all_targets_and_horizons(shops, monkeypatch):
+    plans = []
+    real = fc.ls.moments
+
+    def watched(df, spec, design, targets):
+        plans.append(targets)
+        return real(df, spec, design, targets)
+
+    monkeypatch.setattr(fc.ls, "moments", watched)
+    c = config(targets=("y", "z"), horizon=3, sequence_length=4, features=("x", "z"))
+    m = fc.PanelForecaster(c).fit(shops)
+    assert len(plans) == 1 and len(plans[0]) == 6 and len(m.regressors) == 6
+    text = m.predict(shops)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "collect_list" not in text
+
+
+def test_blocks_do_not_show(spark, shops):
+    found = []
+    for rows_of_block in (1, 7, 10_000):
+        spec = PanelSpec("date", ("symbol",), cell_steps=2, step=86400, block_rows=rows_of_block)
+        c = config(spec=spec, targets=("y",), sequence_length=5, features=("x", "z"))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3" if rows_of_block == 7 else "10000")
+        try:
+            m = fc.PanelForecaster(c).fit(shops)
+            found.append([r.prediction for r in m.predict(shops, inference=True).orderBy("symbol", "date", "horizon").collect()])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found[0]) == 3 * 76 * 2
+    assert found[1] == pytest.approx(found[0], abs=1e-9) and found[2] == pytest.approx(found[0], abs=1e-9)
+
+
+def test_held_out_rows_end_the_rounds(shops):
+    c = config(targets=("y",), horizon=1, sequence_length=2, features=("x", "z"), encode_groups=False, rounds=400, patience=6)
+    train, val = shops.filter(F.col("date") < D0 + dt.timedelta(days=60)), shops.filter(F.col("date") >= D0 + dt.timedelta(days=58))
+    m = fc.PanelForecaster(c).fit(train, val)
+    course = m.history["y_target_h1"]
+    assert min(course.losses) >= course.losses[course.kept] - c.least_gain
+    assert len(course.losses) - 1 in (course.kept + c.patience, c.rounds)
+    # the loss that was kept is the mean square of the scaled errors on the held-out rows
+    scaled = m.prepare(fc.shift_targets(val, SPEC, ["y"], 1), True)
+    own = m.regressors["y_target_h1"].transform(scaled).agg(F.avg(F.pow(F.col("y_target_h1_raw") - F.col("y_target_h1_scaled"), F.lit(2.0)))).first()[0]
+    assert own == pytest.approx(course.losses[course.kept], rel=1e-9)
+
+
+def test_boosted_rounds_stop_on_held_out_rows(shops):
+    fc.register_regressor("stumps", lambda f, y, p: fc.GBTRegressor(featuresCol=f, labelCol=y, predictionCol=p, maxDepth=1, stepSize=0.5, seed=7), fc.GBTRegressionModel)
+    try:
+        c = config(targets=("y",), horizon=1, sequence_length=1, features=("x", "z"), encode_groups=False, regressor="stumps", rounds=12, patience=2)
+        train, val = shops.filter(F.col("date") < D0 + dt.timedelta(days=50)), shops.filter(F.col("date") >= D0 + dt.timedelta(days=50))
+        m = fc.PanelForecaster(c).fit(train, val)
+    finally:
+        fc.unregister_regressor("stumps")
+    course = m.history["y_target_h1"]
+    assert m.regressors["y_target_h1"].getNumTrees == course.kept <= 12
+    assert course.losses[course.kept - 1] <= min(course.losses) + c.least_gain
+
+
+def test_rounds_need_a_regressor_that_has_them(shops):
+    with pytest.raises(ValueError, match="by rounds"):
+        fc.PanelForecaster(config(targets=("y",), features=("x",), regressor="random_forest")).fit(shops, shops)
+
+
+def test_no_window_to_learn_from(shops):
+    with pytest.raises(ValueError, match="no complete window"):
+        fc.PanelForecaster(config(targets=("y",), features=("x",), sequence_length=500)).fit(shops)
