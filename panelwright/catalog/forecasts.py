@@ -285,6 +285,23 @@ def i11(spark, sf):
     return _round4(_fit_bars(spark, sf).predict_next(b, 2, "bar", 3600))
 
 
+@query("i11_predict_beyond_horizon", f"""WITH RECURSIVE {_SHIFT2}, {_ALL}, last AS (SELECT event_type, max(ts) AS ts FROM panel GROUP BY 1),
+ roll AS (
+  SELECT event_type, ts, 0 AS k, x1, x2 FROM sw JOIN last USING (event_type, ts)
+  UNION ALL
+  SELECT event_type, ts, k + 1, (p1 - mx) / sx, (p2 - mx) / sx FROM (
+   SELECT r.*, par.mx, par.sx, (a1 - b1_1 * e1 - b2_1 * e2 + b1_1 * x1 + b2_1 * x2) * s1 + m1 AS p1,
+    (a2 - b1_2 * e1 - b2_2 * e2 + b1_2 * x1 + b2_2 * x2) * s2 + m2 AS p2
+   FROM roll r JOIN par USING (event_type), coef WHERE k < 3)),
+ steps AS (SELECT event_type, ts, 2 * k - 1 AS step, x1 * sx + mx AS prediction FROM roll JOIN par USING (event_type) WHERE k > 0
+  UNION ALL SELECT event_type, ts, 2 * k, x2 * sx + mx FROM roll JOIN par USING (event_type) WHERE k > 0)
+SELECT event_type, ts, CAST(step AS INTEGER) AS step, ts + to_hours(step) AS future_ts, 'close' AS target, {R("prediction", 4)} AS prediction FROM steps""")
+def i11_beyond(spark, sf):
+    """Three times the horizon: the model goes on from what it predicted."""
+    b = _bars(spark, sf)
+    return _round4(_fit_bars(spark, sf).predict_next(b, 6, "bar", 3600, roll=True))
+
+
 @query("b15_require_inference_inputs", f"""WITH {BARS_SQL}, f AS (
   SELECT * FROM (SELECT volume, lead(close) OVER (PARTITION BY event_type ORDER BY ts) AS y FROM bars) WHERE y IS NOT NULL)
 SELECT event_type, ts, 'close' AS target, CAST(1 AS INTEGER) AS horizon,

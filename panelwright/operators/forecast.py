@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark import StorageLevel
@@ -32,7 +34,7 @@ from panelwright.operators import least_squares as ls
 from panelwright.operators.clean import numeric_features, with_fitted_features
 from panelwright.operators.encode import LabelMap, fit_labels
 from panelwright.operators.rolling import technical_features
-from panelwright.operators.scale import ScalerModel, fit_scaler
+from panelwright.operators.scale import ScalerModel, center, fit_scaler, scale_of
 from panelwright.operators.sequence import latest_window, sequence_windows
 from panelwright.operators.targets import (
     forward_returns,
@@ -43,6 +45,7 @@ from panelwright.operators.targets import (
 )
 from panelwright.plans.blocks import over_blocks
 from panelwright.plans.lookup import bytes_of
+from panelwright.session import cut_lineage
 from panelwright.spec import OHLCV, PanelSpec, require_columns
 
 #: More inputs than this (their products are a square table) are left to MLlib's iterative solver.
@@ -360,21 +363,103 @@ class PanelForecastModel:
         """Predictions beside what came, from one preparation of the rows."""
         return self._scored(df, False, True)
 
-    def predict_next(self, df: DataFrame, n: int | None = None, kind: str = "bar", seconds: int | None = None) -> DataFrame:
-        """Next ``n`` (at most the horizon) values of every target for every group from its
-        newest window: ``(group..., last time, step, future time, target, prediction)``."""
+    def predict_next(
+        self,
+        df: DataFrame,
+        n: int | None = None,
+        kind: str = "bar",
+        seconds: int | None = None,
+        roll: bool = False,
+        future: DataFrame | None = None,
+    ) -> DataFrame:
+        """Next ``n`` values of every target for every group from its newest window:
+        ``(group..., last time, step, future time, target, prediction)``.
+
+        The model itself looks as far as its horizon. With ``roll`` it goes on from there: what it
+        predicted becomes the newest rows of the window, horizon after horizon. In those rows a
+        target that is a feature is its prediction, calendar features are those of the future
+        time, columns of ``future`` (by group and time) are what it says, and any other feature
+        repeats its last value. A group is one row throughout: its window."""
         c = self.config
         n = n or c.horizon
-        if n > c.horizon:
-            raise ValueError(f"the model looks {c.horizon} steps ahead, not {n}")
+        if n > c.horizon and not roll:
+            raise ValueError(f"the model looks {c.horizon} steps ahead, not {n}; roll=True goes on from its predictions")
         scaled_panel, scaled, codes = self._encoded_scaled(base_features(df, c))
         newest = latest_window(scaled_panel, c.spec, scaled, c.sequence_length, last_columns=tuple(codes))
-        prepared = newest.withColumn("features", _vector(c, codes))
-        steps = self.predict_prepared(prepared).withColumnRenamed("horizon", "step").filter(F.col("step") <= n)
         seconds = seconds or c.spec.step or 86400
         when = future_timestamps(newest.select(*c.spec.keys), c.spec.time, n, kind, seconds)
+        if n <= c.horizon:
+            prepared = newest.withColumn("features", _vector(c, codes))
+            steps = self.predict_prepared(prepared).withColumnRenamed("horizon", "step").filter(F.col("step") <= n)
+        else:
+            newest = cut_lineage(newest)  # a row per group
+            when = future_timestamps(newest.select(*c.spec.keys), c.spec.time, n, kind, seconds)
+            steps = self._rolled(newest, codes, n, self._known_ahead(when, future))
         return when.join(steps, [*c.spec.keys, "step"], "inner")
 
+    def _known_ahead(self, when: DataFrame, future: DataFrame | None) -> DataFrame | None:
+        """Features known for the steps ahead, scaled, as ``_ahead``: a map by step of each group
+        from feature to value; a missing value is left to the last known one."""
+        c = self.config
+        time = c.spec.time
+        rows = when.select(*c.spec.groups, "step", F.col("future_ts").alias(time))
+        known: list[str] = []
+        if c.date_cycles is not None:
+            rows = date_features(rows, time, has_time=c.date_cycles)
+            known = [f for f in self.features if f in rows.columns]
+        if future is not None:
+            given = [f for f in self.features if f in future.columns and f not in known]
+            table = future.select(*c.spec.groups, time, *given)
+            match = reduce(and_, [rows[k].eqNullSafe(table[k]) for k in (*c.spec.groups, time)])
+            rows = rows.join(table, match, "left").select(*[rows[k] for k in rows.columns], *given)
+            known += given
+        if not known:
+            return None
+        rows = self.scaler.transform(rows, known)
+        values = F.map_from_arrays(F.array(*[F.lit(f) for f in known]), F.array(*[F.col(f).cast("double") for f in known]))
+        entry = F.struct(F.col("step").alias("key"), values.alias("value"))
+        return rows.groupBy(*c.spec.groups).agg(F.map_from_entries(F.collect_list(entry)).alias("_ahead"))
+
+    def _rolled(self, newest: DataFrame, codes: list[str], n: int, ahead: DataFrame | None) -> DataFrame:
+        """Predictions of ``n`` steps, a horizon at a time; each turn is written, so that no plan
+        grows with ``n``."""
+        c = self.config
+        state = self.scaler.attach(newest)
+        if ahead is not None and c.spec.groups:
+            table = ahead.select(*[F.col(g).alias(f"_of_{g}") for g in c.spec.groups], "_ahead")
+            match = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in c.spec.groups])
+            state = state.join(table, match, "left").drop(*[f"_of_{g}" for g in c.spec.groups])
+        elif ahead is not None:
+            state = state.withColumn("_ahead", ahead.scalar())
+        parts = []
+        for done in range(0, n, c.horizon):
+            now = state.withColumn("features", _vector(c, codes))
+            for name in self.targets:
+                now = self.regressors[name].transform(now)
+            raw = {name: F.col(f"{name}_raw") * F.col(scale_of(name)) + F.col(center(name)) for name in self.targets}
+            now = cut_lineage(now.withColumns({f"_next_{name}": v for name, v in raw.items()}).drop("features", *[f"{t}_raw" for t in self.targets]))
+            steps = [
+                F.struct(F.lit(t).alias("target"), F.lit(done + h).alias("step"), F.col(f"_next_{target_name(t, h)}").alias("prediction"))
+                for t in c.targets
+                for h in range(1, c.horizon + 1)
+            ]
+            parts.append(now.select(*c.spec.keys, F.inline(F.array(*steps))))
+            last = F.element_at("window", -1)
+            rows = []
+            for h in range(1, c.horizon + 1):
+                cells = []
+                for k, f in enumerate(self.features):
+                    cell = last[k]
+                    if f in c.targets:
+                        cell = (F.col(f"_next_{target_name(f, h)}") - F.col(center(f))) / F.col(scale_of(f))
+                    elif ahead is not None:
+                        cell = F.coalesce(F.col("_ahead")[done + h][f], cell)
+                    cells.append(cell)
+                rows.append(F.array(*cells))
+            window = F.slice(F.concat("window", F.array(*rows)), -c.sequence_length, c.sequence_length)
+            state = now.withColumn("window", window).drop(*[f"_next_{t}" for t in self.targets])
+        return reduce(DataFrame.unionByName, parts).filter(F.col("step") <= n)
+
     def save(self, path: str) -> None:
         """Parameter tables as parquet, regressors in their own format, settings as JSON.
         Hooks are code and must be given again when loading."""

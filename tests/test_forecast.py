@@ -250,3 +250,49 @@ def test_rounds_need_a_regressor_that_has_them(shops):
 def test_no_window_to_learn_from(shops):
     with pytest.raises(ValueError, match="no complete window"):
         fc.PanelForecaster(config(targets=("y",), features=("x",), sequence_length=500)).fit(shops)
+
+
+def rolled(model, window, n, calendar):
+    """Plain recursion for one group: ``window`` holds unscaled rows of the model's features."""
+    params = {r["symbol"]: r for r in model.scaler.params.collect()}
+    out = {}
+    for symbol, (rows_, last) in window.items():
+        p, rows_ = params[symbol], [dict(r) for r in rows_]
+        for done in range(0, n, 2):
+            x = [(r[f] - p[f"{f}__center"]) / p[f"{f}__scale"] for r in rows_[-3:] for f in model.features]
+            ahead = []
+            for h in (1, 2):
+                m = model.regressors[f"close_target_h{h}"]
+                y = float(np.dot(m.coefficients, x)) + m.intercept
+                value = y * p[f"close_target_h{h}__scale"] + p[f"close_target_h{h}__center"]
+                out[symbol, done + h] = value
+                ahead.append({**rows_[-1], "close": value, **calendar(last + dt.timedelta(days=done + h))})
+            rows_ += ahead
+    return {k: v for k, v in out.items() if k[1] <= n}
+
+
+def test_rolling_beyond_the_horizon(spark, panel):
+    c = config(encode_groups=False, date_cycles=False, features=("close", "f1", "dayofweek_sin"))
+    m = fc.PanelForecaster(c).fit(panel)
+    pdf = panel.toPandas().sort_values("date")
+    sin = lambda t: {"dayofweek_sin": float(np.sin(2 * np.pi * t.weekday() / 7))}
+    window = {
+        s: ([{"close": r.close, "f1": r.f1, **sin(r.date)} for r in part.itertuples()][-3:], part.date.iloc[-1].to_pydatetime())
+        for s, part in pdf.groupby("symbol")
+    }
+    want = rolled(m, window, 7, sin)
+    got = m.predict_next(panel, 7, "calendar_day", roll=True).collect()
+    assert {(r.symbol, r.step): r.prediction for r in got} == pytest.approx(want, abs=1e-8) and len(got) == 14
+    # known values of the steps ahead
+    days = [(s, last + dt.timedelta(days=k), 100.0) for s, (_, last) in window.items() for k in (1, 2, 3)]
+    future = spark.createDataFrame(days, "symbol string, date timestamp_ntz, f1 double")
+    told = {(r.symbol, r.step): r.prediction for r in m.predict_next(panel, 7, "calendar_day", roll=True, future=future).collect()}
+    assert all(told[k] == pytest.approx(want[k], abs=1e-8) for k in want if k[1] <= 2)
+    assert all(abs(told[k] - want[k]) > 1e-3 for k in want if k[1] in (3, 4))
+
+
+def test_rolling_with_trees_and_without_groups(panel):
+    one = panel.filter("symbol = 'A'").drop("symbol")
+    c = config(spec=PanelSpec("date"), regressor="random_forest", scale_per_group=False, encode_groups=False)
+    out = fc.PanelForecaster(c).fit(one).predict_next(one, 5, "calendar_day", roll=True).orderBy("step").collect()
+    assert [r.step for r in out] == [1, 2, 3, 4, 5] and all(np.isfinite(r.prediction) for r in out)
