@@ -10,10 +10,12 @@ from panelwright.functions import arithmetic
 from panelwright.operators import evaluate as ev
 from panelwright.operators import experiments as ex
 from panelwright.operators import targets
+from panelwright.plans.blocks import Feature, over_blocks
 from panelwright.session import new_table_path
 from panelwright.sources import sinks
+from panelwright.sources.bucketed import read_bucketed, write_forecasts
 
-HORIZON = 3
+HORIZON, BUCKETS = 3, 8
 
 
 def shifted(spark, sf):
@@ -53,6 +55,24 @@ def c3(spark, sf):
     return aligned(spark, sf)
 
 
+@query("c3_align_written", f"""WITH {STORE_DAILY_SQL}, m AS (
+  SELECT Store, Date, avg(Sales) OVER (PARTITION BY Store ORDER BY Date ROWS 6 PRECEDING) AS prediction FROM store_daily),
+ p AS (SELECT Store, Date, CAST(h AS INTEGER) AS horizon, prediction FROM m, (SELECT unnest([1, 2, 3]) AS h) WHERE year(Date) = 2000 OR Store = 7),
+ a AS (SELECT Store, Date, CAST(h AS INTEGER) AS horizon, actual FROM (
+  SELECT Store, Date, lead(Sales, 1) OVER w AS a1, lead(Sales, 2) OVER w AS a2, lead(Sales, 3) OVER w AS a3 FROM store_daily
+  WINDOW w AS (PARTITION BY Store ORDER BY Date)), LATERAL (VALUES (1, a1), (2, a2), (3, a3)) AS v(h, actual) WHERE actual IS NOT NULL AND a3 IS NOT NULL)
+SELECT Store, Date, 'Sales' AS target, horizon, {R("prediction")} AS prediction, actual FROM p JOIN a USING (Store, Date, horizon)""")
+def c3_written(spark, sf):
+    """Predictions that another job wrote, read back and aligned with the written actual values."""
+    base, d = new_table_path(spark, "forecasts"), store_daily(spark, sf).select("Store", "Date", "Sales")
+    mean = Feature(lambda x, w: x.withColumn("mean", F.avg("Sales").over(w.trailing(7))), before=6)
+    some = over_blocks(d, STORE, mean).filter((F.year("Date") == 2000) | (F.col("Store") == 7))
+    predicted = ev.persistence_forecast(some.withColumn("Sales", F.col("mean")), STORE, ["Sales"], HORIZON)
+    write_forecasts(predicted, f"{base}/predicted", STORE, BUCKETS)
+    write_forecasts(ev.actuals_long(shifted(spark, sf), STORE, ["Sales"], HORIZON), f"{base}/actual", STORE, BUCKETS)
+    return rounded(ev.align(read_bucketed(spark, f"{base}/predicted"), read_bucketed(spark, f"{base}/actual"), STORE))
+
+
 @query("e12_directional_accuracy", f"WITH {ALIGNED_SQL} SELECT * FROM hits")
 def e12(spark, sf):
     return ev.with_direction(aligned(spark, sf), STORE)

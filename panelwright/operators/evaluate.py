@@ -5,6 +5,9 @@ Long form throughout: one row per (group..., time, target, horizon).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,22 +90,67 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
     return df.agg(*regression_aggregates(actual, predicted, "direction_hit" in df.columns))
 
 
-def metrics_by(df: DataFrame, groups: list[str], extra: list[Column] = ()) -> DataFrame:
-    """Metrics per target at four levels from one scan: overall, per horizon, per group, per
-    group and horizon. Levels that are summed over show ``overall``."""
+#: What a set of rows adds to its metrics; the states of two sets add up to that of their union.
+_SUMS = ("_n", "_abs", "_sq", "_pct", "_pcts", "_hit", "_hits", "_rel")
+
+
+def _states(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One mergeable state per ``keys``: counts, sums, and mean and squared deviations of the actual
+    values."""
+    a, p = F.col("actual"), F.col("prediction")
+    both = F.when(a.isNotNull() & p.isNotNull(), a - p)
+    share = F.when(a != 0, F.try_divide(both, a))
+    hit = F.col("direction_hit") if "direction_hit" in df.columns else F.lit(None).cast("int")
+    return df.groupBy(*keys).agg(
+        F.count(a).alias("_rows"), F.avg(a).alias("_mean"), (F.var_pop(a) * F.count(a)).alias("_m2"),
+        F.count(both).alias("_n"), F.sum(F.abs(both)).alias("_abs"), F.sum(both * both).alias("_sq"),
+        F.sum(F.abs(share)).alias("_pct"), F.count(share).alias("_pcts"), F.sum(hit).alias("_hit"), F.count(hit).alias("_hits"),
+        F.sum(share * share).alias("_rel"),
+    )
+
+
+def _merged(states: DataFrame, level: list[str]) -> DataFrame:
+    """States of a coarser level. Deviations are taken from the level's own mean, so that large
+    values do not swallow them; only states are joined to it."""
+    mean = F.try_divide(F.sum(F.col("_rows") * F.col("_mean")), F.sum("_rows"))
+    centre = states.groupBy(*[F.col(c).alias(f"_of_{c}") for c in level]).agg(mean.alias("_centre"))
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in level])
+    away = F.col("_mean") - F.col("_centre")
+    m2 = F.sum("_m2") + F.sum(F.col("_rows") * away * away)
+    return states.join(centre, match).groupBy(*level).agg(F.sum("_rows").alias("_rows"), m2.alias("_m2"), *[F.sum(c).alias(c) for c in _SUMS])
+
+
+def _metrics_of(direction: bool, rmspe: bool) -> list[Column]:
+    mse = F.try_divide(F.col("_sq"), F.col("_n"))
+    total, res = F.col("_m2"), F.col("_sq")
+    r2 = F.when(total == 0, F.when(res == 0, F.lit(0.0)).otherwise(F.lit(float("-inf")))).otherwise(1.0 - F.try_divide(res, total))
+    out = [
+        F.try_divide(F.col("_abs"), F.col("_n")).alias("MAE"), mse.alias("MSE"), F.sqrt(mse).alias("RMSE"),
+        (F.try_divide(F.col("_pct"), F.col("_pcts")) * 100.0).alias("MAPE"), r2.alias("R2"),
+    ]
+    if direction:
+        out.append((F.try_divide(F.col("_hit").cast("double"), F.col("_hits")) * 100.0).alias("Directional_Accuracy"))
+    if rmspe:
+        out.append(F.coalesce(F.sqrt(F.try_divide(F.col("_rel"), F.col("_pcts"))), F.lit(0.0)).alias("RMSPE"))
+    return out
+
+
+def metrics_by(df: DataFrame, groups: list[str], rmspe: bool = False) -> DataFrame:
+    """Metrics per target at four levels: overall, per horizon, per group, per group and horizon.
+    Levels that are summed over show ``overall``. The rows are aggregated once, at the finest
+    level; the other levels add up its states."""
     require_columns(df, "target", "horizon", *groups)
-    levels = [["target"], ["target", "horizon"], ["target", *groups], ["target", "horizon", *groups]]
     keys = ["target", "horizon", *groups]
-    if not groups:
-        levels = levels[:2]
-    sets = [[F.col(c) for c in level] for level in levels]
-    aggs = [*regression_aggregates(direction="direction_hit" in df.columns), *extra]
-    marks = [F.grouping(c).alias(f"_all_{c}") for c in keys]
-    out = df.groupingSets(sets, *keys).agg(*aggs, *marks)
-    shown = {
-        c: F.when(F.col(f"_all_{c}") == 1, F.lit(OVERALL)).otherwise(F.col(c).cast("string")) for c in keys if c != "target"
-    }
-    return out.withColumns(shown).drop(*[f"_all_{c}" for c in keys])
+    levels = [["target"], ["target", "horizon"], ["target", *groups], keys]
+    fine = _states(df, keys)
+    names = _metrics_of("direction_hit" in df.columns, rmspe)
+
+    def shown(level: list[str]) -> DataFrame:
+        states = fine if level == keys else _merged(fine, level)
+        cells = [F.col(c).cast("string").alias(c) if c in level else F.lit(OVERALL).alias(c) for c in keys if c != "target"]
+        return states.select("target", *cells, *names)
+
+    return reduce(DataFrame.unionByName, map(shown, levels if groups else levels[:2]))
 
 
 def flatten_metrics(df: DataFrame, dataset: str, groups: list[str], metrics=METRICS) -> DataFrame:
@@ -169,5 +217,4 @@ def evaluate_aligned(aligned: DataFrame, spec: PanelSpec, per_group: bool = Fals
 
 def sales_levels(aligned: DataFrame, spec: PanelSpec, per_group: bool = False) -> DataFrame:
     """All levels of ``metrics_by`` with RMSPE in the same aggregate."""
-    extra = [rmspe("actual", "prediction").alias("RMSPE")]
-    return metrics_by(with_direction(aligned, spec), list(spec.groups) if per_group else [], extra)
+    return metrics_by(with_direction(aligned, spec), list(spec.groups) if per_group else [], rmspe=True)

@@ -122,3 +122,30 @@ def test_future_business_days_skip_the_weekend(spark):
         out = rows(calendar.future_timestamps(df, "date", n, "business_day"), "step")
         assert len(out) == n and all(r["future_ts"].weekday() < 5 for r in out)
     assert out[0]["future_ts"] == dt.datetime(2024, 1, 5) and out[1]["future_ts"] == dt.datetime(2024, 1, 8)
+
+
+def test_metric_states_add_up(spark):
+    """Every level equals its own rows' metrics, also far from zero, with zeros and nulls."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = []
+    for s, base in (("A", 1e9), ("B", 1e9 + 50), (None, -3.0), ("D", 0.0)):
+        for t in ("x", "y"):
+            for h in (1, 2):
+                for i in range(30 if s != "D" else 2):
+                    a = 0.0 if s == "D" else base + float(rng.normal())
+                    data.append((s, t, h, None if i == 7 else a, None if i == 9 else a + float(rng.normal()), None if i == 0 else int(i % 2)))
+    df = spark.createDataFrame(data, "symbol string, target string, horizon int, actual double, prediction double, direction_hit int")
+    got = ev.metrics_by(df, ["symbol"], rmspe=True)
+    assert got.count() == 2 * (1 + 2) * (1 + 4)
+    for r in got.collect():
+        own = df.filter(F.col("target") == r.target)
+        own = own if r.horizon == "overall" else own.filter(F.col("horizon") == int(r.horizon))
+        own = own if r.symbol == "overall" else own.filter(F.col("symbol").eqNullSafe(F.lit(r.symbol).cast("string")))
+        want = own.agg(*ev.regression_aggregates(), ev.rmspe("actual", "prediction").alias("RMSPE")).first()
+        for m in (*ev.METRICS, "RMSPE"):
+            # the squared deviations of values near 10^9 have nine digits less
+            assert r[m] == (want[m] and pytest.approx(want[m], rel=1e-6 if m == "R2" else 1e-9)), (r, m)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
