@@ -5,8 +5,9 @@ and of its beginnings, so inflected forms of a learnt word stand near it. Filter
 one, two and three words are max-pooled over the whole text; a logistic layer gives the score.
 A bounded sample of labelled rows (``POSITIVE`` and ``NEGATIVE`` rows, chosen by a hash of
 ``doc_id``; the loss weighs them back to the true shares) trains the model; every fifth row of
-it is kept aside, if enough of them are toxic, and sets the thresholds (else all rows do): one for all, which the scores are shifted to show as
-``CUT``, and one per language where enough rows of it are toxic. Language decides only which
+it is kept aside and sets the thresholds (all rows do, if none of those is toxic): one for all,
+which the scores are shifted to show as ``CUT``, and one for every language with toxic rows among
+them, drawn towards the common one the more, the fewer they are. Language decides only which
 threshold a score is held against; it never enters the score.
 
 Defined results: null and empty texts, and texts without letters, have the score of a text of
@@ -39,7 +40,9 @@ START = 1e-6  # squared gradients that Adagrad starts from, which damps words se
 SCALE = 0.05
 PASSES, EPOCHS, BATCH, RATE = 24_000, (3, 25), 32, 0.1  # rows seen in training, epochs at least and most
 CUT = 0.7
-ENOUGH = 25  # toxic rows kept aside that a language needs for a threshold of its own
+MET = 3  # training rows that must hold a word or beginning for its vector to be learnt
+DROPPED = 0.4  # share of words that each pass of training leaves out, by chance
+SHRINK = 25  # toxic rows kept aside with which a language's threshold is half its own
 CACHED = 200_000  # words a worker process remembers
 BATCH_TEXT = 2 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -111,7 +114,9 @@ def sigmoid(x):
 
 
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> Network:
-    """Adagrad on the weighted log loss; gradients run through the pooled positions only."""
+    """Adagrad on the weighted log loss; gradients run through the pooled positions only. Words are
+    left out by chance, and words of fewer than ``MET`` rows do not learn: a text cannot be told
+    by a word of its own."""
     net, random = Network.untrained(seed), np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
@@ -122,6 +127,11 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
         flat.extend(found)
     sizes, flat = np.array([*sizes, 0], np.int64), np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64)
     begin = np.cumsum(sizes) - sizes
+    met = np.zeros(BUCKETS, np.int64)
+    for d in docs:
+        own = np.unique(d)
+        n = sizes[own]
+        met[np.unique(flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
     blank = len(vocabulary)  # the padding word, a zero vector
     docs = [np.concatenate([d, np.full(padding(len(d)), blank)]) for d in docs]
     state = {k: np.full(v.shape, START, np.float32) for k, v in (("v", net.vectors), ("b", net.bias), ("w", net.weights))}
@@ -132,6 +142,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             ids = np.concatenate([docs[i] for i in chosen])
+            ids = np.where(random.random(len(ids)) < DROPPED, blank, ids)
             ends = np.cumsum([len(docs[i]) for i in chosen])
             starts = ends - [len(docs[i]) for i in chosen]
             used, place = np.unique(ids, return_inverse=True)
@@ -172,6 +183,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
                 touched, inverse = np.unique(buckets, return_inverse=True)
                 summed = np.zeros((len(touched), d), np.float32)
                 np.add.at(summed, inverse, spread)
+                summed[met[touched] < MET] = 0
                 state["v"][touched] += summed**2
                 net.vectors[touched] -= rate * summed / np.sqrt(state["v"][touched])
             for key, value, gradient in (("b", net.bias, d_hidden.sum(axis=0)), ("w", net.weights, hidden.T @ error)):
@@ -249,10 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     limit = F.when(F.col("_toxic") == 1, share[1]).otherwise(share[0]) * (1 << 20)
     sample = written(known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < limit), "sample")  # bounded: the two limits
     texts = docs.select("doc_id", "lang", "text").join(sample, docs["doc_id"].cast("long") == sample["_id"])
-    rows = sorted(texts.select("_id", "_toxic", "lang", "text").toArrow().to_pylist(), key=lambda r: (r["_id"], r["text"] or ""))
+    one = texts.groupBy("_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("row"))  # an id that repeats is one row
+    rows = sorted(one.select("_id", "_toxic", "row.lang", "row.text").toArrow().to_pylist(), key=lambda r: r["_id"])
     toxic = np.array([r["_toxic"] for r in rows], np.float32)
     apart = np.array([zlib.crc32(f"aside{r['_id']}".encode()) % 5 == 0 for r in rows], bool)
-    aside = apart & (toxic[apart].sum() >= ENOUGH)  # few toxic rows are all needed to learn from
+    aside = apart & (toxic[apart].any() and toxic[~apart].any())
     if not (toxic[~aside].any() and (toxic[~aside] == 0).any()):
         return None
     weight = np.where(toxic == 1, 1 / share[1], 1 / share[0]).astype(np.float32)
@@ -266,8 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     net.shift += move
     for lang in sorted({rows[i]["lang"] for i in held if rows[i]["lang"] is not None}):
         own = np.array([rows[i]["lang"] == lang for i in held])
-        if toxic[held][own].sum() >= ENOUGH and (toxic[held][own] == 0).any():
-            net.thresholds[lang] = float(sigmoid(best_cut(found[own] + move, toxic[held][own], weight[held][own])))
+        n = toxic[held][own].sum()
+        if 0 < n < own.sum():
+            own_cut, common = best_cut(found[own] + move, toxic[held][own], weight[held][own]), np.log(CUT / (1 - CUT))
+            net.thresholds[lang] = float(sigmoid(common + (own_cut - common) * n / (n + SHRINK)))
     return net
 
 
@@ -317,4 +332,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents below the threshold of their language, with the columns of ``docs``."""
     net = fit(docs, labels, **options)
     name = fresh(docs, "_score")
-    return scored(docs, net, name).filter(F.col(name) < threshold(F.col("lang"), net)).select(*docs.columns)
+    return scored(docs, net, name).filter(F.col(name) < threshold(F.col("lang"), net)).drop(name)
