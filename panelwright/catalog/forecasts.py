@@ -15,7 +15,7 @@ from panelwright.operators import split
 from panelwright.operators.experiments import read_experiments, run_experiment
 from panelwright.operators.forecast import ForecastConfig, PanelForecaster, PanelForecastModel, score_in_pandas
 from panelwright.operators.evaluate import METRICS
-from panelwright.plans.blocks import Feature, over_blocks
+from panelwright.plans.blocks import Feature, over_blocks, with_position
 from panelwright.session import new_table_path
 
 
@@ -351,3 +351,31 @@ def i12(spark, sf):
         "experiment_id", "experiment_name", "model_type", "sequence_length", "train_samples", "val_samples",
         *[F.round(c, n).alias(c) for c, n in one.items()],
     )
+
+
+def _experiment_test_sql():
+    rows = f"""{STORE_DAILY_SQL}, n AS (
+  SELECT Store, Date, Sales, row_number() OVER (PARTITION BY Store ORDER BY Date DESC) AS back, count(*) OVER (PARTITION BY Store) AS n FROM store_daily),
+ tr AS (SELECT Store, Date, Sales FROM n WHERE n >= 90 AND back > 60), te AS (SELECT Store, Date, Sales FROM n WHERE n >= 90 AND back <= 31),
+ ftr AS (SELECT * FROM (SELECT *, lead(Sales) OVER (PARTITION BY Store ORDER BY Date) AS h1 FROM tr) WHERE h1 IS NOT NULL)"""
+    return f"""WITH {rows}, {_ols_sql("tr", "Store", "Date", "Sales", 1, "ftr", "te", "t_")}
+SELECT 'exp_001' AS experiment_id, 'sales.yaml' AS config_file, (SELECT CAST(count(*) AS INTEGER) FROM te) AS test_samples,
+ Store, Date, {R("prediction", 1)} AS prediction FROM t_pred"""
+
+
+@query("i12_experiment_test_rows", _experiment_test_sql())
+def i12_test(spark, sf):
+    """Test rows carry no sales of the future: they are scored, written and logged; the logged file
+    is read back."""
+    counted = with_position(_sales(spark, sf), STORE).withColumn("back", F.col("_group_rows") - F.col("_pos")).filter("_group_rows >= 90")
+    train, val, test = (counted.filter(c).select("Store", "Date", "Sales") for c in ("back >= 60", "back < 61 AND back >= 30", "back < 31"))
+    base = new_table_path(spark, "runs")
+    config = _config(STORE, "Sales", 1)
+    run_experiment(
+        spark, train, val, config, log_path=f"{base}/log", out_path=base, name="with test rows", test=test, config_file="sales.yaml"
+    )
+    log = read_experiments(spark, f"{base}/log").select("experiment_id", "config_file", "test_samples", "test_predictions_file")
+    (row,) = log.collect()
+    found = spark.read.option("header", True).schema("Store int, Date timestamp_ntz, target string, horizon int, prediction double").csv(row.test_predictions_file)
+    logged = [F.lit(row[c]).alias(c) for c in ("experiment_id", "config_file", "test_samples")]
+    return found.select(*logged, "Store", "Date", F.round("prediction", 1).alias("prediction"))

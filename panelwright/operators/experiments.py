@@ -9,6 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwright.sources import commit
+
 # Columns of the experiment log, in file order.
 SCHEMA = (
     "experiment_id string, experiment_name string, timestamp string, config_file string, "
@@ -77,6 +79,15 @@ def next_experiment_id(df: DataFrame) -> str:
     return f"exp_{(top or 0) + 1:03d}"
 
 
+def claim_experiment_id(spark: SparkSession, path: str) -> str:
+    """An id no other run has: one above the highest in the log, or the next one after it that no
+    run at work has claimed (below ``path/_ids``)."""
+    number = int(next_experiment_id(read_experiments(spark, path)).removeprefix("exp_"))
+    while not commit.claim(spark, f"{path}/_ids/exp_{number:03d}"):
+        number += 1
+    return f"exp_{number:03d}"
+
+
 def list_experiments(df: DataFrame, sort_by: str = "val_rmspe") -> DataFrame:
     shown = [c for c in LIST_COLUMNS if c in df.columns]
     out = df.orderBy(F.col(sort_by).asc_nulls_last(), "experiment_id") if sort_by in df.columns else df
@@ -115,16 +126,22 @@ def top_versions(df: DataFrame, n: int = 5) -> DataFrame:
     return counts.orderBy(F.desc("experiments"), "preprocessing_version").limit(n)
 
 
-def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config, *, log_path: str, out_path: str, name: str, **notes) -> str:
-    """Fit, evaluate and log one run; predictions, metrics and model go below ``out_path``."""
+def run_experiment(
+    spark: SparkSession, train: DataFrame, val: DataFrame, config, *, log_path: str, out_path: str, name: str,
+    test: DataFrame | None = None, stop_early: bool = False, **notes,
+) -> str:
+    """Fit, evaluate and log one run; predictions, metrics and model go below ``out_path``. ``test``
+    rows need no targets: they are scored, and their predictions written, beside those of the
+    other rows. With ``stop_early`` the fit goes by rounds against the validation rows, and the
+    best round is logged. Runs at the same time get ids of their own."""
     from panelwright.operators.evaluate import OVERALL, sales_levels
     from panelwright.operators.forecast import PanelForecaster
-    from panelwright.sources.sinks import write_errors_rmspe, write_metrics_json
+    from panelwright.sources.sinks import write_csv, write_errors_rmspe, write_metrics_json
 
-    experiment_id = next_experiment_id(read_experiments(spark, log_path))
+    experiment_id = claim_experiment_id(spark, log_path)
     train, val = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (train, val))
     started = clock.time()
-    model = PanelForecaster(config).fit(train)
+    model = PanelForecaster(config).fit(train, val if stop_early else None)
     minutes = (clock.time() - started) / 60
     base = f"{out_path}/{experiment_id}"
     values, files = {}, {}
@@ -138,6 +155,13 @@ def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config
         row = next(r for r in metrics[label] if r["horizon"] == OVERALL and r["target"] == config.targets[0])
         values.update({f"{label}_mae": row["MAE"], f"{label}_rmse": row["RMSE"], f"{label}_rmspe": row["RMSPE"]})
         values[f"{label}_samples"] = frame.count()
+    if test is not None:
+        files["test"] = f"{base}/test_predictions"
+        write_csv(model.predict(test, inference=True), files["test"])
+        values["test_samples"] = test.count()
+    if model.history:
+        values["best_epoch"] = max(course.kept for course in model.history.values())
+        values["epochs"] = config.rounds
     model.save(f"{base}/model")
     rows = [{"dataset": label, **r.asDict()} for label, found in metrics.items() for r in found]
     write_metrics_json(spark.createDataFrame(rows), f"{base}/metrics", experiment_id=experiment_id, experiment_name=name)
@@ -154,6 +178,7 @@ def run_experiment(spark: SparkSession, train: DataFrame, val: DataFrame, config
         training_time_mins=minutes,
         train_predictions_file=files["train"],
         val_predictions_file=files["val"],
+        test_predictions_file=files.get("test"),
         model_path=f"{base}/model",
         **values,
         **notes,
