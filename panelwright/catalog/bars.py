@@ -13,6 +13,8 @@ from panelwright.catalog.views import (
 )
 from panelwright.operators import clean, profile, resample, rolling, sequence, split, targets
 from panelwright.plans.blocks import over_blocks
+from panelwright.session import new_table_path
+from panelwright.sources.readers import with_ingest_order
 from panelwright.spec import MARKETS, TIMEFRAMES, PanelSpec, require_columns, timeframe
 
 # --- flagship -----------------------------------------------------------------------------
@@ -246,6 +248,19 @@ def d15(spark, sf):
     return profile.order_violations(e, "ts", PanelSpec("event_id", ("event_type",), step=1, cell_steps=100_000, count_first=True))
 
 
+@query("d15_ingest_order", """WITH e AS (
+  SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN ts - INTERVAL '2 days' ELSE ts END AS ts FROM events), f AS (
+  SELECT event_type, ts < lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS back FROM e)
+SELECT event_type, count(*) AS rows, count(*) FILTER (back) AS violations FROM f GROUP BY 1""")
+def d15_ingest(spark, sf):
+    """Written CSV files without an id: the order is that of the files and of the rows in them."""
+    back = F.when(F.col("event_id") % 11 == 0, F.col("ts") - F.expr("INTERVAL '2' DAY")).otherwise(F.col("ts")).alias("ts")
+    events, path = table(spark, sf, "events"), new_table_path(spark, "events")
+    events.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select("event_type", back).write.csv(path)
+    read = with_ingest_order(spark.read.schema("event_type string, ts timestamp_ntz").csv(path))
+    return profile.order_violations(read, "ts", PanelSpec("_ingest", ("event_type",)))
+
+
 @query("d16_weekend_count", """SELECT count(*) FILTER (isodow(ts) >= 6) AS weekend_rows, count(*) AS rows FROM events""")
 def d16(spark, sf):
     return profile.weekend_count(table(spark, sf, "events"), "ts")
@@ -577,6 +592,20 @@ def i2(spark, sf):
     return p.frame.withColumn("sequence_length", F.lit(p.sequence_length))
 
 
+@query("i2_prepare_minutes_with_gaps", f"""WITH {FAULTY_SQL}, us AS (
+  SELECT event_type, ts, event_id, close, CASE WHEN event_id % 7 <> 0 THEN volume END AS volume FROM faulty WHERE {_SECOND} >= 34200 AND {_SECOND} < 57600)
+SELECT event_type, ts, event_id, coalesce(first_value(close IGNORE NULLS) OVER w, 0.0) AS close,
+       coalesce(first_value(volume IGNORE NULLS) OVER w, 0) AS volume, CAST(240 AS INTEGER) AS sequence_length
+FROM us WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def i2_gaps(spark, sf):
+    """Rows with missing prices and volumes, so that the fill has something to do."""
+    gaps = faulty_ticks(spark, sf).select(
+        "event_type", "ts", "event_id", "close", F.when(F.col("event_id") % 7 != 0, F.col("volume")).alias("volume")
+    )
+    p = resample.prepare_intraday_for_training(gaps, "1min", replace(TICK, block_rows=700), "US")
+    return p.frame.withColumn("sequence_length", F.lit(p.sequence_length))
+
+
 @query("i4_return_forecast_features", f"""{_INDICATORS}, r AS (
   SELECT *, (lead(close, 1) OVER w - close) / close * 100 AS return_1d, (lead(close, 2) OVER w - close) / close * 100 AS return_2d,
          (lead(close, 3) OVER w - close) / close * 100 AS return_3d FROM ind WINDOW w AS (PARTITION BY event_type ORDER BY ts))

@@ -138,6 +138,23 @@ def h6(spark, sf):
     return encode.one_hot(merged, fitted)
 
 
+@query("h6_one_hot_vector", """WITH l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT p_name || '/' || p_type AS label FROM part WHERE p_partkey % 3 <> 0))
+SELECT p_partkey, CAST((SELECT count(*) FROM l) + 1 AS INTEGER) AS size, CAST(1 AS INTEGER) AS ones,
+       CAST(coalesce(code, (SELECT count(*) FROM l)) AS INTEGER) AS position FROM part LEFT JOIN l ON p_name || '/' || p_type = label""")
+def h6_vector(spark, sf):
+    """More categories than there could be columns; those that were not fitted share a position."""
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_type").alias("article"))
+    labels = encode.fit_labels(part.filter("p_partkey % 3 <> 0"), ["article"])
+    out = encode.one_hot_vector(part, labels, "article", "vector")
+    # a sparse vector's text: (size,[positions],[values])
+    text = F.col("vector").cast("string")
+    part_of = lambda pattern: F.regexp_extract(text, pattern, 1)
+    return out.select(
+        "p_partkey", part_of(r"^\((\d+),").cast("int").alias("size"), F.size(F.split(part_of(r",\[([^\]]*)\],"), ",")).alias("ones"),
+        part_of(r",\[(\d+)").cast("int").alias("position"),
+    )
+
+
 @query("h7_intraday_momentum", f"""WITH {BARS_SQL}
 SELECT event_type, ts, {R("CASE WHEN open = 0 AND close = open THEN 0 ELSE (close - open) / open END")} AS intraday_momentum FROM bars""")
 def h7(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from panelwright.plans.blocks import BlockFrame, Feature, over_blocks
 from panelwright.spec import PanelSpec, require_columns
 
+HELD = 10_000  # distinct values that are held in a set
 SEASONAL_NAME = re.compile(r"(.+)_(sin|cos)$")  # fixed value: names of seasonal columns
 
 
@@ -39,25 +40,38 @@ def profile_features(df: DataFrame, exclude: list[str] = (), threshold: int = 20
     distinct values too, unless they are integers spread over more than ten times as many
     values. Numeric columns show no category count.
 
-    A first job sketches the distinct counts of all number columns in one aggregate. Columns
-    far above the threshold are numeric and are not counted exactly, so their values are never
-    shuffled; the exact counts of the others come from one more aggregate, lazily."""
+    A first job sketches the distinct counts of all columns in one aggregate. Numbers far above
+    the threshold are numeric and are not counted exactly. The others come from one more
+    aggregate, lazily: as sets, which merge and are small by the sketch (at most ``HELD``
+    values), and as plain distinct counts where a text column has more. No row is copied."""
     fields = [f for f in df.schema.fields if f.name not in exclude]
-    numbers = [
-        f.name for f in fields if not is_seasonal(f.name) and not isinstance(f.dataType, (T.StringType, T.BooleanType))
-    ]
-    many = set()
-    if numbers:
-        rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numbers]).first()
-        many = {c for c in numbers if rough[c] > 3 * threshold}
-    counted = [f for f in fields if f.name not in many]
+
+    def discrete(f: T.StructField) -> bool:
+        return is_seasonal(f.name) or isinstance(f.dataType, (T.StringType, T.BooleanType))
+
+    def value(f: T.StructField):
+        c = F.round(F.col(f.name), 4) if is_seasonal(f.name) else F.col(f.name)
+        # minus zero is zero
+        return c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+
+    rough = df.agg(*[F.approx_count_distinct(value(f)).alias(f.name) for f in fields]).first().asDict() if fields else {}
+    many = {f.name for f in fields if not discrete(f) and rough[f.name] > 3 * threshold}
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for f in counted:
-        value = F.round(F.col(f.name), 4) if is_seasonal(f.name) else F.col(f.name)
-        aggs.append(F.count_distinct(value).alias(f"{f.name}__n"))
+    large = []
+    for f in fields:
+        if f.name in many:
+            continue
+        if rough[f.name] > HELD and is_seasonal(f.name):
+            aggs.append(F.lit(HELD).cast("long").alias(f"{f.name}__n"))  # more than the 100 that are shown
+        elif rough[f.name] > HELD:
+            large.append(f)
+        else:
+            aggs.append(F.size(F.collect_set(value(f))).cast("long").alias(f"{f.name}__n"))
         if isinstance(f.dataType, T.IntegralType):
             aggs += [F.max(f.name).cast("long").alias(f"{f.name}__hi"), F.min(f.name).cast("long").alias(f"{f.name}__lo")]
     wide = df.agg(*aggs)
+    for f in large:
+        wide = wide.withColumn(f"{f.name}__n", df.agg(F.count_distinct(value(f))).scalar())
     numeric, categorical = F.lit("numeric"), F.lit("categorical")
     cells = []
     for f in fields:

@@ -6,11 +6,12 @@ import posixpath
 from collections.abc import Sequence
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.operators.clean import clean_ohlc_intraday
+from panelwright.plans.lookup import key_lookup, measured
 from panelwright.spec import OHLCV, PanelSpec, require_columns
 
 # Other spellings of minute bar columns.
@@ -132,6 +133,25 @@ def read_time_series(
     return out
 
 
+#: Rows of one stretch of a file that keep their order; Spark numbers no more in a partition.
+_IN_SPLIT = 1 << 33
+
+
+def with_ingest_order(df: DataFrame, name: str = "_ingest") -> DataFrame:
+    """Adds a number that rises in the order of ingest: by file path, then by the rows' order in the
+    file. ``df`` must come straight from files of any format; no id is needed. The number has
+    gaps: the stretches in which Spark reads the files are ranked (a row per stretch), and rows
+    count on inside theirs. File names must sort in the order the files were written."""
+    where = {"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start")}
+    stretches = df.select(*[c.alias(k) for k, c in where.items()]).distinct()
+    ranks = stretches.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_from")) - 1)
+    ranks, size = measured(ranks)
+    in_split = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_SPLIT - 1))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(k) for k, c in where.items()], in_split.alias("_at"))
+    placed = key_lookup(rows, ranks, ["_file", "_from"], size=size, how="inner")
+    return placed.withColumn(name, F.col("_rank") * F.lit(_IN_SPLIT) + F.col("_at")).drop("_file", "_from", "_rank", "_at")
+
+
 def fully_numeric(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns whose every non-null value reads as a number: numeric types by schema, texts
     by one aggregate over all of them."""
