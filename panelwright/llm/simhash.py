@@ -332,15 +332,22 @@ def tree(rows: Rows, met: Met, radius, angle, few=256):
     yield rest, label[rest]
 
 
-def nearest(rows: Rows, met: Met, radius, angle, few=64):
-    """All close pairs of small parts; in large ones each row's nearest row before it."""
+def nearest(rows: Rows, met: Met, radius, angle, few=1):
+    """Of the close pairs that meet here first, each row's nearest row before it: as many edges as
+    rows at most. Parts of which other pairs are left are named, as (rows, None), to be asked
+    again. Parts of at most ``few`` rows give all pairs."""
     n = len(rows.part)
-    best, partner = np.full(n, BITS * 64), np.zeros(n, np.int64)
-    for i, j, differ, large in close_pairs(rows, radius, angle, few):
-        if not large:
-            here = met.first(rows.fp, rows.entry, i, j)
-            yield i[here], j[here]
-            continue
+    starts = np.flatnonzero(np.concatenate([[True], rows.part[1:] != rows.part[:-1]]))
+    sizes = np.diff(np.append(starts, n))
+    whole, of = np.repeat(sizes <= few, sizes), np.repeat(np.arange(len(starts)), sizes)
+    best, partner, left = np.full(n, BITS * 64), np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
+    for i, j, differ, _ in close_pairs(rows, radius, angle, 64):
+        here = met.first(rows.fp, rows.entry, i, j)
+        i, j, differ = i[here], j[here], differ[here]
+        at_once = whole[i]
+        yield i[at_once], j[at_once]
+        i, j, differ = i[~at_once], j[~at_once], differ[~at_once]
+        np.add.at(left, of[j], 1)
         order = np.lexsort((differ, j))
         i, j, differ = i[order], j[order], differ[order]
         first = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
@@ -349,6 +356,8 @@ def nearest(rows: Rows, met: Met, radius, angle, few=64):
         best[j[better]], partner[j[better]] = differ[better], i[better]
     found = np.flatnonzero(best < BITS * 64)
     yield partner[found], found
+    np.subtract.at(left, of[found], 1)
+    yield starts[left > 0], None
 
 
 def every(rows: Rows, met: Met, radius, angle):
@@ -385,13 +394,14 @@ def _edges(choose, met: Met, radius, angle):
             part, fp, ids, checks, *more = rows
             whole = Rows(part, fp.view(np.uint64), ids, checks.view(np.uint64), *more)
             for i, j in choose(whole, met, radius, angle):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+                columns = (part[i], np.full(len(i), -1)) if j is None else (ids[i], ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
     return run
 
 
 def links(rows: DataFrame, choose, met: Met, radius: int, angle: float | None = None) -> DataFrame:
-    """Edges (a, b) between the ids of close rows, chosen per part."""
+    """Edges (a, b) between the ids of close rows, chosen per part; (part, -1) where some are left."""
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(choose, met, radius, angle), EDGES)
 
 
@@ -442,7 +452,7 @@ SHINGLE, SIMILARITY, CHECKS, FIRST = 5, 0.8, 16, 2
 #: pairs near the threshold that differ by a block or an end.
 PROBES = 3
 SIGMAS = 2.0  # of the further fingerprints' bits, in buckets of any size
-FEW = 256  # rows of a bucket up to which all its pairs are verified at once
+FEW = 1  # rows of a bucket up to which all its pairs are verified at once
 
 
 def similar_angle(similarity: float, bits: int, sigmas: float) -> float:
@@ -484,9 +494,8 @@ def drop_near_copies(
     are linked if their sets of five-word shingles have ``similarity`` or more. Candidates are
     within ``radius`` bits in one of ``PROBES`` fingerprints of word pairs, if their further
     fingerprints (of the shingles) allow it; each candidate's shingle sets are compared. Only documents with the same set are one
-    node from the start. In large buckets each row first meets
-    its nearest one only; then the pairs that are still apart are compared too, after a sharper
-    look at 1024 further bits. The smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
+    node from the start. In a bucket each row first meets its nearest one only; then the pairs that
+    are still apart are compared too, after a sharper look at 1024 further bits. The smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
     prints = written(fingerprints(docs, CANDIDATE_WIDTH, CHECKS, SHINGLE), "prints")
     nodes = numbered_prints(prints)
     if nodes.isEmpty():
@@ -496,16 +505,18 @@ def drop_near_copies(
     nodes = nodes.drop("probes")
     first = lambda *x: nearest(*x, few=few)
     angle = similar_angle(similarity, FIRST * BITS, SIGMAS)
-    pairs = reduce(DataFrame.unionByName, [links(rows, first, met, radius, angle) for rows, met in probes])
-    edges = verified(pairs, nodes, docs, similarity, SHINGLE)
+    asked = [written(links(rows, first, met, radius, angle), "asked") for rows, met in probes]
+    edges = verified(reduce(DataFrame.unionByName, [a.filter("b >= 0") for a in asked]), nodes, docs, similarity, SHINGLE)
     known, angle, pairs = None, similar_angle(similarity, CHECKS * BITS, SIGMAS), []
-    for rows, met in probes:
-        large = written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("part"), "large")
-        if large.isEmpty():
+    for (rows, met), pairs_of in zip(probes, asked, strict=True):
+        left = written(pairs_of.filter("b < 0").select(F.col("a").alias("part")).distinct(), "left")
+        if left.isEmpty():
             continue
         if known is None:
             known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
-        apart = rows.drop("checks").join(large, "part").join(known, "id").select("part", "fp", "id", "checks", "entry", "label")
+        member = written(rows.drop("checks").join(left, "part", "left_semi").join(known.select("id", "label"), "id"), "member")
+        apart = member.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("part")
+        apart = member.join(apart, "part").join(known.select("id", "checks"), "id").select("part", "fp", "id", "checks", "entry", "label")
         pairs.append(links(apart, every, met, radius, angle))
     if pairs:
         edges = edges.unionByName(verified(reduce(DataFrame.unionByName, pairs), nodes, docs, similarity, SHINGLE))
