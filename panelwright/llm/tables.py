@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -99,3 +100,11 @@ def held(key, make):
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def give_back() -> None:
+    """Returns memory that earlier tasks of this worker process have freed to the system, where its
+    allocator can be told to."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.tables import fresh, held, written
+from panelwright.llm.tables import fresh, give_back, held, written
 
 POSITIVE, NEGATIVE = 3000, 5000  # labelled rows that training uses at most, about
 BUCKETS, DIMENSIONS = 1 << 16, 16
@@ -44,7 +44,7 @@ MET = 3  # training rows that must hold a word or beginning for its vector to be
 DROPPED = 0.4  # share of words that each pass of training leaves out, by chance
 SHRINK = 25  # toxic rows kept aside with which a language's threshold is half its own
 CACHED = 200_000  # words a worker process remembers
-BATCH_TEXT = 2 << 20
+BATCH_TEXT = 1 << 19  # characters that are scored at once
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -295,6 +295,7 @@ def scored(docs: DataFrame, net: Network | None, name: str = "score") -> DataFra
 
     def run(batches):
         scorer = held(key, lambda: Scorer(shared.value))
+        give_back()
         for batch in batches:
             values = scorer.scores(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*plain, "score"])
