@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.arithmetic import col
@@ -109,15 +109,21 @@ def _states(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _merged(states: DataFrame, level: list[str]) -> DataFrame:
+def _merged(states: DataFrame, level: list[str], by_group: bool) -> DataFrame:
     """States of a coarser level. Deviations are taken from the level's own mean, so that large
-    values do not swallow them; only states are joined to it."""
-    mean = F.try_divide(F.sum(F.col("_rows") * F.col("_mean")), F.sum("_rows"))
-    centre = states.groupBy(*[F.col(c).alias(f"_of_{c}") for c in level]).agg(mean.alias("_centre"))
-    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in level])
+    values do not swallow them. A group has a state per horizon, which a window holds; the means
+    of the other levels are a row per target and horizon and are broadcast."""
+    rows, total = F.col("_rows") * F.col("_mean"), F.col("_rows")
+    if by_group:
+        own = Window.partitionBy(*level)
+        placed = states.withColumn("_centre", F.try_divide(F.sum(rows).over(own), F.sum(total).over(own)))
+    else:
+        centre = states.groupBy(*[F.col(c).alias(f"_of_{c}") for c in level]).agg(F.try_divide(F.sum(rows), F.sum(total)).alias("_centre"))
+        match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in level])
+        placed = states.join(F.broadcast(centre), match)
     away = F.col("_mean") - F.col("_centre")
     m2 = F.sum("_m2") + F.sum(F.col("_rows") * away * away)
-    return states.join(centre, match).groupBy(*level).agg(F.sum("_rows").alias("_rows"), m2.alias("_m2"), *[F.sum(c).alias(c) for c in _SUMS])
+    return placed.groupBy(*level).agg(F.sum("_rows").alias("_rows"), m2.alias("_m2"), *[F.sum(c).alias(c) for c in _SUMS])
 
 
 def _metrics_of(direction: bool, rmspe: bool) -> list[Column]:
@@ -146,7 +152,7 @@ def metrics_by(df: DataFrame, groups: list[str], rmspe: bool = False) -> DataFra
     names = _metrics_of("direction_hit" in df.columns, rmspe)
 
     def shown(level: list[str]) -> DataFrame:
-        states = fine if level == keys else _merged(fine, level)
+        states = fine if level == keys else _merged(fine, level, len(level) > 1 and level[-1] in groups)
         cells = [F.col(c).cast("string").alias(c) if c in level else F.lit(OVERALL).alias(c) for c in keys if c != "target"]
         return states.select("target", *cells, *names)
 
