@@ -40,11 +40,21 @@ def test_generic_operators_do_not_know_the_sales_domain(path):
 
 
 def test_library_needs_no_other_engine():
-    used = {m.split(".")[0] for p in library() for m in imports(p)}
+    used = {m.split(".")[0] for p in library() for m in imports(p)} - ARROW
     assert used <= {"__future__", "atexit", "collections", "dataclasses", "datetime", "functools", "json", "math", "operator", "os", "posixpath", "re",
                     "shutil", "tempfile", "time", "urllib", "uuid", "panelwright", "pyspark"}
 
 
+#: Blocks of rows reach Python as Arrow tables; what is computed on them needs these.
+ARROW = {"numpy", "pandas", "pyarrow"}
+ON_BLOCKS = {"operators/grouped.py", "operators/least_squares.py", "operators/forecast.py", "catalog/forecasts.py"}
+
+
+def test_arrow_is_used_on_blocks_only():
+    users = {str(p.relative_to(ROOT)) for p in library() if ARROW & {m.split(".")[0] for m in imports(p)}}
+    assert users <= ON_BLOCKS
+
+
 def test_nothing_in_the_library_imports_the_text_operators():
     assert not [p for p in library() if any(m.startswith("panelwright.llm") for m in imports(p))]
 
