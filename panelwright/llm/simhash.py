@@ -333,31 +333,49 @@ def tree(rows: Rows, met: Met, radius, angle, few=256):
 
 
 def nearest(rows: Rows, met: Met, radius, angle, few=1):
-    """Of the close pairs that meet here first, each row's nearest row before it: as many edges as
-    rows at most. Parts of which other pairs are left are named, as (rows, None), to be asked
-    again. Parts of at most ``few`` rows give all pairs."""
+    """Of the close pairs that meet here first, edges that span what they connect, each row's
+    nearest rows before it first: fewer edges than rows. Parts of which other pairs are left are
+    named, as (rows, None). Parts of at most ``few`` rows give all pairs."""
     n = len(rows.part)
     starts = np.flatnonzero(np.concatenate([[True], rows.part[1:] != rows.part[:-1]]))
     sizes = np.diff(np.append(starts, n))
     whole, of = np.repeat(sizes <= few, sizes), np.repeat(np.arange(len(starts)), sizes)
-    best, partner, left = np.full(n, BITS * 64), np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
-    for i, j, differ, _ in close_pairs(rows, radius, angle, 64):
-        here = met.first(rows.fp, rows.entry, i, j)
-        i, j, differ = i[here], j[here], differ[here]
-        at_once = whole[i]
-        yield i[at_once], j[at_once]
-        i, j, differ = i[~at_once], j[~at_once], differ[~at_once]
-        np.add.at(left, of[j], 1)
-        order = np.lexsort((differ, j))
-        i, j, differ = i[order], j[order], differ[order]
-        first = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
-        i, j, differ = i[first], j[first], differ[first]
-        better = differ < best[j]
-        best[j[better]], partner[j[better]] = differ[better], i[better]
-    found = np.flatnonzero(best < BITS * 64)
-    yield partner[found], found
-    np.subtract.at(left, of[found], 1)
-    yield starts[left > 0], None
+    asked, open_parts, label = np.arange(n), np.zeros(len(starts), bool), np.arange(n)
+    us, vs, first_look = [], [], True
+    while len(asked):
+        own = Rows(rows.part[asked], rows.fp[asked], rows.ids[asked], rows.checks[asked], rows.entry[asked], None if first_look else label[asked])
+        best, partner, seen = np.full(n, BITS * 64), np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
+        for i, j, differ, _ in close_pairs(own, radius, angle, 64):
+            i, j = asked[i], asked[j]
+            here = met.first(rows.fp, rows.entry, i, j)
+            i, j, differ = i[here], j[here], differ[here]
+            at_once = whole[i]
+            yield i[at_once], j[at_once]
+            i, j, differ = i[~at_once], j[~at_once], differ[~at_once]
+            np.add.at(seen, of[j], 1)
+            order = np.lexsort((differ, j))
+            i, j, differ = i[order], j[order], differ[order]
+            first = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
+            i, j, differ = i[first], j[first], differ[first]
+            better = differ < best[j]
+            best[j[better]], partner[j[better]] = differ[better], i[better]
+        found = np.flatnonzero(best < BITS * 64)
+        # of two rows that would connect the same two groups, the first will do
+        if not first_look and len(found):
+            pair = np.stack([label[partner[found]], label[found]])
+            pair.sort(axis=0)
+            _, one = np.unique(pair, axis=1, return_index=True)
+            found = found[one]
+        yield partner[found], found
+        us.append(partner[found])
+        vs.append(found)
+        np.subtract.at(seen, of[found], 1)
+        again = seen > 0
+        if first_look:
+            open_parts = again
+        label = spanning(np.concatenate(us), np.concatenate(vs), n)
+        asked, first_look = np.flatnonzero(again[of]), False
+    yield starts[open_parts], None
 
 
 def every(rows: Rows, met: Met, radius, angle):
@@ -370,7 +388,7 @@ def every(rows: Rows, met: Met, radius, angle):
 EDGES = "a long, b long"
 
 
-def _edges(choose, met: Met, radius, angle):
+def _edges(choose, met: Met, radius, angle, with_part=False):
     """Edges between ids of rows (part, fp, id, checks, entry, label if there is one), sorted by
     part; ``choose`` picks them from whole parts."""
 
@@ -394,15 +412,17 @@ def _edges(choose, met: Met, radius, angle):
             part, fp, ids, checks, *more = rows
             whole = Rows(part, fp.view(np.uint64), ids, checks.view(np.uint64), *more)
             for i, j in choose(whole, met, radius, angle):
-                columns = (part[i], np.full(len(i), -1)) if j is None else (ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+                columns = {"a": ids[i], "b": np.full(len(i), -1) if j is None else ids[j]} | ({"part": part[i]} if with_part else {})
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     return run
 
 
-def links(rows: DataFrame, choose, met: Met, radius: int, angle: float | None = None) -> DataFrame:
-    """Edges (a, b) between the ids of close rows, chosen per part; (part, -1) where some are left."""
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(choose, met, radius, angle), EDGES)
+def links(rows: DataFrame, choose, met: Met, radius: int, angle: float | None = None, with_part: bool = False) -> DataFrame:
+    """Edges (a, b) between the ids of close rows, chosen per part; ``with_part`` adds the part, and
+    a row with b = -1 for each part of which pairs are left."""
+    made = _edges(choose, met, radius, angle, with_part)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(made, EDGES + (", part long" if with_part else ""))
 
 
 def bucketed(nodes: DataFrame, radius: int, block: int) -> tuple[DataFrame, Met]:
@@ -505,20 +525,23 @@ def drop_near_copies(
     nodes = nodes.drop("probes")
     first = lambda *x: nearest(*x, few=few)
     angle = similar_angle(similarity, FIRST * BITS, SIGMAS)
-    asked = [written(links(rows, first, met, radius, angle), "asked") for rows, met in probes]
-    edges = verified(reduce(DataFrame.unionByName, [a.filter("b >= 0") for a in asked]), nodes, docs, similarity, SHINGLE)
-    known, angle, pairs = None, similar_angle(similarity, CHECKS * BITS, SIGMAS), []
-    for (rows, met), pairs_of in zip(probes, asked, strict=True):
-        left = written(pairs_of.filter("b < 0").select(F.col("a").alias("part")).distinct(), "left")
-        if left.isEmpty():
-            continue
-        if known is None:
-            known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
-        member = written(rows.drop("checks").join(left, "part", "left_semi").join(known.select("id", "label"), "id"), "member")
-        apart = member.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("part")
-        apart = member.join(apart, "part").join(known.select("id", "checks"), "id").select("part", "fp", "id", "checks", "entry", "label")
-        pairs.append(links(apart, every, met, radius, angle))
-    if pairs:
+    asked = [links(rows, first, met, radius, angle, True).withColumn("probe", F.lit(k)) for k, (rows, met) in enumerate(probes)]
+    asked = written(reduce(DataFrame.unionByName, asked), "asked")
+    edges = verified(asked.filter("b >= 0").select("a", "b"), nodes, docs, similarity, SHINGLE)
+    # pairs that were left out are connected by edges of their part, unless one of those was rejected
+    tried = asked.filter("b >= 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "probe", "part")
+    rejected = tried.join(edges, ["a", "b"], "left_anti").select("probe", "part").distinct()
+    left = written(asked.filter("b < 0").select("probe", "part").distinct().join(rejected, ["probe", "part"]), "left")
+    if not left.isEmpty():
+        known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
+        entered = [rows.drop("checks").withColumn("probe", F.lit(k)).join(left, ["probe", "part"], "left_semi") for k, (rows, _) in enumerate(probes)]
+        member = reduce(DataFrame.unionByName, entered).join(known.select("id", "label"), "id")
+        member = written(member, "member")
+        apart = member.groupBy("probe", "part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        apart = member.join(apart.select("probe", "part"), ["probe", "part"]).join(known.select("id", "checks"), "id")
+        apart = written(apart.select("probe", "part", "fp", "id", "checks", "entry", "label"), "apart")
+        sharp = similar_angle(similarity, CHECKS * BITS, SIGMAS)
+        pairs = [links(apart.filter(F.col("probe") == k).drop("probe"), every, met, radius, sharp) for k, (_, met) in enumerate(probes)]
         edges = edges.unionByName(verified(reduce(DataFrame.unionByName, pairs), nodes, docs, similarity, SHINGLE))
     found = with_component(nodes, edges)
     same = [prints[c] == found[c] for c in ("fp", "checks", "set_hash")]
