@@ -15,7 +15,7 @@ from panelwright.llm.tables import components, numbered, table, written  # noqa:
 
 def test_registered():
     names = {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")}
-    assert names == {f"op{k}" for k in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert names == {f"op{k}" for k in range(1, 14)} and "pipeline" in __spark_entry__.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
