@@ -1,9 +1,15 @@
 """Substring duplicates by sliding spans of sentences.
 
-A sentence ends after ., ! or ? and white space, or after a line's end. From every sentence the
-shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (128 bits of the
-words in lower case); runs are joined over all documents, and every sentence that a run other
-than the first of its kind covers is removed. First is the smallest (doc_id, text, place).
+A sentence ends after ., ! or ? and white space, or after a line's end. A run is any number of
+consecutive sentences with at least ``WORDS`` words together; every sentence that a run other than
+the first of its kind covers is removed. First is the smallest (doc_id, text, place).
+
+Hashed (128 bits of the words in lower case) and joined over all documents are the runs that
+begin or end too short without their last or first sentence: the shortest from every sentence and
+the shortest up to every sentence. They cover what all runs cover. Let a run repeat, and take one of its
+sentences: either the shortest run from there stays inside, or the rest from there is too short
+and the shortest run up to the end reaches back over it; and a part of a run repeats where the
+run does, in the same order of places. So two runs a sentence stand for all.
 
 Only hashes and places are joined; texts move once, to meet the places of their own document. A
 run that very many documents share is reduced to its first place on the map side, and Spark
@@ -12,7 +18,8 @@ splits its rows in the join.
 Defined results: null counts as an empty text, which has no sentences and stays empty; a null
 ``doc_id`` comes first in order; rows that repeat both ``doc_id`` and text are one document;
 white space at the end of a kept sentence stays; an empty table gives no rows; other columns pass
-through ``drop_repeated_spans``.
+through ``drop_repeated_spans``, whatever they are called. Words are what white space separates, so texts in
+scripts without it have few and long ones.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.tables import fresh, written
 
-SENTENCES, WORDS = 2, 20
+WORDS = 20
 _END = re.compile(r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
 
 
@@ -39,17 +46,16 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if text else []
 
 
-def runs(pieces: list[str], least: int = SENTENCES, words: int = WORDS):
-    """(start, length, hash) of the shortest long enough run from every sentence."""
+def runs(pieces: list[str], words: int = WORDS):
+    """(start, length, hash) of the shortest long enough run from and up to every sentence."""
     plain = [p.lower().encode().split() for p in pieces]
-    counts = np.concatenate([[0], np.cumsum([len(w) for w in plain])])
-    # the first end at which enough words have passed
+    counts = np.concatenate([[0], np.cumsum([len(w) for w in plain])]).astype(np.int64)
     ends = np.searchsorted(counts, counts[:-1] + words)
-    ends = np.maximum(ends, np.arange(len(pieces)) + least)
+    starts = np.searchsorted(counts, counts[1:] - words, side="right") - 1
+    found = {(start, end) for start, end in enumerate(ends.tolist()) if end <= len(pieces)}
+    found |= {(start, end) for end, start in enumerate(starts.tolist(), 1) if start >= 0}
     lines = [b" ".join(w) for w in plain]
-    for start, end in enumerate(ends.tolist()):
-        if end > len(pieces):
-            break
+    for start, end in sorted(found):
         yield start, end - start, xxhash.xxh3_128_digest(b"\n".join(lines[start:end]))
 
 
@@ -102,12 +108,13 @@ def removed(n: int, spans) -> list[bool]:
 def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with texts freed of repeated spans, and what was found: n_sentences, n_removed,
     copied_from (documents that hold the removed spans first)."""
-    found = written(covered(docs), "covered").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash", "spans": "_spans"})
     names = [f"c{k}" for k in range(len(docs.columns))]
-    text = docs.columns.index("text")
-    content = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    match = docs["doc_id"].cast("long").eqNullSafe(found["_doc"]) & (F.xxhash64(content) == found["_hash"])
-    joined = docs.join(found, match, "left").select(*docs.columns, "_spans").toDF(*names, "spans")
+    text, doc_id = (docs.columns.index(c) for c in ("text", "doc_id"))
+    plain = docs.toDF(*names)
+    found = written(covered(plain.select(F.col(names[doc_id]).alias("doc_id"), F.col(names[text]).alias("text"))), "covered")
+    content = F.coalesce(F.col(names[text]).cast("string"), F.lit(""))
+    match = F.col(names[doc_id]).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(content) == F.col("text_hash"))
+    joined = plain.join(found, match, "left").select(*names, "spans")
     extra = []
     for wanted in ("n_sentences", "n_removed", "copied_from"):
         extra.append(fresh(docs, wanted))
@@ -154,10 +161,11 @@ WITH cut AS (
   SELECT *, regexp_extract_all(lower(piece), '[^\\x20\\x09-\\x0D]+') AS words FROM sentence
 ), summed AS (
   SELECT *, array_to_string(words, ' ') AS line, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY k) - len(words) AS before FROM counted
+), part AS (
+  SELECT a.doc_id, a.k AS start, b.k AS last, b.before + len(b.words) - a.before AS n, len(a.words) AS head, len(b.words) AS tail
+  FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {WORDS}
 ), reach AS (
-  SELECT a.doc_id, a.k AS start, min(b.k) AS last FROM summed a
-  JOIN summed b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + {SENTENCES - 1} AND a.k + {WORDS + SENTENCES}
-                AND b.before + len(b.words) - a.before >= {WORDS} GROUP BY ALL
+  SELECT doc_id, start, last FROM part WHERE n >= {WORDS} AND (n - tail < {WORDS} OR n - head < {WORDS})
 ), run AS (
   SELECT r.doc_id, r.start, r.last, string_agg(s.line, chr(10) ORDER BY s.k) AS span
   FROM reach r JOIN summed s ON s.doc_id = r.doc_id AND s.k BETWEEN r.start AND r.last GROUP BY ALL
