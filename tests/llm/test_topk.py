@@ -11,7 +11,9 @@ def brute(rows, best=20, every=20):
              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in {i for i, _ in whole if i % every == 0}:
-        scores = [(-sum(map(int.__mul__, a, b)), j) for i, a in whole if i == q for j, b in whole if j != q and len(a) == len(b)]
+        mine = [a for i, a in whole if i == q]
+        products = [(j, [sum(map(int.__mul__, a, b)) for a in mine if len(a) == len(b)]) for j, b in whole if j != q]
+        scores = [(-max(s), j) for j, s in products if s]
         out += [(q, k, j, -s) for k, (s, j) in enumerate(sorted(scores)[:best], 1)]
     return sorted(out)
 
@@ -37,9 +39,12 @@ def test_search_equals_brute_force(spark, blocks):
 
 
 def test_repeated_rows(spark):
-    rows = sample(40, 5, 2) + [(7, sample(40, 5, 2)[7][1])]
-    got = sorted(tuple(r) for r in topk.top_k(vectors(spark, rows)).collect())
-    assert got == brute(rows)
+    rows = sample(60, 5, 2)
+    # a repeated candidate, a repeated query, a query id with a second vector
+    rows += [rows[7], rows[20], rows[20], (40, rows[11][1])]
+    for blocks in ({}, {"queries": 2, "candidates": 9}):
+        got = sorted(tuple(r) for r in topk.top_k(vectors(spark, rows), **blocks).collect())
+        assert got == brute(rows) and sum(r[0] == 20 for r in got) == 20
 
 
 def test_statistics_bound_the_products():
@@ -58,6 +63,26 @@ def test_pruning_leaves_few_candidates():
     assert all([s for i, _, s in got if i == k] == sorted(exact[k], reverse=True)[:20] for k in range(40))
 
 
+def test_runs_out_of_reach_are_not_opened(monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 40, (6, 16)).repeat(4, axis=1)  # segments differ, so that statistics tell
+    rows = np.floor(np.concatenate([c + rng.normal(0, 2, (200, 64)) for c in centres]))
+    ids, opened = np.arange(len(rows)), []
+    plain = topk._opened
+
+    def counted(*args):
+        opened.append(len(args[5]))
+        return plain(*args)
+
+    monkeypatch.setattr(topk, "_opened", counted)
+    monkeypatch.setattr(topk, "RUN", 50)
+    got = [x for part in topk.search(ids[::10], rows[::10], ids, rows) for x in zip(*part, strict=True)]
+    exact = rows[::10] @ rows.T
+    exact[np.arange(120), ids[::10]] = -np.inf
+    assert all([s for i, _, s in got if i == k] == sorted(exact[k], reverse=True)[:20] for k in range(120))
+    assert sum(opened) < 120 * 24 / 3  # of 24 runs
+
+
 def test_large_numbers_stay_exact():
     q = np.array([[2.0**31, 1.0]])
     v = np.array([[2.0**30, 3.0], [2.0**30, 4.0]])
