@@ -187,6 +187,8 @@ def _meetings(rows: pa.Table):
     if not found:
         return
     a, b, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not len(a):  # neighbours met, and none enters a list
+        return
     order = np.lexsort((-sim, b, a))
     a, b, sim = a[order], b[order], sim[order]
     first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from panelwright.llm import neighbours as nb
 from panelwright.llm.tables import importable
@@ -75,6 +76,14 @@ def test_saturated_lists_are_enlarged(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_meetings_at_which_nobody_enters_a_list(spark):
+    unit = pa.array([[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]], pa.list_(pa.float32()))
+    rows = pa.record_batch([pa.array([1, 1, 1]), pa.array([0, 0, 0]), pa.array([5, 6, 7]), unit, pa.array([0.95] * 3)], ["center", "part", "nbr", "unit", "floor"])
+    assert list(nb._meet(iter([rows]))) == []
+    open_list = rows.set_column(4, "floor", pa.array([0.95, 0.5, 0.95]))
+    assert [b.to_pydict()["nbr"] for b in nb._meet(iter([open_list]))] == [[5, 7]]
+
+
 def test_audit_counts_missing_links(spark):
     importable(spark)
     rows = clusters(8, 50, 8, [10], [0.05])
