@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from panelwright.llm.tables import components, held, written
 BITS = 64
 SEED = 42
 BLOCK = 4096  # rows of a bucket that one task compares with as many others
+FEW = 256  # rows of a bucket up to which it is compared together with others
 HASHED_AT_ONCE = 1 << 18
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -200,42 +202,16 @@ def _mask(bits: list[int]) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def entry_table(parts) -> list[tuple[int, int]]:
-    """(part, flip) of every entry of a node."""
-    return [(k, flip) for k, (bits, t) in enumerate(parts) for flip in flips(bits, t)]
-
-
-class Met:
-    """Tells whether two rows of a bucket meet there first: a pair that shares several buckets
-    counts in the first of its parts, at one value of it."""
-
-    def __init__(self, parts):
-        table = entry_table(parts)
-        self.part = np.array([k for k, _ in table])
-        self.flip = np.array([f for _, f in table], np.uint64)
-        self.masks = np.array([_mask(bits) for bits, _ in parts], np.int64).view(np.uint64)
-        self.limits = np.array([t for _, t in parts])
-
-    def first(self, fp, entry, i, j):
-        differ = fp[i] ^ fp[j]
-        near = np.bitwise_count(differ[:, None] & self.masks) <= self.limits
-        k = self.part[entry[i]]
-        mask, limit = self.masks[k], self.limits[k]
-        own, there = fp[i] & mask, differ & mask
-        low = there & (~there + np.uint64(1))
-        value = np.where(np.bitwise_count(there) == 2, np.minimum(own ^ low, own ^ there ^ low), np.minimum(own, fp[j] & mask))
-        return (near.argmax(axis=1) == k) & ((limit > 2) | ((own ^ (self.flip[entry[i]] & mask)) == value))
-
-
 def entries(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows (bucket, entry, fp, checks, id): each node under the values of its parts."""
+    """Rows (bucket, fp, checks, id): each node under the values of its parts."""
     each = F.array(
         *[
-            F.xxhash64(F.lit(k), F.col("fp").bitwiseXOR(F.lit(_signed(flip))).bitwiseAND(F.lit(_mask(parts[k][0]))))
-            for k, flip in entry_table(parts)
+            F.xxhash64(F.lit(k), F.col("fp").bitwiseXOR(F.lit(_signed(flip))).bitwiseAND(F.lit(_mask(bits))))
+            for k, (bits, t) in enumerate(parts)
+            for flip in flips(bits, t)
         ]
     )
-    return nodes.select(F.posexplode(each).alias("entry", "bucket"), "fp", "checks", "id")
+    return nodes.select(F.explode(each).alias("bucket"), "fp", "checks", "id")
 
 
 def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -271,32 +247,27 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Rows:
-    """Rows of whole parts, sorted by part; rows with equal labels are connected already."""
+    """Rows of whole parts, sorted by part."""
 
     part: np.ndarray
     fp: np.ndarray
     ids: np.ndarray
     checks: np.ndarray
-    entry: np.ndarray
-    label: np.ndarray | None = None
 
 
 def _close(rows: Rows, i, j, radius, angle):
-    """The pairs within the radius and the angle, and how many check bits differ."""
+    """The pairs within the radius and the angle."""
     near = np.bitwise_count(rows.fp[i] ^ rows.fp[j]) <= radius
-    if rows.label is not None:
-        near &= rows.label[i] != rows.label[j]
     i, j = i[near], j[near]
-    differ = np.bitwise_count(rows.checks[i] ^ rows.checks[j]).sum(axis=1)
     if angle is not None:
-        sure = differ <= angle * BITS * rows.checks.shape[1]
-        i, j, differ = i[sure], j[sure], differ[sure]
-    return i, j, differ
+        sure = np.bitwise_count(rows.checks[i] ^ rows.checks[j]).sum(axis=1) <= angle * BITS * rows.checks.shape[1]
+        i, j = i[sure], j[sure]
+    return i, j
 
 
 def close_pairs(rows: Rows, radius, angle, few: int):
-    """In portions: pairs of rows (i < j) of a part that are close, how many check bits differ,
-    and whether the part has more than ``few`` rows."""
+    """In portions: pairs of rows (i < j) of a part that are close; parts of up to ``few`` rows are
+    compared together."""
     n = len(rows.part)
     starts = np.flatnonzero(np.concatenate([[True], rows.part[1:] != rows.part[:-1]]))
     size = np.diff(np.append(starts, n))
@@ -304,7 +275,7 @@ def close_pairs(rows: Rows, radius, angle, few: int):
     alive, step = np.flatnonzero(np.repeat(size <= few, size)), 1
     while len(alive):
         alive = alive[alive + step < last[alive]]
-        yield *_close(rows, alive, alive + step, radius, angle), False
+        yield _close(rows, alive, alive + step, radius, angle)
         step += 1
     for begin, count in zip(starts[size > few].tolist(), size[size > few].tolist(), strict=True):
         own = np.arange(begin, begin + count)
@@ -312,14 +283,14 @@ def close_pairs(rows: Rows, radius, angle, few: int):
             i, j = np.nonzero(np.bitwise_count(rows.fp[own[at : at + 256], None] ^ rows.fp[None, own[at:]]) <= radius)
             i, j = own[at + i], own[at + j]
             less = i < j
-            yield *_close(rows, i[less], j[less], radius, angle), True
+            yield _close(rows, i[less], j[less], radius, angle)
 
 
-def tree(rows: Rows, met: Met, radius, angle, few=256):
+def tree(rows: Rows, radius, angle, few):
     """Edges that span what the close pairs connect."""
     n = len(rows.part)
     us, vs, held = [np.arange(0)], [np.arange(0)], 0
-    for i, j, *_ in close_pairs(rows, radius, angle, few):
+    for i, j in close_pairs(rows, radius, angle, few):
         us.append(i)
         vs.append(j)
         held += len(i)
@@ -329,50 +300,15 @@ def tree(rows: Rows, met: Met, radius, angle, few=256):
             us, vs, held = [rest], [label[rest]], len(rest)
     label = spanning(np.concatenate(us), np.concatenate(vs), n)
     rest = np.flatnonzero(label != np.arange(n))
-    yield rest, label[rest]
-
-
-def nearest(rows: Rows, met: Met, radius, angle, few=1):
-    """Of the close pairs that meet here first, each row's nearest row before it: as many edges as
-    rows at most. Parts of which other pairs are left are named, as (rows, None), to be asked
-    again. Parts of at most ``few`` rows give all pairs."""
-    n = len(rows.part)
-    starts = np.flatnonzero(np.concatenate([[True], rows.part[1:] != rows.part[:-1]]))
-    sizes = np.diff(np.append(starts, n))
-    whole, of = np.repeat(sizes <= few, sizes), np.repeat(np.arange(len(starts)), sizes)
-    best, partner, left = np.full(n, BITS * 64), np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
-    for i, j, differ, _ in close_pairs(rows, radius, angle, 64):
-        here = met.first(rows.fp, rows.entry, i, j)
-        i, j, differ = i[here], j[here], differ[here]
-        at_once = whole[i]
-        yield i[at_once], j[at_once]
-        i, j, differ = i[~at_once], j[~at_once], differ[~at_once]
-        np.add.at(left, of[j], 1)
-        order = np.lexsort((differ, j))
-        i, j, differ = i[order], j[order], differ[order]
-        first = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
-        i, j, differ = i[first], j[first], differ[first]
-        better = differ < best[j]
-        best[j[better]], partner[j[better]] = differ[better], i[better]
-    found = np.flatnonzero(best < BITS * 64)
-    yield partner[found], found
-    np.subtract.at(left, of[found], 1)
-    yield starts[left > 0], None
-
-
-def every(rows: Rows, met: Met, radius, angle):
-    """All close pairs."""
-    for i, j, *_ in close_pairs(rows, radius, angle, 256):
-        here = met.first(rows.fp, rows.entry, i, j)
-        yield i[here], j[here]
+    return rest, label[rest]
 
 
 EDGES = "a long, b long"
 
 
-def _edges(choose, met: Met, radius, angle):
-    """Edges between ids of rows (part, fp, id, checks, entry, label if there is one), sorted by
-    part; ``choose`` picks them from whole parts."""
+def _edges(radius, angle, few):
+    """Edges between ids that span the close rows (part, fp, id, checks) of whole parts, which come
+    sorted by part."""
 
     def column(values, n):
         if pa.types.is_list(values.type):
@@ -391,25 +327,38 @@ def _edges(choose, met: Met, radius, angle):
                 rows, rest = rest, None
             if rows is None or not len(rows[0]):
                 continue
-            part, fp, ids, checks, *more = rows
-            whole = Rows(part, fp.view(np.uint64), ids, checks.view(np.uint64), *more)
-            for i, j in choose(whole, met, radius, angle):
-                columns = (part[i], np.full(len(i), -1)) if j is None else (ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+            part, fp, ids, checks = rows
+            i, j = tree(Rows(part, fp.view(np.uint64), ids, checks.view(np.uint64)), radius, angle, few)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
     return run
 
 
-def links(rows: DataFrame, choose, met: Met, radius: int, angle: float | None = None) -> DataFrame:
-    """Edges (a, b) between the ids of close rows, chosen per part; (part, -1) where some are left."""
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(choose, met, radius, angle), EDGES)
+def links(rows: DataFrame, radius: int, angle: float | None = None, few: int = FEW) -> DataFrame:
+    """Edges (a, b) between the ids of close rows, which span what is close in each part."""
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_edges(radius, angle, few), EDGES)
+
 
+def forest(batches):
+    """Of the edges (a, b) of a task those that span them: each node is linked with the smallest one
+    it reaches, so that a group costs its rows in every task, however many parts it shares."""
+    kept, size = [], 0
+    for batch in _ended(batches):
+        if batch is not None:
+            kept.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+        if kept and (batch is None or size > 2_000_000):
+            ids, at = np.unique(np.concatenate(kept, axis=1), return_inverse=True)
+            label = spanning(*at.reshape(2, -1), len(ids))
+            rest = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[label[rest]])], ["a", "b"])
+            kept, size = [], 0
 
-def bucketed(nodes: DataFrame, radius: int, block: int) -> tuple[DataFrame, Met]:
-    """Rows (part, fp, id, checks, entry) of the buckets that ``radius`` needs."""
+
+def bucketed(nodes: DataFrame, radius: int, block: int) -> DataFrame:
+    """Rows (part, fp, id, checks) of the buckets that ``radius`` needs."""
     n, both = bit_counts(nodes)
-    parts = allocate(both, n, radius)
-    return dealt(entries(nodes, parts), block).select("part", "fp", "id", "checks", "entry"), Met(parts)
+    return dealt(entries(nodes, allocate(both, n, radius)), block).select("part", "fp", "id", "checks")
 
 
 def _ended(batches):
@@ -439,8 +388,7 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, block: int = B
     if nodes.isEmpty():
         found = nodes.select("fp", F.col("least").alias("component_id"))
     else:
-        rows, met = bucketed(nodes, radius, block)
-        found = with_component(nodes, links(rows, tree, met, radius))
+        found = with_component(nodes, links(bucketed(nodes, radius, block), radius))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(found.select("fp", "component_id"), "fp").select("doc_id", text, "component_id")
 
@@ -451,8 +399,8 @@ SHINGLE, SIMILARITY, CHECKS, FIRST = 5, 0.8, 16, 2
 #: Candidates are near in one of so many independent fingerprints: one alone loses a fifth of the
 #: pairs near the threshold that differ by a block or an end.
 PROBES = 3
-SIGMAS = 2.0  # of the further fingerprints' bits, in buckets of any size
-FEW = 1  # rows of a bucket up to which all its pairs are verified at once
+SIGMAS, SURE_SIGMAS = 2.0, 4.0  # of the further fingerprints' bits, in buckets and before sets are compared
+SHINGLES = 1 << 19  # of a candidate group that one task compares with as many others
 
 
 def similar_angle(similarity: float, bits: int, sigmas: float) -> float:
@@ -475,51 +423,100 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return own.mapInArrow(run, "text_hash long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts have that Jaccard similarity of shingle sets."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = nodes.select("id", "text_hash").join(ids, "id", "left_semi")
-    sets = written(named.join(shingle_sets(docs, named.select("text_hash"), width), "text_hash").select("id", "shingles"), "sets")
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
-    return written(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "alike")
+def grouped_sets(nodes: DataFrame, candidates: DataFrame, docs: DataFrame, width: int, block: int, shingles: int) -> DataFrame:
+    """Rows (root, low, high, own, id, checks, shingles) of the nodes that candidates connect, once
+    for each task that compares them: a group that is large, in rows or shingles, is divided into
+    blocks, and two of them (low, high) meet in a task."""
+    group = components(candidates).withColumnRenamed("node", "id")
+    named = written(nodes.select("id", "text_hash", "checks").join(group, "id"), "candidates")
+    sets = named.join(shingle_sets(docs, named.select("text_hash"), width), "text_hash")
+    sets = written(sets.select("id", "root", "checks", "shingles"), "sets")
+    parts = F.ceil(F.greatest(F.sum(F.size("shingles")) / shingles, F.count(F.lit(1)) / block)).cast("long")
+    known = sets.join(sets.groupBy("root").agg(parts.alias("blocks")), "root").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    paired = known.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return paired.select("root", F.least("own", "partner").alias("low"), F.greatest("own", "partner").alias("high"), "own", "id", "checks", "shingles")
+
+
+def _groups(batches):
+    """Tables of the rows that share the first three columns, by which they are sorted."""
+    key, kept = None, []
+    for batch in batches:
+        keys = np.stack([c.to_numpy() for c in batch.columns[:3]])
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if batch.num_rows else []
+        for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if kept and tuple(keys[:, at]) != key:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            key = tuple(keys[:, at])
+            kept.append(batch.slice(at, end - at))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def alike(own, checks, sizes, flat, similarity: float, angle: float) -> np.ndarray:
+    """The smallest row that each row reaches over pairs whose sets (``sizes`` of the values
+    ``flat``) have that Jaccard similarity; of two blocks, rows of different ones are compared."""
+    n, ends = len(sizes), np.cumsum(sizes)
+    values, flat = np.unique(flat, return_inverse=True)
+    mark, label, two = np.zeros(len(values), bool), np.arange(n), (own != own[0]).any()
+    for i in range(n - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if two:
+            j = j[own[j] != own[i]]
+        j = j[np.minimum(sizes[j], sizes[i]) >= np.maximum(similarity * np.maximum(sizes[j], sizes[i]), 1)]
+        j = j[np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1) <= angle * BITS * checks.shape[1]]
+        if not len(j):
+            continue
+        first = np.cumsum(sizes[j]) - sizes[j]
+        own_values = flat[ends[i] - sizes[i] : ends[i]]
+        mark[own_values] = True
+        met = mark[flat[np.repeat(ends[j] - sizes[j] - first, sizes[j]) + np.arange(sizes[j].sum())]]
+        both = np.add.reduceat(met.astype(np.int64), first)
+        mark[own_values] = False
+        hit = label[j[both >= similarity * (sizes[i] + sizes[j] - both)]]
+        if len(hit):
+            hit = np.unique(np.append(hit, label[i]))
+            label[np.isin(label, hit)] = hit[0]
+    return label
+
+
+def verified(rows: DataFrame, similarity: float, angle: float) -> DataFrame:
+    """Edges (a, b) that span the rows of ``grouped_sets`` whose shingle sets are similar."""
+
+    def run(batches):
+        for group in _groups(batches):
+            own, ids = (group.column(c).to_numpy() for c in ("own", "id"))
+            checks, sets = (group.column(c).combine_chunks() for c in ("checks", "shingles"))
+            bits = checks.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            sizes = pc.list_value_length(sets).to_numpy().astype(np.int64)
+            label = alike(own, bits, sizes, sets.flatten().to_numpy(), similarity, angle)
+            rest = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[label[rest]])], ["a", "b"])
+
+    key = ("root", "low", "high")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, EDGES)
 
 
 def drop_near_copies(
-    docs: DataFrame, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, few: int = FEW, block: int = BLOCK
+    docs: DataFrame, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, few: int = FEW, block: int = BLOCK, shingles: int = SHINGLES
 ) -> DataFrame:
     """One document of each group of near copies stays, with the columns of ``docs``: documents
     are linked if their sets of five-word shingles have ``similarity`` or more. Candidates are
     within ``radius`` bits in one of ``PROBES`` fingerprints of word pairs, if their further
-    fingerprints (of the shingles) allow it; each candidate's shingle sets are compared. Only documents with the same set are one
-    node from the start. In a bucket each row first meets its nearest one only; then the pairs that
-    are still apart are compared too, after a sharper look at 1024 further bits. The smallest ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
+    fingerprints (of the shingles) allow it. Edges that span them give groups; each row goes to its
+    group, where the shingle sets of all rows that are not linked yet are compared, if 1024 further
+    bits allow it. Only documents with the same set are one node from the start. The smallest
+    ``doc_id`` of a group stays, with all rows of that ``doc_id`` in the group."""
     prints = written(fingerprints(docs, CANDIDATE_WIDTH, CHECKS, SHINGLE), "prints")
     nodes = numbered_prints(prints)
     if nodes.isEmpty():
         return docs
     short = nodes.withColumn("checks", F.slice("checks", 1, FIRST))
     probes = [bucketed(short.withColumn("fp", F.col("probes")[k]), radius, block) for k in range(PROBES)]
-    nodes = nodes.drop("probes")
-    first = lambda *x: nearest(*x, few=few)
     angle = similar_angle(similarity, FIRST * BITS, SIGMAS)
-    asked = [written(links(rows, first, met, radius, angle), "asked") for rows, met in probes]
-    edges = verified(reduce(DataFrame.unionByName, [a.filter("b >= 0") for a in asked]), nodes, docs, similarity, SHINGLE)
-    known, angle, pairs = None, similar_angle(similarity, CHECKS * BITS, SIGMAS), []
-    for (rows, met), pairs_of in zip(probes, asked, strict=True):
-        left = written(pairs_of.filter("b < 0").select(F.col("a").alias("part")).distinct(), "left")
-        if left.isEmpty():
-            continue
-        if known is None:
-            known = with_component(nodes, edges).select("id", "checks", F.col("root").alias("label"))
-        member = written(rows.drop("checks").join(left, "part", "left_semi").join(known.select("id", "label"), "id"), "member")
-        apart = member.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("part")
-        apart = member.join(apart, "part").join(known.select("id", "checks"), "id").select("part", "fp", "id", "checks", "entry", "label")
-        pairs.append(links(apart, every, met, radius, angle))
-    if pairs:
-        edges = edges.unionByName(verified(reduce(DataFrame.unionByName, pairs), nodes, docs, similarity, SHINGLE))
+    asked = [written(links(rows, radius, angle, few).mapInArrow(forest, EDGES), "asked") for rows in probes]
+    sets = grouped_sets(nodes, reduce(DataFrame.unionByName, asked), docs, SHINGLE, block, shingles)
+    edges = verified(sets, similarity, similar_angle(similarity, CHECKS * BITS, SURE_SIGMAS))
     found = with_component(nodes, edges)
     same = [prints[c] == found[c] for c in ("fp", "checks", "set_hash")]
     lost = prints.join(found, same).filter(~prints["doc_id"].eqNullSafe(F.col("component_id")))

@@ -128,6 +128,37 @@ def test_recall_of_block_append_and_truncation_pairs(spark, few):
     assert min(found.values()) >= 0.95
 
 
+def test_a_group_of_candidates_costs_its_rows_not_its_pairs(spark, monkeypatch):
+    rng, rows, counted, write = random.Random(13), [], {}, simhash.written
+    words = [f"w{k}" for k in range(3000)]
+    for k in range(60):  # every two are candidates, and no two are similar enough
+        at = set(rng.sample(range(3000), 39))
+        rows.append((k, " ".join(f"{k}x{i}" if i in at else w for i, w in enumerate(words))))
+    sets = [shingles(t) for _, t in rows]
+    assert all(0.75 < len(a & b) / len(a | b) < 0.8 for k, a in enumerate(sets) for b in sets[:k])
+
+    def counting(df, name):
+        out = write(df, name)
+        counted[name] = max(counted.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counting)
+    assert simhash.drop_near_copies(documents(spark, rows)).count() == 60
+    assert max(counted.values()) <= 5 * 60, counted
+
+
+def test_candidate_groups_in_blocks(spark):
+    rng, rows = random.Random(17), [(500, None)]
+    for k in range(3):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        rows += [(50 * k + n, edited(rng, words, 0 if n == 0 else rng.choice([0.003, 0.01, 0.08]))) for n in range(20)]
+    sets = [shingles(t) for _, t in rows]
+    group = brute_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    want = {min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in group}
+    for kw in ({"block": 4}, {"shingles": 500}):
+        assert {r.doc_id for r in simhash.drop_near_copies(documents(spark, rows), **kw).select("doc_id").collect()} == want
+
+
 def test_empty_table(spark):
     docs = documents(spark, [(1, "a")]).limit(0)
     assert simhash.near_groups(docs).count() == 0 and simhash.drop_near_copies(docs).count() == 0
