@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.tables import held
+from panelwright.llm.tables import give_back, held
 
 MOST = 1024  # ids of the longest sequence; a power of two
 SEPARATOR = 0
-CACHED = 900_000  # chunks of text a worker process remembers
-BATCH_TEXT = 1 << 20  # characters that are encoded at once
+CACHED = 400_000  # chunks of text a worker process remembers, about; what it met only once goes first
+BATCH_TEXT = 1 << 19  # characters that are encoded at once
 
 IDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -60,12 +60,22 @@ class Encoder:
 
     def __init__(self, path: str, cached: int = CACHED):
         self.path, self.cached = path, cached
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}  # chunks after a space, or first ones with FIRST before them
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.ends, self.n = np.zeros(1 << 14, np.int64), 0  # chunk k has the ids from ends[k] to ends[k + 1]
+        self.met = np.zeros(1 << 14, np.int64)  # how often chunk k was met; what was met long ago counts less
+
+    def _forget(self) -> None:
+        """Keeps the half of the cache that was met most often, in the order it was learnt."""
+        stay = np.sort(np.argsort(-self.met[: self.n], kind="stable")[: self.cached // 2])
+        stay = stay[self.met[stay] > 1]
+        starts, lengths = self.ends[stay], self.ends[stay + 1] - self.ends[stay]
+        names, n = list(self.known), len(stay)  # chunk k is the k-th that came
+        self.known = dict(zip([names[k] for k in stay.tolist()], range(n), strict=True))
+        ends = np.cumsum(lengths)
+        self.used = int(lengths.sum())
+        self.ids = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(self.used)]
+        self.ends, self.met, self.n = np.append(0, ends), self.met[stay] // 2, n
 
     def _learn(self, new: list[str]) -> None:
         alone = [c for c in new if c[:1] == FIRST or " " in c]
@@ -85,8 +95,10 @@ class Encoder:
             raise ValueError("the vocabulary does not cut at single spaces")
         self.ids = _room(self.ids, self.used, len(ids))
         self.ends = _room(self.ends, self.n + 1, len(part))
+        self.met = _room(self.met, self.n, len(part))
         self.ids[self.used : self.used + len(ids)] = ids
         self.ends[self.n + 1 : self.n + 1 + len(part)] = self.used + np.cumsum(lengths)
+        self.met[self.n : self.n + len(part)] = 0
         self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
         self.used, self.n = self.used + len(ids), self.n + len(part)
 
@@ -119,6 +131,7 @@ class Encoder:
                 new = {flat[k] for k in unknown}
             self._learn(list(new))
             at[unknown] = self._found([flat[k] for k in unknown])
+        self.met[: self.n] += np.bincount(at, minlength=self.n)
         starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -162,6 +175,9 @@ def _pieces(path: str, most: int, with_ids: bool):
                     size += len(take[-1])
                 yield _packed(encoder, ids_of[at : at + len(take)], take, counts, task, most, with_ids)
                 at += len(take)
+            batch = texts = take = None  # freed before the memory is given back
+            pa.default_memory_pool().release_unused()
+            give_back()
         gc.enable()
 
     return run

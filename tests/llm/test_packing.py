@@ -55,3 +55,20 @@ def test_round_trip(spark):
     by_bucket = sorted(out, key=lambda r: r.sequence_id)
     assert [r.bucket for r in by_bucket] == sorted(r.bucket for r in out)
     assert packing.pack(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_a_full_cache_keeps_what_is_met_often():
+    encoder = packing.Encoder(vocabulary(), cached=20)
+    for i in range(30):
+        texts = ["the of and the of and " + " ".join(f"w{i}x{j}" for j in range(15))]
+        assert split(*encoder.encode(texts)) == plain(texts)
+        assert encoder.n == len(encoder.known) <= 20 + 18
+        assert {"the", "of", "and"} <= encoder.known.keys()
+    encoder._forget()
+    assert {"the", "of", "and"} <= encoder.known.keys() and len(encoder.known) <= 10
+
+
+def test_an_empty_batch_gives_no_rows(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    empty = packing.pa.RecordBatch.from_pydict({"doc_id": packing.pa.array([], "int64"), "text": packing.pa.array([], "string")})
+    assert list(packing._pieces(vocabulary(), 1024, False)([empty])) == []
